@@ -2,7 +2,7 @@
 
 from webtables.catalog.base import ORACLE, QUERIES
 
-_MODULES = ["html"]
+_MODULES = ["html", "outcome"]
 
 
 def load():

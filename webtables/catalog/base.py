@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL over the test tables it names."""
-    named = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    return spark.sql(re.sub(rf"\b({'|'.join(named)})\b(?=\s|\)|$)", r"{\1}", sql), **{t: table(spark, sf_dir, t) for t in named})
+    """Run SQL over the test tables it names after FROM and JOIN."""
+    for t in TABLES:
+        if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql):
+            table(spark, sf_dir, t).createOrReplaceTempView(f"webtables_{t}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 webtables_\2", sql))
 
 
 def decoded(sql: str) -> str:

@@ -17,7 +17,7 @@ _SEGMENT_OK = r"A-Za-z0-9\-_.~$&+=:@"
 
 
 def _percent(c: Column, allowed: str) -> Column:
-    """Percent-encode the UTF-8 bytes of each character outside ``allowed``."""
+    """Percent-encode the UTF-8 bytes of each character outside ``allowed``; ``c`` is a plain reference."""
     encoded = F.array_join(
         F.transform(
             F.split(c, "(?!^)"),
@@ -44,31 +44,37 @@ def parse_url(c: Column) -> Column:
     )
 
 
-def _unparse(scheme, has_authority, authority, path, has_query, query, fragment) -> Column:
+def _unparse(u: Column) -> Column:
+    """Text of a URL struct; ``u`` is a plain reference."""
+    path = u["path"]
     return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(has_authority, F.concat(F.lit("//"), authority)).otherwise(""),
-        F.when(has_authority & (path != "") & ~path.startswith("/"), F.lit("/")).otherwise(""),
+        F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise(""),
+        F.when(
+            u["has_authority"],
+            F.concat(F.lit("//"), u["authority"], F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise("")),
+        ).otherwise(""),
         _percent(path, _PATH_OK),
-        F.when(has_query, F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), _percent(fragment, _FRAGMENT_OK))).otherwise(""),
+        F.when(u["has_query"], F.concat(F.lit("?"), u["query"])).otherwise(""),
+        F.when(u["fragment"] != "", F.concat(F.lit("#"), _percent(u["fragment"], _FRAGMENT_OK))).otherwise(""),
     )
 
 
 def remove_dot_segments(path: Column) -> Column:
-    """RFC 3986 5.2.4 over the '/'-separated segments, for an absolute path."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
-        .otherwise(F.array_append(acc, s)),
-    )
-    joined = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(""))
-    clean = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    return F.when(path.rlike(r"(^|/)\.\.?(/|\z)"), clean).otherwise(path)
+    """RFC 3986 5.2.4 over the '/'-separated segments; a path without dot segments is one regex test."""
+
+    def fold(parts: Column) -> Column:
+        kept = F.aggregate(
+            parts,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+            .otherwise(F.array_append(acc, s)),
+        )
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise("")
+        joined = F.concat(F.array_join(kept, "/"), tail)
+        return F.regexp_replace(joined, r"^/?", "/")
+
+    return let(path, lambda p: F.when(p.rlike(r"(^|/)\.\.?(/|\z)"), let(F.split(p, "/"), fold)).otherwise(p))
 
 
 def url_error(raw: Column) -> Column:
@@ -91,34 +97,32 @@ def url_error(raw: Column) -> Column:
 def resolve_url(base: Column, raw: Column) -> Column:
     """``raw`` against ``base``; absolute URLs are only normalised. Chains no UDF."""
 
-    def combine(b: Column, r: Column) -> Column:
-        merged = F.when((b.path == "") | ~F.contains(b.path, F.lit("/")), F.concat(F.lit("/"), r.path)).otherwise(
-            F.concat(F.regexp_extract(b.path, r"(?s)^(.*/)[^/]*$", 1), r.path)
-        )
-        empty = (r.path == "") & ~r.has_authority
-        bare = empty & ~r.has_query
+    def relative(b: Column, r: Column) -> Column:
+        """The URL struct of ``r`` seen from ``b``."""
+        empty = (r["path"] == "") & ~r["has_authority"]
+        bare = empty & ~r["has_query"]
+        merged = F.concat(F.regexp_replace(b["path"], r"(?s)[^/]*\z", ""), r["path"])
         path = (
-            F.when(r.has_authority, F.when(r.path == "", r.path).otherwise(remove_dot_segments(r.path)))
-            .when(empty, F.when(b.path == "", b.path).otherwise(remove_dot_segments(b.path)))
-            .when(r.path.startswith("/"), remove_dot_segments(r.path))
-            .otherwise(remove_dot_segments(merged))
+            F.when(r["has_authority"] | r["path"].startswith("/"), r["path"])
+            .when(empty, b["path"])
+            .when(merged.startswith("/"), merged)
+            .otherwise(F.concat(F.lit("/"), merged))
         )
-        return F.when(
-            r.scheme != "",
-            _unparse(r.scheme, r.has_authority, r.authority, r.path, r.has_query, r.query, r.fragment),
-        ).otherwise(
-            _unparse(
-                b.scheme,
-                b.has_authority | r.has_authority,
-                F.when(r.has_authority, r.authority).otherwise(b.authority),
-                path,
-                F.when(bare, b.has_query).otherwise(r.has_query),
-                F.when(bare, b.query).otherwise(r.query),
-                F.when(bare & (r.fragment == ""), b.fragment).otherwise(r.fragment),
-            )
+        return F.struct(
+            b["scheme"].alias("scheme"),
+            F.when(r["has_authority"], r["authority"]).otherwise(b["authority"]).alias("authority"),
+            (b["has_authority"] | r["has_authority"]).alias("has_authority"),
+            remove_dot_segments(path).alias("path"),
+            F.when(bare, b["has_query"]).otherwise(r["has_query"]).alias("has_query"),
+            F.when(bare, b["query"]).otherwise(r["query"]).alias("query"),
+            F.when(bare & (r["fragment"] == ""), b["fragment"]).otherwise(r["fragment"]).alias("fragment"),
         )
 
-    return let(parse_url(base), lambda b: let(parse_url(raw), lambda r: combine(b, r)))
+    def join(r: Column) -> Column:
+        own = F.when(r["scheme"] != "", r).otherwise(let(parse_url(base), lambda b: relative(b, r)))
+        return let(own, _unparse)
+
+    return let(parse_url(raw), join)
 
 
 def path_escape(c: Column) -> Column:
