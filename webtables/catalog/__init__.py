@@ -2,7 +2,7 @@
 
 from webtables.catalog.base import ORACLE, QUERIES
 
-_MODULES = ["html", "outcome"]
+_MODULES = ["html", "outcome", "params", "lookup"]
 
 
 def load():
