@@ -2,7 +2,7 @@
 
 from webtables.catalog.base import ORACLE, QUERIES
 
-_MODULES = ["html", "outcome", "params", "lookup"]
+_MODULES = ["html", "outcome", "params", "lookup", "jsonx", "shape", "sources"]
 
 
 def load():

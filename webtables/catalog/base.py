@@ -26,8 +26,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the operators rely on."""
+    # Repeated JSON keys: the last one wins instead of the body being refused.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

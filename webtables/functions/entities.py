@@ -18,8 +18,8 @@ _START, _IS = "\u0001", "\u0002"
 
 # Characters that numeric references 128..159 stand for (Windows-1252 order).
 _C1 = (
-    "€\u0081‚ƒ„…†‡ˆ‰Š‹Œ\u008dŽ\u008f"
-    "\u0090‘’“”•–—˜™š›œ\u009džŸ"
+    "\u20ac\u0081\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u008d\u017d\u008f"
+    "\u0090\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u009d\u017e\u0178"
 )
 _LONGEST_BARE = 6  # longest entity name that is valid without a semicolon
 
@@ -51,46 +51,40 @@ def _lookup(table: Column, name: Column) -> Column:
 
 
 def _code_point(code: Column) -> Column:
-    c1 = F.substring(F.lit(_C1), (code - 127).cast("int"), F.lit(1))
-    utf32 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    invalid = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull()
-    return F.when(invalid, F.lit("�")).when(code.between(128, 159), c1).otherwise(utf32)
+    invalid = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return (
+        F.when(invalid, "\ufffd")
+        .when(code.between(128, 159), F.substr(F.lit(_C1), (code - 127).cast("int"), F.lit(1)))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+
+
+def _named(piece: Column, name: Column, table: Column) -> Column:
+    """Longest known name that starts the piece: all of it, or a bare name of up to six letters."""
+    bare = F.sequence(F.least(F.length(name), F.lit(_LONGEST_BARE)), F.lit(1), F.lit(-1))
+    tries = F.concat(F.array(F.length(name)), bare)
+    found = F.filter(
+        F.transform(tries, lambda k: F.struct(_lookup(table, F.substr(name, F.lit(1), k)).alias("v"), k.alias("k"))),
+        lambda p: p["v"].isNotNull(),
+    )
+    return let(F.get(found, F.lit(0)), lambda p: F.coalesce(F.concat(p["v"], F.substr(piece, p["k"] + 2)), piece))
+
+
+_NUMERIC = r"^&#([0-9]+|[xX][0-9a-fA-F]+);?"
 
 
 def _decode_piece(piece: Column, table: Column) -> Column:
     """``piece`` starts with '&' and holds no other '&'."""
-    dec = F.regexp_extract(piece, r"^&#([0-9]+);?", 1)
-    hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);?", 1)
-    name = F.regexp_extract(piece, r"^&([a-zA-Z0-9]+;?)", 1)
 
-    def found(n: Column) -> Column:
-        """Longest known name that starts ``n``: the whole of it, or a bare name of up to six letters."""
-        bare = F.sequence(F.least(F.length(F.regexp_replace(n, ";", "")), F.lit(_LONGEST_BARE)), F.lit(1), F.lit(-1))
-        tries = F.concat(F.array(n), F.transform(bare, lambda k: F.substr(n, F.lit(1), k)))
-        return F.get(
-            F.filter(
-                F.transform(tries, lambda t: F.struct(_lookup(table, t).alias("v"), F.length(t).alias("k"))),
-                lambda p: p["v"].isNotNull(),
-            ),
-            F.lit(0),
-        )
-
-    def named(n: Column) -> Column:
-        return let(found(n), lambda p: F.coalesce(F.concat(p["v"], F.substr(piece, p["k"] + 2)), piece))
+    def numeric(n: Column) -> Column:
+        # More than twelve digits is out of range in either base.
+        code = F.when(n.rlike("^[xX]"), F.conv(F.substr(n, F.lit(2), F.lit(13)), 16, 10)).otherwise(n)
+        return F.concat(_code_point(code.try_cast("bigint")), F.regexp_replace(piece, _NUMERIC, ""))
 
+    name = F.regexp_extract(piece, r"^&([a-zA-Z0-9]+;?)", 1)
     return (
-        F.when(
-            dec != "",
-            F.concat(_code_point(dec.try_cast("bigint")), F.regexp_replace(piece, r"^&#[0-9]+;?", "")),
-        )
-        .when(
-            hexa != "",
-            F.concat(
-                _code_point(F.when(F.length(hexa) <= 12, F.conv(hexa, 16, 10).try_cast("bigint"))),
-                F.regexp_replace(piece, r"^&#[xX][0-9a-fA-F]+;?", ""),
-            ),
-        )
-        .when(name != "", let(name, named))
+        F.when(piece.rlike(_NUMERIC), let(F.regexp_extract(piece, _NUMERIC, 1), numeric))
+        .when(name != "", let(name, lambda n: _named(piece, n, table)))
         .otherwise(piece)
     )
 

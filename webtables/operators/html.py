@@ -45,65 +45,64 @@ def _raw(rule: Field, dom: Column, node: Column) -> Column:
     return D.node_attr(node, rule.attr)
 
 
-def node_values(rule: Field, dom: Column, node: Column, base: Column | None, table: Column | None = None) -> Column:
-    """Non-empty cleaned values of one node: ``array<struct<v string|bigint, err string>>``."""
-    raw = F.coalesce(_raw(rule, dom, node), F.lit(""))
-    if rule.trim:
-        raw = X.trim_ws(raw)
-    bad_group = None
-    if rule.regex:
-        java, groups = X.compile_regex(rule.regex)
-        group = X.pick_group(rule.group, groups)
-        if group > groups:
-            bad_group = F.lit(f"regex_group {group} out of range for {rule.regex!r}")
-            values = X.let(raw, lambda r: F.when(r.rlike(java), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>")))
-        else:
-            values = F.regexp_extract_all(raw, F.lit(java), F.lit(group))
-    else:
-        values = F.array(raw)
-
-    def clean(v: Column) -> Column:
-        v = unescape(v, table)
+def _bad_group(rule: Field) -> tuple[str | None, int, str | None]:
+    """(Java pattern, group, complaint): a group the pattern lacks is an error once something matches."""
+    if not rule.regex:
+        return None, 0, None
+    java, groups = X.compile_regex(rule.regex)
+    group = X.pick_group(rule.group, groups)
+    return java, group, f"regex_group {group} out of range for {rule.regex!r}" if group > groups else None
+
+
+def raw_values(rule: Field, dom: Column, context: Column) -> Column:
+    """Texts a rule reads in ``context``: the first node's, or every node's with ``multiple``."""
+    java, group, complaint = _bad_group(rule)
+
+    def of_node(node: Column) -> Column:
+        raw = F.coalesce(_raw(rule, dom, node), F.lit(""))
         if rule.trim:
-            v = X.trim_ws(v)
-        return v
+            raw = X.trim_ws(raw)
+        if java is None:
+            return F.array(raw)
+        if complaint:
+            return F.when(raw.rlike(java), F.array(raw)).otherwise(F.array().cast("array<string>"))
+        return F.regexp_extract_all(raw, F.lit(java), F.lit(group))
+
+    if rule.select is None:
+        return F.array().cast("array<string>")
+    nodes = rule.select.apply(dom, context)
+    if not rule.multiple:
+        nodes = F.slice(nodes, 1, 1)
+    return F.flatten(F.transform(nodes, of_node))
+
+
+def field_value(rule: Field, decoded: Column, base: Column | None) -> Column:
+    """``struct<v, err>`` from the decoded texts of a rule; NULL ``v`` without ``err`` means missing."""
+    complaint = _bad_group(rule)[2]
+    texts = F.filter(F.transform(decoded, X.trim_ws) if rule.trim else decoded, lambda v: v != "")
 
     def finish(v: Column) -> Column:
-        if bad_group is not None:
-            return F.struct(F.lit(None).cast("bigint" if rule.is_int else "string").alias("v"), bad_group.alias("err"))
-        err = F.lit(None).cast("string")
+        err = F.lit(complaint).cast("string")
         if rule.resolve_url and base is not None:
-            err = url_error(v)
+            err = F.coalesce(err, url_error(v))
             v = resolve_url(base, v)
         if rule.is_int:
             n = X.to_int(v)
             err = F.coalesce(err, F.when(n.isNull(), F.concat(F.lit('convert "'), v, F.lit('" to int'))))
-            v = n
+            v = n.cast("string") if rule.multiple else n
         return F.struct(v.alias("v"), err.alias("err"))
 
-    return F.transform(F.filter(F.transform(values, clean), lambda v: v != ""), finish)
-
-
-def field_value(rule: Field, dom: Column, context: Column, base: Column | None, table: Column | None = None) -> Column:
-    """``struct<v, err>``; NULL ``v`` without ``err`` means missing."""
-    kind = "array<string>" if rule.multiple else "bigint" if rule.is_int else "string"
-    if rule.select is None:
-        return F.struct(F.lit(None).cast(kind).alias("v"), F.lit(None).cast("string").alias("err"))
-    nodes = rule.select.apply(dom, context)
-    if rule.multiple:
-        found = F.flatten(F.transform(nodes, lambda n: node_values(rule, dom, n, base, table)))
-    else:
-        found = X.let(F.get(nodes, F.lit(0)), lambda n: F.when(n.isNotNull(), node_values(rule, dom, n, base, table)))
-
     def pick(vals: Column) -> Column:
-        if rule.multiple:
-            v = F.when(F.size(vals) > 0, F.transform(vals, lambda x: x["v"].cast("string")))
-        else:
-            v = F.get(vals, F.lit(0))["v"]
         err = F.get(F.filter(vals, lambda x: x["err"].isNotNull()), F.lit(0))["err"]
-        return F.struct(v.alias("v"), err.alias("err"))
+        return F.struct(_first_or_all(rule, F.transform(vals, lambda x: x["v"])).alias("v"), err.alias("err"))
+
+    if not (complaint or rule.is_int or (rule.resolve_url and base is not None)):
+        return X.let(texts, lambda t: F.struct(_first_or_all(rule, t).alias("v"), F.lit(None).cast("string").alias("err")))
+    return X.let(F.transform(texts, finish), pick)
+
 
-    return X.let(found, pick)
+def _first_or_all(rule: Field, values: Column) -> Column:
+    return F.when(F.size(values) > 0, values) if rule.multiple else F.get(values, F.lit(0))
 
 
 def extract_html(
@@ -125,7 +124,13 @@ def extract_html(
     scope = spec.scope.apply(d, root) if spec.scope is not None else F.array(root)
 
     def one(fields, context, noun, table):
-        return layer(fields, lambda rule: field_value(rule, d, context, base_col, table), noun)
+        at = {n: i for i, n in enumerate(fields)}
+        raw = F.array(*[raw_values(rule, d, context) for rule in fields.values()])
+        decoded = F.transform(raw, lambda texts: F.transform(texts, lambda t: unescape(t, table)))
+        return X.let(
+            decoded,
+            lambda v: layer(fields, lambda n, rule: field_value(rule, F.get(v, F.lit(at[n])), base_col), noun),
+        )
 
     layers = []
     if spec.meta:

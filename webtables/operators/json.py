@@ -74,7 +74,7 @@ def extract_json(pages: DataFrame, spec: Extract, body: str | Column = "body", k
     scope = json_path(root, spec.scope) if spec.scope else F.array(root)
 
     def one(fields, context, noun):
-        return layer(fields, lambda rule: json_field(rule, context), noun, untyped="variant")
+        return layer(fields, lambda _, rule: json_field(rule, context), noun, untyped="variant")
 
     cols = [F.col(c) for c in keep]
     if spec.meta:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from webtables.functions.text import let
 from webtables.plans.spec import Extract, Field
 
-Reader = Callable[[Field], Column]
+Reader = Callable[[str, Field], Column]
 
 
 def missing_value(rule: Field, untyped: str = "string") -> Column:
@@ -38,7 +38,7 @@ def _item_type(rule: Field, untyped: str) -> str:
 def layer(fields: dict[str, Field], read: Reader, noun: str, untyped: str = "string") -> Column:
     """``struct<value:struct<fields>, err, skip>`` for one layer in one context."""
     names = sorted(fields)
-    results = F.struct(*[read(fields[n]).alias(n) for n in names])
+    results = F.struct(*[read(n, fields[n]).alias(n) for n in names])
 
     def build(r: Column) -> Column:
         errs, skips, values = [], [], []

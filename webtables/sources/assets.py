@@ -55,7 +55,8 @@ def snapshot_with_ttl(snapshots: DataFrame, now: Column, ttl_seconds: int = 0, k
     class. A source without a usable capture gives no row.
     """
     ttl = DEFAULT_TTL_SECONDS if ttl_seconds == 0 else ttl_seconds
-    age = F.unix_micros(now) - F.unix_micros(F.col("captured_at"))
+    taken = F.unix_micros(F.col("captured_at").cast("timestamp"))
+    age = F.unix_micros(now) - taken
     cache = F.col("kind") == "cache"
     fresh = cache & (age <= ttl * 1_000_000) if ttl >= 0 else F.lit(False)
     rank = (
@@ -68,7 +69,7 @@ def snapshot_with_ttl(snapshots: DataFrame, now: Column, ttl_seconds: int = 0, k
     best = ranked.groupBy(key).agg(
         F.min_by(
             F.struct(*rest, F.col("_rank").alias("freshness")),
-            F.struct("_rank", (-F.unix_micros("captured_at")).alias("newest"), *([F.col("snapshot_id")] if "snapshot_id" in rest else [])),
+            F.struct("_rank", (-taken).alias("newest"), *([F.col("snapshot_id")] if "snapshot_id" in rest else [])),
         ).alias("b")
     )
     return best.select(key, "b.*")
