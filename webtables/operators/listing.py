@@ -38,7 +38,7 @@ def items_under_key(records: DataFrame, items_key: str | None = None, task_key:
     if kind.typeName() != "array" or kind.elementType.typeName() != "struct":
         raise ValueError(f"data.{key} has unexpected type {kind.simpleString()}")
     keep = [c for c in records.columns if c != data]
-    return records.select(*keep, F.posexplode(F.col(data)[key]).alias("pos", "item")).select(*keep, "pos", "item.*")
+    return X.explode_rows(records, keep, F.col(data)[key]).select(*keep, "pos", "item.*")
 
 
 def last_page(pages: DataFrame, by: list[str] | None = None, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -108,12 +108,9 @@ def build_index(
     probed = pick_attempt(listing, by, retries)
     chosen = pick_attempt(listing, by, retries + SECOND_PASS)
     last = last_page(probed.select(*by, "page", F.size(items).alias("n_items")), by, max_pages)
-    flat = chosen.select(*by, "page", F.posexplode(items).alias("pos", "item"))
-    inside = (
-        flat.join(F.broadcast(last) if not by else last, by, "inner")
-        if by
-        else flat.crossJoin(F.broadcast(last))
-    ).where(F.col("page") <= F.col("last_page"))
+    flat = X.explode_rows(chosen, [*by, "page"], items)
+    # Without ``by`` there is one listing, hence one row of last page.
+    inside = (flat.join(last, by) if by else flat.crossJoin(F.broadcast(last))).where(F.col("page") <= F.col("last_page"))
     rows = merge_dedupe(inside.select(*by, "page", "pos", "item.*"), by)
     missing = check_complete(chosen.select(*by, "page"), last, by)
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
