@@ -184,6 +184,24 @@ def profile_requests(requests: DataFrame, default_lang: str = "") -> DataFrame:
     return requests.withColumn("lang", lang).withColumn("title", title).withColumn("error", error)
 
 
+def profile_results(requests: DataFrame, row_id: list[str], summary: DataFrame, search: DataFrame, entity: DataFrame, content: DataFrame, text=None) -> DataFrame:
+    """Requests of ``profile_requests`` → ``profile``, ``meta``, ``url``, ``error``.
+
+    Both kinds of miss are one ``summary_error`` here.
+    """
+    probes = requests.where(F.col("error").isNull()).select("lang", X.trim_ws(F.col("title")).alias("query")).distinct()
+    found = kb_profiles(probes, summary, search, entity, content, text)
+    right = found.select(F.concat_ws("\u0001", "lang", "query").alias("_k"), F.struct("profile", "meta", "url").alias("_r"))
+    left = requests.withColumn("_k", F.when(F.col("error").isNull(), F.concat_ws("\u0001", F.col("lang"), X.trim_ws(F.col("title")))))
+    out = join_unique(left, right, "_k", row_id)
+    missed = F.col("_r.profile").isNull()
+    error = F.coalesce(
+        "error",
+        F.when(missed, F.struct(F.lit("summary_error").alias("type"), F.lit("unable to load the page summary").alias("reason"))),
+    )
+    return out.select(*row_id, "_r.profile", "_r.meta", "_r.url", error.alias("error"))
+
+
 def kb_attach(records: DataFrame, profiles: DataFrame, row_id: list[str], name: str = "name", target: str = "kb", lang: str = "", items: str | None = None) -> DataFrame:
     """Attach ``profile``/``miss`` under ``target``; other fields and blank-named records untouched.
 

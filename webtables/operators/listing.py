@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtables.functions import text as X
+from webtables.plans.scratch import write_then_read
 
 MAX_PAGES = 2000
 RETRIES = 3
@@ -48,14 +49,16 @@ def last_page(pages: DataFrame, by: list[str] | None = None, max_pages: int = MA
     or missing, which is an error for the caller to report (``check_complete`` does).
     """
     by = by or []
-    full = pages.where((F.col("n_items") > 0) & F.col("page").between(1, max_pages)).select(*by, "page").distinct()
-    follows = full.select(*by, (F.col("page") - 1).cast("bigint").alias("page"))
-    ends = full.withColumn("page", F.col("page").cast("bigint")).join(follows, [*by, "page"], "left_anti")
-    first = full.where("page = 1").select(*by, F.lit(True).alias("_first"))
-    out = ends.groupBy(*by).agg(F.min("page").alias("last_page"))
-    if by:
-        return out.join(first.select(*by), by, "left_semi")
-    return out.crossJoin(F.broadcast(first.select("_first").limit(1))).drop("_first").where(F.col("last_page").isNotNull())
+    full = pages.where((F.col("n_items") > 0) & F.col("page").between(1, max_pages))
+    # Each page speaks for itself and for its predecessor, so one pass finds where the run breaks.
+    page = F.col("page").cast("bigint")
+    spoken = full.select(*by, F.explode(F.array(F.struct(page.alias("p"), F.lit(True).alias("own")), F.struct((page - 1).alias("p"), F.lit(False).alias("own")))).alias("s"))
+    known = spoken.groupBy(*by, F.col("s.p").alias("p")).agg(F.bool_or("s.own").alias("here"), F.bool_or(~F.col("s.own")).alias("followed"))
+    out = known.groupBy(*by).agg(
+        F.min(F.when(F.col("here") & ~F.col("followed"), F.col("p"))).alias("last_page"),
+        F.bool_or((F.col("p") == 0) & F.col("followed")).alias("_first"),
+    )
+    return out.where("_first").drop("_first")
 
 
 def check_complete(pages_ok: DataFrame, last: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -90,29 +93,47 @@ def merge_dedupe(items: DataFrame, by: list[str] | None = None, id_: str = "id",
     return first.unionByName(keyless).select(*items.columns)
 
 
+def page_heads(listing: DataFrame, by: list[str] | None = None, retries: int = RETRIES, items: str = "items") -> DataFrame:
+    """One small row per page: winning ``attempt`` of both passes, ``n_items``, and whether the first
+    pass already had it. No item payload is read beyond its length."""
+    keys = [*(by or []), "page"]
+    good = listing.where(F.col("ok") & (F.col("attempt") <= retries + SECOND_PASS))
+    return (
+        good.select(*keys, "attempt", F.size(items).alias("n_items"))
+        .groupBy(*keys)
+        .agg(F.min("attempt").alias("attempt"), F.min_by("n_items", "attempt").alias("n_items"))
+        .withColumn("first_pass", F.col("attempt") <= retries)
+    )
+
+
 def build_index(
     listing: DataFrame,
     by: list[str] | None = None,
     max_pages: int = MAX_PAGES,
     retries: int = RETRIES,
     items: str = "items",
+    materialize: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index rows, header rows, missing pages) of a captured listing.
 
     ``listing``: ``page``, ``attempt``, ``ok``, ``items array<struct<id,url,…>>``. The index is valid
     when the third table is empty and the second has a row; ``require_complete`` turns that into an
-    exception.
+    exception. With ``materialize`` the listing and the merged rows are each written once to the
+    shared folder, so that counting and writing do not extract or merge again.
     """
     by = by or []
-    # The probe that finds the last page has the first-pass retry budget; fetching has the second's.
-    probed = pick_attempt(listing, by, retries)
-    chosen = pick_attempt(listing, by, retries + SECOND_PASS)
-    last = last_page(probed.select(*by, "page", F.size(items).alias("n_items")), by, max_pages)
-    flat = X.explode_rows(chosen, [*by, "page"], items)
+    if materialize:
+        listing = write_then_read(listing.select(*by, "page", "attempt", "ok", items), "listing")
+    heads = page_heads(listing, by, retries, items)
+    # The last page is probed with the first-pass budget; fetching may use the second pass.
+    last = last_page(heads.where("first_pass"), by, max_pages)
+    chosen = listing.where("ok").join(heads.select(*by, "page", "attempt"), [*by, "page", "attempt"], "left_semi")
     # Without ``by`` there is one listing, hence one row of last page.
-    inside = (flat.join(last, by) if by else flat.crossJoin(F.broadcast(last))).where(F.col("page") <= F.col("last_page"))
-    rows = merge_dedupe(inside.select(*by, "page", "pos", "item.*"), by)
-    missing = check_complete(chosen.select(*by, "page"), last, by)
+    bounded = (chosen.join(last, by) if by else chosen.crossJoin(F.broadcast(last))).where(F.col("page") <= F.col("last_page"))
+    rows = merge_dedupe(X.explode_rows(bounded, [*by, "page"], items).select(*by, "page", "pos", "item.*"), by)
+    if materialize:
+        rows = write_then_read(rows, "index")
+    missing = check_complete(heads, last, by)
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
     header = counts.join(last, by) if by else counts.crossJoin(F.broadcast(last))
     return rows, header.withColumnRenamed("last_page", "total_pages"), missing

@@ -47,15 +47,21 @@ def join_unique(
     """
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    rest = [c for c in right.columns if c != key]
+    # One opaque column travels through the replication: the optimizer otherwise rewrites nested
+    # fields below the generator and loses track of them.
+    packed = right.select(key, F.array(F.struct(*rest)).alias("_row"))
     if find_hot:
         hot = F.broadcast(hot_keys(left, F.col(key)))
         l2 = left.join(hot, left[key] == hot["_hot"], "left").withColumn(
             "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), bucket).otherwise(F.lit(0))
         ).drop("_hot")
-        r2 = right.join(hot, right[key] == hot["_hot"], "left").withColumn(
+        r2 = packed.join(hot, packed[key] == hot["_hot"], "left").withColumn(
             "_salt", F.explode(F.when(F.col("_hot").isNotNull(), copies).otherwise(F.array(F.lit(0))))
         ).drop("_hot")
+    elif salts > 1:
+        l2, r2 = left.withColumn("_salt", bucket), packed.withColumn("_salt", F.explode(copies))
     else:
-        l2 = left.withColumn("_salt", bucket)
-        r2 = right.withColumn("_salt", F.explode(copies))
-    return l2.join(r2, [key, "_salt"], "left").drop("_salt")
+        l2, r2 = left.withColumn("_salt", F.lit(0)), packed.withColumn("_salt", F.lit(0))
+    joined = l2.join(r2, [key, "_salt"], "left")
+    return joined.select(*left.columns, *[F.get("_row", F.lit(0))[c].alias(c) for c in rest])
