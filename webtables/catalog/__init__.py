@@ -2,7 +2,7 @@
 
 from webtables.catalog.base import ORACLE, QUERIES
 
-_MODULES = ["html", "outcome", "params", "lookup", "jsonx", "shape", "sources", "listing", "streaming", "enrich"]
+_MODULES = ["html", "outcome", "params", "lookup", "jsonx", "shape", "sources", "listing", "streaming", "enrich", "wikitext", "tasks"]
 
 
 def load():

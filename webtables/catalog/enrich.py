@@ -115,7 +115,7 @@ def blank_to_null(spark, sf):
     return derive(spark, sf, KB_ENTITY).select("title", X.blank_to_null(F.col("birth_date")).alias("birth"), X.blank_to_null(F.col("official_website")).alias("website"))
 
 
-@query("kb_attach", f"WITH {FULL} SELECT rec_id, r.image AS old_image, {PROFILE_SQL} FROM r LEFT JOIN f ON trim(r.name) = f.query")
+@query("kb_attach", f"WITH {FULL}, fp AS (SELECT query, {PROFILE_SQL} FROM f) SELECT rec_id, r.image AS old_image, fp.* EXCLUDE (query) FROM r LEFT JOIN fp ON trim(r.name) = fp.query")
 def kb_attach(spark, sf):
     rec = records(spark, sf)
     profiles = E.kb_profiles(E.distinct_probes(rec, "name", "en"), **tables(spark, sf))

@@ -53,7 +53,7 @@ def _rewrite_links_and_tags(v: Column) -> Column:
     v = X.replace_all(v, r"\[(https?://[^\s\]]+)\s+([^\]]+)\]", "$2")
     v = X.replace_all(v, r"'{2,}", "")
     v = X.replace_all(v, r"<[^>]+>", "")
-    v = let(F.replace(v, F.lit("&nbsp;"), F.lit(" ")), unescape)
+    v = let(F.replace(v, F.lit("&nbsp;"), F.lit(" ")), lambda t: unescape(t))
     v = X.replace_all(v, r"[ \t\r\f]+", " ")
     v = X.replace_all(v, r"\n{3,}", "\n\n")
     return X.trim_ws(v)
@@ -170,10 +170,13 @@ def strip_leading_templates(text: Column) -> Column:
     ).otherwise(start)
 
 
+def raw_intro(text: Column) -> Column:
+    return let(strip_leading_templates(text), lambda r: F.substring_index(X.trim_ws(r), "\n==", 1))
+
+
 def intro(text: Column) -> Column:
     """Cleaned text before the first heading, without leading templates."""
-    rest = let(strip_leading_templates(text), lambda r: F.substring_index(X.trim_ws(r), "\n==", 1))
-    return let(rest, clean)
+    return let(raw_intro(text), clean)
 
 
 def infobox_body(text: Column, name: str) -> Column:
@@ -223,12 +226,17 @@ def field_of(fields: Column, key: str) -> Column:
 
 def alias_value(fields: Column, aliases: list[str]) -> Column:
     """Cleaned value of the first alias that is not empty; NULL if all are."""
-    return F.coalesce(*[let(clean(field_of(fields, a)), lambda v: F.when(v != "", v)) for a in aliases])
+    cleaned = F.transform(F.array(*[field_of(fields, a) for a in aliases]), lambda s: clean(s))
+    return F.get(F.filter(cleaned, lambda v: v != ""), F.lit(0))
+
+
+def first_digits(cleaned: Column) -> Column:
+    return F.nullif(F.regexp_extract(cleaned, r"(\d+)", 1), F.lit(""))
 
 
 def number(raw: Column) -> Column:
     """First digit run of the cleaned value; NULL if none."""
-    return let(F.regexp_extract(clean(raw), r"(\d+)", 1), lambda n: F.when(n != "", n))
+    return first_digits(clean(raw))
 
 
 def number_of(fields: Column, aliases: list[str]) -> Column:
@@ -260,10 +268,14 @@ def section(text: Column, title: str) -> Column:
     return F.coalesce(X.trim_ws(F.get(F.split(after, following, 2), F.lit(0))), F.lit(""))
 
 
+def raw_section(text: Column, titles: list[str]) -> Column:
+    """Section under several spellings; the last one present wins. Empty if none is."""
+    return F.coalesce(*[F.nullif(section(text, t), F.lit("")) for t in reversed(titles)], F.lit(""))
+
+
 def section_aliases(text: Column, titles: list[str]) -> Column:
-    """Cleaned section under several spellings; the last one present wins. NULL if none is."""
-    found = [let(section(text, t), lambda s: F.when(s != "", clean(s))) for t in reversed(titles)]
-    return F.coalesce(*found)
+    """The same, cleaned; NULL if no spelling is present."""
+    return let(raw_section(text, titles), lambda s: F.when(s != "", clean(s)))
 
 
 def _social(line: Column) -> Column:
@@ -277,19 +289,19 @@ def _social(line: Column) -> Column:
 
 
 def _bracket_links(line: Column) -> Column:
+    """Links with their labels as written."""
     java = X.compile_regex(r"\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]")[0]
-
-    def link(tok: Column) -> Column:
-        url = F.regexp_extract(tok, java, 1)
-        label = clean(F.regexp_extract(tok, java, 2))
-        return let(label, lambda t: F.struct(F.when(t != "", t).otherwise(url).alias("label"), url.alias("url"), F.lit(None).cast("string").alias("username")))
-
-    return F.transform(F.regexp_extract_all(line, F.lit(java), F.lit(0)), link)
+    return F.transform(
+        F.regexp_extract_all(line, F.lit(java), F.lit(0)),
+        lambda tok: F.struct(
+            F.regexp_extract(tok, java, 2).alias("label"), F.regexp_extract(tok, java, 1).alias("url"), F.lit(None).cast("string").alias("username")
+        ),
+    )
 
 
-def section_links(text: Column, titles: list[str]) -> Column:
-    """Links of the first non-empty section among ``titles``, in line order."""
-    found = F.coalesce(*[let(section(text, t), lambda s: F.when(s != "", s)) for t in titles])
+def raw_links(text: Column, titles: list[str]) -> Column:
+    """Links of the first non-empty section among ``titles``, in line order, labels not yet cleaned."""
+    found = F.coalesce(*[let(section(text, t), lambda s: F.when(s != "", s)) for t in titles]) if titles else F.lit(None).cast("string")
     lines = F.transform(
         F.split(found, "\n"), lambda s: X.trim_ws(F.regexp_replace(X.trim_ws(s), r"^\*", ""))
     )
@@ -297,6 +309,21 @@ def section_links(text: Column, titles: list[str]) -> Column:
     return F.coalesce(F.flatten(per_line), F.array().cast(f"array<{LINK}>"))
 
 
+def label_links(links: Column, labels: Column) -> Column:
+    """``links`` with cleaned ``labels``; an empty label is the URL, social labels are fixed."""
+
+    def relabel(link: Column, label: Column) -> Column:
+        shown = F.when(link["username"].isNotNull(), link["label"]).when(label != "", label).otherwise(link["url"])
+        return F.struct(shown.alias("label"), link["url"].alias("url"), link["username"].alias("username"))
+
+    return F.zip_with(links, labels, relabel)
+
+
+def section_links(text: Column, titles: list[str]) -> Column:
+    """Links of the first non-empty section among ``titles``, in line order."""
+    return let(raw_links(text, titles), lambda l: label_links(l, F.transform(l, lambda x: clean(x["label"]))))
+
+
 def fallback_links(urls: Column) -> Column:
     """Listed URLs without blanks and archive copies, the first ten."""
     kept = F.filter(F.transform(urls, X.trim_ws), lambda u: (u != "") & ~F.contains(u, F.lit(ARCHIVE_HOST)))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webtables.functions.text import once
+
 HOT_ENTRIES = 64  # upper bound of hot keys, hence of the broadcast rows
 HOT_SHARE = 0.005  # a key is hot above this share of the rows
 SKETCH_ITEMS = 10_000  # counters per sketch: error well below HOT_SHARE
@@ -48,9 +50,7 @@ def join_unique(
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     rest = [c for c in right.columns if c != key]
-    # One opaque column travels through the replication: the optimizer otherwise rewrites nested
-    # fields below the generator and loses track of them.
-    packed = right.select(key, F.array(F.struct(*rest)).alias("_row"))
+    packed = right.select(key, F.struct(*rest).alias("_row"))
     if find_hot:
         hot = F.broadcast(hot_keys(left, F.col(key)))
         l2 = left.join(hot, left[key] == hot["_hot"], "left").withColumn(
@@ -63,5 +63,7 @@ def join_unique(
         l2, r2 = left.withColumn("_salt", bucket), packed.withColumn("_salt", F.explode(copies))
     else:
         l2, r2 = left.withColumn("_salt", F.lit(0)), packed.withColumn("_salt", F.lit(0))
+    # Pinned, because the optimizer otherwise moves nested fields below the generator and loses them.
+    r2 = r2.select(key, "_salt", once(F.col("_row")).alias("_row"))
     joined = l2.join(r2, [key, "_salt"], "left")
-    return joined.select(*left.columns, *[F.get("_row", F.lit(0))[c].alias(c) for c in rest])
+    return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in rest])
