@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webtables.sources.pages import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -30,6 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on."""
     # Repeated JSON keys: the last one wins instead of the body being refused.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # Pages are large rows: small Arrow batches keep the DOM step's memory flat.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 
@@ -37,12 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL over the test tables it names after FROM and JOIN."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, *spread_by: str) -> DataFrame:
+    """Run SQL over the test tables it names after FROM and JOIN.
+
+    ``spread_by``: columns to spread rows by when the input has fewer splits than cores and the work
+    that follows is CPU-heavy.
+    """
     for t in TABLES:
         if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql):
             table(spark, sf_dir, t).createOrReplaceTempView(f"webtables_{t}")
-    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 webtables_\2", sql))
+    out = spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 webtables_\2", sql))
+    return spread(out, *spread_by) if spread_by else out
 
 
 def decoded(sql: str) -> str:

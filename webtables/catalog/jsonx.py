@@ -20,7 +20,7 @@ TIME = "'+' || strftime(od, '%Y-%m-%d') || 'T00:00:00Z'"
 
 
 def bodies(spark, sf):
-    return derive(spark, sf, JSON_ORDERS).select("doc_id", "body")
+    return derive(spark, sf, JSON_ORDERS, "doc_id").select("doc_id", "body")
 
 
 def parsed(spark, sf):

@@ -16,7 +16,7 @@ IX = f"ix AS ({INDEX})"
 
 
 def raw(spark, sf):
-    return derive(spark, sf, PARAMS)
+    return derive(spark, sf, PARAMS, "request_id")
 
 
 def rows(spark, sf):

@@ -8,6 +8,7 @@ from webtables.catalog.base import decoded, derive, query, table
 from webtables.catalog.fixtures import WIKITEXT
 from webtables.functions import wikitext as K
 from webtables.functions.text import explode_rows, let, once
+from webtables.sources.pages import spread
 from webtables.operators.wikitext import WikiSpec, wiki_text_record, wikitext_tables
 
 W = f"w AS ({WIKITEXT})"
@@ -24,7 +25,7 @@ SPEC = WikiSpec(
 
 
 def docs(spark, sf):
-    w = derive(spark, sf, WIKITEXT).select("doc_id", "wikitext")
+    w = derive(spark, sf, WIKITEXT, "doc_id").select("doc_id", "wikitext")
     url = F.transform(
         F.sequence(F.lit(1), F.lit(13)),
         lambda i: F.when(i == 3, F.concat(F.lit("https://web.archive.org/"), F.col("doc_id")))
@@ -51,7 +52,7 @@ def clean_sql(c: str) -> str:
 
 @query("wiki_clean", f"SELECT doc_id, {clean_sql(chr(39).join(['text || ', ' [[A|b]] <i>x</i> [[File:q|z]] &amp; [http://u.example v w]', '']))} AS plain FROM documents")
 def wiki_clean(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     text = F.concat("text", F.lit(" [[A|b]] <i>x</i> [[File:q|z]] &amp; [http://u.example v w]"))
     return d.select("doc_id", K.clean(text).alias("plain"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions import text as X
-from webtables.plans.skew import join_unique
+from webtables.plans.skew import salted_join
 
 DEFAULT_LANG = "zh"
 SOURCE = "wikidata"
@@ -66,7 +66,7 @@ def _join_title(left: DataFrame, right: DataFrame, title: str, salts: int = 8) -
     """Left join on (lang, title). Probes are distinct, but many may fall back to one title."""
     keyed = left.withColumn("_k", F.when(F.col(title).isNotNull(), F.concat_ws("\u0001", "lang", title)))
     table = right.withColumn("_k", F.concat_ws("\u0001", "_lang", "_title")).drop("_lang", "_title")
-    return join_unique(keyed, table, "_k", ["query"], salts=salts, find_hot=False).drop("_k")
+    return salted_join(keyed, table, "_k", ["query"], salts=salts, find_hot=False).drop("_k")
 
 
 def match_with_fallback(probes: DataFrame, summary: DataFrame, search: DataFrame, key: str = "title") -> DataFrame:
@@ -193,7 +193,7 @@ def profile_results(requests: DataFrame, row_id: list[str], summary: DataFrame,
     found = kb_profiles(probes, summary, search, entity, content, text)
     right = found.select(F.concat_ws("\u0001", "lang", "query").alias("_k"), F.struct("profile", "meta", "url").alias("_r"))
     left = requests.withColumn("_k", F.when(F.col("error").isNull(), F.concat_ws("\u0001", F.col("lang"), X.trim_ws(F.col("title")))))
-    out = join_unique(left, right, "_k", row_id)
+    out = salted_join(left, right, "_k", row_id)
     missed = F.col("_r.profile").isNull()
     error = F.coalesce(
         "error",
@@ -211,15 +211,15 @@ def kb_attach(records: DataFrame, profiles: DataFrame, row_id: list[str], name:
     right = profiles.where(F.col("lang") == language).select(F.col("query").alias("_q"), F.struct("profile", "miss").alias("_kb"))
     if items is None:
         left = records.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(name))))
-        return join_unique(left, right, "_q", row_id).withColumnRenamed("_kb", target).select(*records.columns, target)
+        return salted_join(left, right, "_q", row_id).withColumnRenamed("_kb", target).select(*records.columns, target)
     kind = records.schema[items].dataType
     if isinstance(kind, T.StructType):
         left = records.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(items)[name])))
-        joined = join_unique(left, right, "_q", row_id, find_hot=False, salts=8)
+        joined = salted_join(left, right, "_q", row_id, find_hot=False, salts=8)
         return joined.withColumn(items, F.when(F.col(items).isNotNull(), F.col(items).withField(target, F.col("_kb")))).select(*records.columns)
     flat = records.select(*row_id, F.posexplode(items).alias("_pos", "_item"))
     left = flat.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(f"_item.{name}"))))
-    joined = join_unique(left, right, "_q", [*row_id, "_pos"], find_hot=False, salts=8)
+    joined = salted_join(left, right, "_q", [*row_id, "_pos"], find_hot=False, salts=8)
     back = joined.groupBy(*row_id).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.col("_item").alias("item"), F.col("_kb").alias("kb"))),
                      lambda a, b: a["_pos"] - b["_pos"]).alias("_list")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions import text as X
-from webtables.plans.skew import join_unique
+from webtables.plans.skew import salted_join
 
 
 def normalize_key(c: Column, case_sensitive: bool = False) -> Column:
@@ -72,7 +72,7 @@ def lookup_one(
     """
     table = lookup_table(index, match, value, case_sensitive)
     key = X.blank_to_null(normalize_key(F.col(probe), case_sensitive))
-    joined = join_unique(
+    joined = salted_join(
         probes.withColumn("key", key), table, "key", row_id or [c for c in probes.columns if c != probe] or [probe],
         find_hot=find_hot,
     )
@@ -86,13 +86,24 @@ def lookup_one(
     )
 
 
-def lookup_all(probes: DataFrame, index: DataFrame, match: str, case_sensitive: bool = False, probe: str = "probe") -> DataFrame:
-    """Every index row per probe (a probe times its matches by definition); blank probes give none."""
+def lookup_all(
+    probes: DataFrame,
+    index: DataFrame,
+    match: str,
+    case_sensitive: bool = False,
+    probe: str = "probe",
+    row_id: list[str] | None = None,
+) -> DataFrame:
+    """Every index row per probe, with the index columns; blank probes give none.
+
+    The result is a probe times its matches by definition; the rows of a hot probe value are spread.
+    """
     keyed = index_keys(index, match, case_sensitive)
     left = probes.withColumn("key", X.blank_to_null(normalize_key(F.col(probe), case_sensitive))).where(
         F.col("key").isNotNull()
     )
-    return left.join(keyed, "key").drop("key")
+    spread_by = row_id or [c for c in probes.columns if c != probe] or [probe]
+    return salted_join(left, keyed, "key", spread_by, how="inner").drop("key")
 
 
 def lookup_report(probes: DataFrame, index: DataFrame, match: str = "name", case_sensitive: bool = False, probe: str = "probe") -> DataFrame:
@@ -143,7 +154,7 @@ def replace_if_found(
         X.trim_ws(F.col("_found")) != ""
     )
     left = records.withColumn("_name", X.blank_to_null(X.trim_ws(F.col(name))))
-    out = join_unique(left, right, "_name", row_id, find_hot=find_hot)
+    out = salted_join(left, right, "_name", row_id, find_hot=find_hot)
     return out.withColumn(target, F.coalesce("_found", target)).select(*records.columns)
 
 
@@ -194,7 +205,7 @@ def lookup_or_not_found(
     """Direct lookup by name: requests + ``found_name``, ``image``, ``error struct<type,reason>``."""
     right = lookup.select(F.col(lookup_name).alias("_name"), F.col(lookup_value).alias("_found"))
     left = requests.withColumn("_name", X.blank_to_null(X.trim_ws(F.col(name))))
-    out = join_unique(left, right, "_name", row_id or [c for c in requests.columns if c != name])
+    out = salted_join(left, right, "_name", row_id or [c for c in requests.columns if c != name])
     found = X.blank_to_null(F.col("_found"))
     error = F.when(
         F.col("_name").isNull(), F.struct(F.lit("param_error").alias("type"), F.lit("name is required").alias("reason"))

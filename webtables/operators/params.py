@@ -22,8 +22,12 @@ def param(name: str, params: Column | None = None) -> Column:
 
 def put(params: Column, name: str, value: Column) -> Column:
     """Map with one key set (added or overwritten); a NULL value leaves the map alone."""
-    rest = F.map_filter(params, lambda k, _: k != name)
-    return F.when(value.isNull(), params).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+
+    def build(p: Column) -> Column:
+        rest = F.map_filter(p["m"], lambda k, _: k != name)
+        return F.when(p["v"].isNull(), p["m"]).otherwise(F.map_concat(rest, F.create_map(F.lit(name), p["v"])))
+
+    return X.let(F.struct(params.alias("m"), value.alias("v")), build)
 
 
 def param_defaults(params: Column, spec: dict) -> Column:

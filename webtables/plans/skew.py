@@ -1,4 +1,4 @@
-"""Joins of a big, possibly skewed table to a table with one row per key.
+"""Joins of a big, possibly skewed table to a table with one or few rows per key.
 
 The big side keeps its rows where they are unless its keys are hot. Hot keys are found by a sketch
 whose output is a fixed number of entries whatever the data size, so broadcasting it is safe; rows of
@@ -22,7 +22,7 @@ def hot_keys(df: DataFrame, key: Column) -> DataFrame:
 
     Approximate counts only steer placement; no result depends on them.
     """
-    top = df.select(key.alias("k")).where(F.col("k").isNotNull()).agg(
+    top = df.select(once(key).alias("k")).where(F.col("k").isNotNull()).agg(
         F.expr(f"approx_top_k(k, {HOT_ENTRIES}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n")
     )
     return (
@@ -32,15 +32,16 @@ def hot_keys(df: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def join_unique(
+def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     spread_by: list[str],
     salts: int = 32,
     find_hot: bool = True,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join on the string column ``key``; ``right`` holds one row per key.
+    """Join on the string column ``key``; ``right`` holds one row per key (few, for an inner join).
 
     ``spread_by`` are left columns that differ within a hot key (a row id): their hash is the salt,
     so a retried task places its rows in the same buckets. With ``find_hot=False`` every key is
@@ -65,5 +66,5 @@ def join_unique(
         l2, r2 = left.withColumn("_salt", F.lit(0)), packed.withColumn("_salt", F.lit(0))
     # Pinned, because the optimizer otherwise moves nested fields below the generator and loses them.
     r2 = r2.select(key, "_salt", once(F.col("_row")).alias("_row"))
-    joined = l2.join(r2, [key, "_salt"], "left")
+    joined = l2.join(r2, [key, "_salt"], how)
     return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in rest])
