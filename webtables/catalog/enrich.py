@@ -68,7 +68,7 @@ def kb_miss_record(spark, sf):
 @query("kb_join_entity_content", f"WITH {FULL} SELECT query, title AS accepted_title, e_id, wikitext FROM f")
 def kb_join_entity_content(spark, sf):
     t = tables(spark, sf)
-    full = E.join_entity_content(matched(spark, sf), t["entity"], t["content"])
+    full = E.join_entity_content(matched(spark, sf), t["entity"], t["content"], t["search"])
     return full.select("query", "accepted_title", F.col("e.entity_id").alias("e_id"), F.col("c.wikitext").alias("wikitext"))
 
 

@@ -190,14 +190,11 @@ def on_missing_error(spark, sf):
     return out.select("page_id", "error", F.when(F.col("error").isNull(), F.size("items").cast("bigint")).alias("n"))
 
 
-@query("page_meta", f"""WITH {LINKS} SELECT p.page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-  CASE WHEN {COMMA.replace('txt', decoded(decoded(chr(39).join(['regexp_extract(html, ', '<h1>([^<]*)</h1>', ', 1)']))))} IS NULL THEN 'meta "comma" is missing' END AS error FROM pages p""")
+@query("page_meta", f"""WITH h AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {decoded(decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS h1 FROM pages)
+  SELECT page_id, CASE WHEN h1 LIKE '%,%' THEN lang END AS lang, CASE WHEN NOT h1 LIKE '%,%' THEN 'meta "comma" is missing' END AS error FROM h""")
 def page_meta(spark, sf):
-    meta = {"lang": Field(S.descendant("html"), attr="lang"), "comma": Field(S.descendant("h1"), regex=r"[^,]+,", on_missing="skip_item")}
-    relaxed = {"lang": Field(S.descendant("html"), attr="lang")}
-    strict = H.extract_html(pages(spark, sf), Extract(meta=meta), keep=["page_id"])
-    plain = H.extract_html(pages(spark, sf), Extract(meta=relaxed), keep=["page_id"])
-    return plain.select("page_id", "meta.lang").join(strict.select("page_id", "error"), "page_id")
+    meta = {"lang": Field(S.descendant("html"), attr="lang"), "comma": Field(S.descendant("h1"), regex=",", on_missing="skip_item")}
+    return H.extract_html(pages(spark, sf), Extract(meta=meta), keep=["page_id"]).select("page_id", "meta.lang", "error")
 
 
 H1 = decoded(decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webtables.catalog.base import LINKS, query
+from webtables.catalog.base import LINKS, derive, query, table
 from webtables.catalog.fixtures import LISTING_LINK_ID, LISTING_LINK_URL
 from webtables.catalog.html import pages
 from webtables.functions import select as S
@@ -67,25 +67,21 @@ def last_page(spark, sf):
     return L.last_page(link_items(spark, sf).select("page", F.size("items").alias("n_items")), max_pages=10**9)
 
 
-@query("last_page_by_site", f"""WITH {ITEMS}, s AS (SELECT regexp_extract(url, '/(..)/', 1) AS site, row_number() OVER (PARTITION BY regexp_extract(url, '/(..)/', 1) ORDER BY p.page_id) AS page, length(url) % 29 AS n FROM pages p),
-  x AS (SELECT site, min(page) FILTER (n = 0) AS gap, max(page) AS top FROM s GROUP BY site) SELECT site, coalesce(gap - 1, top) AS last_page FROM x WHERE coalesce(gap, 2) > 1""")
-def last_page_by_site(spark, sf):
-    from pyspark.sql import Window
+SITES = """SELECT concat('site', CAST(page_id % 7 AS STRING)) AS site, CAST(floor(page_id / 7) AS BIGINT) + 1 AS page, length(url) % 29 AS n_items FROM pages"""
 
-    from webtables.catalog.base import table
 
-    site = F.regexp_extract("url", "/(..)/", 1)
-    s = table(spark, sf, "pages").select(
-        site.alias("site"), F.row_number().over(Window.partitionBy(site).orderBy("page_id")).cast("bigint").alias("page"), (F.length("url") % 29).alias("n_items")
-    )
-    return L.last_page(s, by=["site"], max_pages=10**9)
+@query("last_page_by_site", f"""WITH s AS ({SITES}), x AS (SELECT site, min(page) FILTER (n_items = 0) AS gap, max(page) AS top FROM s GROUP BY site)
+  SELECT site, coalesce(gap - 1, top) AS last_page FROM x WHERE coalesce(gap, 2) > 1""")
+def last_page_by_site(spark, sf):
+    return L.last_page(derive(spark, sf, SITES), by=["site"], max_pages=10**9)
 
 
-@query("check_complete", f"WITH {ITEMS} SELECT p AS page FROM range(1, (SELECT max(page) + 1 FROM w)) t(p) WHERE p NOT IN (SELECT page FROM w WHERE page % 9 <> 4)")
+@query("check_complete", f"WITH {ITEMS} SELECT p AS page FROM range(1, (SELECT max(page) + 1 FROM w)) t(p) WHERE p NOT IN (SELECT page_id + 1 FROM pages WHERE contains(html, '</body>'))")
 def check_complete(spark, sf):
-    have = link_items(spark, sf).select("page")
-    last = have.agg(F.max("page").alias("last_page"))
-    return L.check_complete(have.where(F.col("page") % 9 != 4), last)
+    """Truncated captures count as failed."""
+    p = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("page"), F.contains("html", F.lit("</body>")).alias("ok"))
+    last = p.agg(F.max("page").alias("last_page"))
+    return L.check_complete(p.where("ok"), last)
 
 
 @query("merge_dedupe", f"WITH {ITEMS}, {MERGE.format(src='i')} SELECT * FROM m")

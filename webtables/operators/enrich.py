@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions import text as X
-from webtables.plans.skew import salted_join
+from webtables.plans.skew import hot_keys, salted_join
 
 DEFAULT_LANG = "zh"
 SOURCE = "wikidata"
@@ -62,11 +62,22 @@ def _packed(table: DataFrame, cols: dict[str, str], name: str, title: str = "tit
     return table.select(F.col("lang").alias("_lang"), F.col(title).alias("_title"), F.struct(*parts).alias(name))
 
 
-def _join_title(left: DataFrame, right: DataFrame, title: str, salts: int = 8) -> DataFrame:
+def _title_key(title: str) -> Column:
+    return F.when(F.col(title).isNotNull(), F.concat_ws("\u0001", "lang", title))
+
+
+def hot_titles(search: DataFrame) -> DataFrame:
+    """Titles that answer a large share of the searches: the only ones many distinct probes meet at."""
+    return hot_keys(search_top1(search), _title_key("hit_title"))
+
+
+def _join_title(left: DataFrame, right: DataFrame, title: str, hot: DataFrame | None = None) -> DataFrame:
     """Left join on (lang, title). Probes are distinct, but many may fall back to one title."""
-    keyed = left.withColumn("_k", F.when(F.col(title).isNotNull(), F.concat_ws("\u0001", "lang", title)))
+    keyed = left.withColumn("_k", _title_key(title))
     table = right.withColumn("_k", F.concat_ws("\u0001", "_lang", "_title")).drop("_lang", "_title")
-    return salted_join(keyed, table, "_k", ["query"], salts=salts, find_hot=False).drop("_k")
+    if hot is None:
+        return salted_join(keyed, table, "_k", ["query"], salts=1, find_hot=False).drop("_k")
+    return salted_join(keyed, table, "_k", ["query"], hot=hot).drop("_k")
 
 
 def match_with_fallback(probes: DataFrame, summary: DataFrame, search: DataFrame, key: str = "title") -> DataFrame:
@@ -76,12 +87,12 @@ def match_with_fallback(probes: DataFrame, summary: DataFrame, search: DataFrame
     id is not required. ``key`` is the summary column that answers a title request.
     """
     packed = _packed(summary, SUMMARY_COLS, "s1", key)
-    first = _join_title(probes.withColumn("_q", F.col("query")), packed, "_q", salts=1).drop("_q")
+    first = _join_title(probes.withColumn("_q", F.col("query")), packed, "_q").drop("_q")
     exact = ~X.is_blank(F.col("s1.entity_id"))
     top = search_top1(search)
     fallen = first.withColumn("exact", exact).join(top, ["lang", "query"], "left")
     fallen = fallen.withColumn("_hit", F.when(~F.col("exact"), F.col("hit_title")))
-    second = _join_title(fallen, packed.withColumnRenamed("s1", "s2"), "_hit")
+    second = _join_title(fallen, packed.withColumnRenamed("s1", "s2"), "_hit", hot_titles(search))
     s = F.when(F.col("exact"), F.col("s1")).otherwise(F.col("s2"))
     how = (
         F.when(F.col("exact"), "exact")
@@ -100,12 +111,15 @@ def miss_record(query: Column, reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.struct(F.lit(False).alias("matched"), query.alias("query"), reason.alias("reason")))
 
 
-def join_entity_content(matched: DataFrame, entity: DataFrame, content: DataFrame) -> DataFrame:
-    """Best-effort entity and content rows of the accepted title; absence is fine."""
+def join_entity_content(matched: DataFrame, entity: DataFrame, content: DataFrame, search: DataFrame) -> DataFrame:
+    """Best-effort entity and content rows of the accepted title; absence is fine.
+
+    Content rows are large: only those of hot titles are replicated.
+    """
     e = _packed(entity, ENTITY_COLS, "e")
     c = _packed(content, {"wikitext": "string", "external_links": "array<string>"}, "c")
-    with_e = _join_title(matched, e, "accepted_title")
-    return _join_title(with_e, c, "accepted_title")
+    hot = hot_titles(search)
+    return _join_title(_join_title(matched, e, "accepted_title", hot), c, "accepted_title", hot)
 
 
 def provenance(value: Column, prop: str, key: str = "value", source: str = SOURCE) -> Column:
@@ -157,7 +171,7 @@ def kb_profiles(probes: DataFrame, summary: DataFrame, search: DataFrame, entity
 
     ``text``: optional column builder over the content struct (see ``operators.wikitext``).
     """
-    full = join_entity_content(match_with_fallback(probes, summary, search, key), entity, content)
+    full = join_entity_content(match_with_fallback(probes, summary, search, key), entity, content, search)
     ok = F.col("reason").isNull()
     t = text(F.col("c")) if text else None
     return full.select(
@@ -215,11 +229,11 @@ def kb_attach(records: DataFrame, profiles: DataFrame, row_id: list[str], name:
     kind = records.schema[items].dataType
     if isinstance(kind, T.StructType):
         left = records.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(items)[name])))
-        joined = salted_join(left, right, "_q", row_id, find_hot=False, salts=8)
+        joined = salted_join(left, right, "_q", row_id, find_hot=False)
         return joined.withColumn(items, F.when(F.col(items).isNotNull(), F.col(items).withField(target, F.col("_kb")))).select(*records.columns)
     flat = records.select(*row_id, F.posexplode(items).alias("_pos", "_item"))
     left = flat.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(f"_item.{name}"))))
-    joined = salted_join(left, right, "_q", [*row_id, "_pos"], find_hot=False, salts=8)
+    joined = salted_join(left, right, "_q", [*row_id, "_pos"], find_hot=False)
     back = joined.groupBy(*row_id).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.col("_item").alias("item"), F.col("_kb").alias("kb"))),
                      lambda a, b: a["_pos"] - b["_pos"]).alias("_list")

@@ -37,23 +37,26 @@ def salted_join(
     right: DataFrame,
     key: str,
     spread_by: list[str],
-    salts: int = 32,
+    salts: int | None = None,
     find_hot: bool = True,
     how: str = "left",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join on the string column ``key``; ``right`` holds one row per key (few, for an inner join).
 
     ``spread_by`` are left columns that differ within a hot key (a row id): their hash is the salt,
     so a retried task places its rows in the same buckets. With ``find_hot=False`` every key is
     salted, which replicates all of ``right`` but reads ``left`` only once: use it when ``left`` is
-    expensive to compute and ``right`` is small. NULL keys match nothing and are spread too.
+    expensive to compute and ``right`` is small. ``hot`` replaces the sketch over ``left`` by one over
+    a cheaper table with about the same keys. NULL keys match nothing and are spread too.
     """
+    salts = salts or (32 if find_hot else 8)
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     rest = [c for c in right.columns if c != key]
     packed = right.select(key, F.struct(*rest).alias("_row"))
     if find_hot:
-        hot = F.broadcast(hot_keys(left, F.col(key)))
+        hot = F.broadcast(hot_keys(left, F.col(key)) if hot is None else hot)
         l2 = left.join(hot, left[key] == hot["_hot"], "left").withColumn(
             "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), bucket).otherwise(F.lit(0))
         ).drop("_hot")

@@ -17,6 +17,7 @@ from webtables.operators.html import extract_html
 from webtables.operators.json import extract_json
 from webtables.operators.lookup import replace_in_list
 from webtables.operators.shape import group_items, shape
+from webtables.plans.scratch import write_then_read
 from webtables.plans.spec import Extract
 
 
@@ -110,14 +111,15 @@ def run_task(
         "data",
         "error",
     )
-    return enhance(out, task, lookup, kb)
+    if not task.get("enhance"):
+        return out
+    # Enrichment reads the records several times; extraction must not be repeated for each.
+    return enhance(write_then_read(out, "records"), task, lookup, kb)
 
 
 def enhance(results: DataFrame, task: dict, lookup: DataFrame | None, kb: dict[str, DataFrame] | None) -> DataFrame:
     """Image replacement and knowledge-base records on the items of ``data``."""
     conf, output = task.get("enhance") or {}, task.get("output") or {}
-    if not conf:
-        return results
     kind = results.schema["data"].dataType
     if isinstance(kind, T.StructType):
         key = (conf.get("items_key") or output.get("items_key") or "items")
