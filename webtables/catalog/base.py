@@ -56,9 +56,9 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, *spread_by: str) -> DataF
 
 def decoded(sql: str) -> str:
     """SQL text of one HTML entity decode, for the entities the test pages hold."""
-    for name, value in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for name, value in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">")):
         sql = f"replace({sql}, '{name}', '{value}')"
-    return sql
+    return f"regexp_replace({sql}, '&amp;?', '&', 'g')"
 
 
 LINK_RE = '<li><a href="([^"]*)">([^<]*)</a></li>'
