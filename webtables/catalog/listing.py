@@ -93,11 +93,11 @@ def merge_dedupe(spark, sf):
 BUILT = f"{ITEMS}, z AS (SELECT * FROM i WHERE page <= {LAST}), {MERGE.format(src='z')}"
 
 
-@query("build_index", f"WITH {BUILT} SELECT m.*, (SELECT count(*) FROM m) AS count, CAST({LAST} AS BIGINT) AS total_pages FROM m")
+@query("build_index", f"WITH {BUILT} SELECT * FROM m")
 def build_index(spark, sf):
     rows, header, missing = L.build_index(listing(spark, sf), max_pages=10**9)
     L.require_complete(header, missing)
-    return rows.withColumn("pos", F.col("pos").cast("bigint")).crossJoin(F.broadcast(header.select("count", "total_pages")))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("write_index_document", f"""WITH {BUILT}, f AS (SELECT min(page * 100000 + pos) AS k FROM m)

@@ -9,7 +9,7 @@ from webtables.catalog.enrich import FULL, PROFILE_SQL, flat_profile, records, t
 from webtables.catalog.fixtures import JSON_ORDERS
 from webtables.catalog.html import pages
 from webtables.catalog.jsonx import HITS
-from webtables.catalog.listing import BUILT, LAST, record_list
+from webtables.catalog.listing import BUILT, record_list
 from webtables.catalog.lookup import IMAGES, images
 from webtables.functions import select as S
 from webtables.operators import enrich as E
@@ -128,14 +128,13 @@ def task_candidate_search(spark, sf):
     return out.select("request_id", "error.type", F.when(F.col("ok"), F.array_join(item, "|")).alias("items")).withColumnRenamed("type", "error")
 
 
-@query("task_paged_directory", f"WITH {BUILT}, x AS (SELECT page, count(*) AS n, min(pos) AS first_pos FROM m GROUP BY page) SELECT page, n, first_pos, CAST({LAST} AS BIGINT) AS total_pages FROM x")
+@query("task_paged_directory", f"WITH {BUILT}, x AS (SELECT page, count(*) AS n, min(pos) AS first_pos FROM m GROUP BY page) SELECT page, n, first_pos FROM x")
 def task_paged_directory(spark, sf):
     data = record_list(pages(spark, sf))
     listing = data.select("page", F.lit(0).alias("attempt"), F.lit(True).alias("ok"), F.col("data.links").alias("items"))
     rows, header, missing = L.build_index(listing, max_pages=10**9)
     L.require_complete(header, missing)
-    per_page = rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
-    return per_page.crossJoin(F.broadcast(header.select("total_pages")))
+    return rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
 
 
 CATEGORIES = [{"name": "5-LOW", "fid": "50"}, {"name": "1-URGENT", "fid": "10"}, {"name": "2-HIGH", "fid": "20"}]

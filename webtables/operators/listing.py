@@ -64,9 +64,14 @@ def last_page(pages: DataFrame, by: list[str] | None = None, max_pages: int = MA
 def check_complete(pages_ok: DataFrame, last: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Pages 1..last that have no successful capture; an empty result means complete."""
     by = by or []
-    wanted = last.select(*by, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last_page").cast("bigint"))).alias("page"))
     have = pages_ok.select(*by, F.col("page").cast("bigint").alias("page")).distinct()
-    return wanted.join(have, [*by, "page"], "left_anti")
+    return all_pages(last, by).join(have, [*by, "page"], "left_anti")
+
+
+def all_pages(last: DataFrame, by: list[str]) -> DataFrame:
+    """Pages 1..last of each listing."""
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("last_page").cast("bigint"))
+    return last.select(*by, F.explode(numbers).alias("page"))
 
 
 def item_key(id_: Column, url: Column) -> Column:
@@ -81,16 +86,18 @@ def merge_dedupe(items: DataFrame, by: list[str] | None = None, id_: str = "id",
     table is reduced to one row per input task before the shuffle.
     """
     by = by or []
-    keyed = items.withColumn("_key", item_key(F.col(id_), F.col(url)))
+    key = item_key(F.col(id_), F.col(url))
+    # A keyless item is its own group, so one pass over the items serves both kinds.
+    own = F.when(key.isNull(), F.struct("page", "pos"))
     rest = [c for c in items.columns if c not in by]
-    first = (
-        keyed.where(F.col("_key").isNotNull())
-        .groupBy(*by, "_key")
+    return (
+        items.withColumn("_key", key)
+        .withColumn("_own", own)
+        .groupBy(*by, "_key", "_own")
         .agg(F.min_by(F.struct(*rest), F.struct("page", "pos")).alias("_row"))
         .select(*by, "_row.*")
+        .select(*items.columns)
     )
-    keyless = keyed.where(F.col("_key").isNull()).select(*by, *rest)
-    return first.unionByName(keyless).select(*items.columns)
 
 
 def page_heads(listing: DataFrame, by: list[str] | None = None, retries: int = RETRIES, items: str = "items") -> DataFrame:
@@ -128,15 +135,19 @@ def build_index(
     # The last page is probed with the first-pass budget; fetching may use the second pass.
     last = last_page(heads.where("first_pass"), by, max_pages)
     chosen = listing.where("ok").join(heads.select(*by, "page", "attempt"), [*by, "page", "attempt"], "left_semi")
-    # Without ``by`` there is one listing, hence one row of last page.
-    bounded = (chosen.join(last, by) if by else chosen.crossJoin(F.broadcast(last))).where(F.col("page") <= F.col("last_page"))
+    bounded = chosen.join(all_pages(last, by), [*by, "page"], "left_semi")
     rows = merge_dedupe(X.explode_rows(bounded, [*by, "page"], items).select(*by, "page", "pos", "item.*"), by)
     if materialize:
         rows = write_then_read(rows, "index")
     missing = check_complete(heads, last, by)
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
-    header = counts.join(last, by) if by else counts.crossJoin(F.broadcast(last))
-    return rows, header.withColumnRenamed("last_page", "total_pages"), missing
+    header = (
+        counts.unionByName(last, allowMissingColumns=True)
+        .groupBy(*by)
+        .agg(F.max("count").alias("count"), F.max("last_page").alias("total_pages"))
+        .where(F.col("total_pages").isNotNull())
+    )
+    return rows, header, missing
 
 
 def require_complete(header: DataFrame, missing: DataFrame) -> None:

@@ -59,10 +59,11 @@ def document_lines(rows: DataFrame, header: DataFrame, items_name: str = "items"
     )
     tail = header.select(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("pos"), F.lit("]}").alias("line"))
     first = rows.agg(F.min(F.struct(F.col("page").cast("bigint").alias("p"), F.col("pos").cast("bigint").alias("q"))).alias("f"))
-    body = rows.crossJoin(F.broadcast(first)).select(
+    is_first = (F.col("page") == F.col("f.p")) & (F.col("pos") == F.col("f.q"))
+    body = rows.join(F.broadcast(first), is_first, "left").select(  # one row of ``first``
         F.lit(1).alias("part"), F.col("page").cast("bigint").alias("page"), F.col("pos").cast("bigint").alias("pos"),
         F.concat(
-            F.when((F.col("page") == F.col("f.p")) & (F.col("pos") == F.col("f.q")), F.lit("")).otherwise(","),
+            F.when(F.col("f").isNotNull(), F.lit("")).otherwise(","),
             F.to_json(F.struct(*item_cols), {"ignoreNullFields": "false"}),
         ).alias("line"),
     )
