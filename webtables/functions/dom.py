@@ -15,6 +15,7 @@ from __future__ import annotations
 import sys
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -79,11 +80,17 @@ class _Columns:
     """Arrow child columns of the node arrays of one batch."""
 
     def __init__(self):
-        self.ints = {k: [] for k in ("pre", "parent", "last", "t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1")}
+        self.parent, self.last = [], []
+        self.t0, self.t1, self.d0, self.d1 = [], [], [], []
+        self.o0, self.o1, self.i0, self.i1 = [], [], [], []  # stay empty without markup
         self.tags, self.keys, self.values = [], [], []
         self.attr_offsets = [0]
 
 
+def _size(s: str) -> int:
+    return len(s) if s.isascii() else len(s.encode("utf-8", "replace"))
+
+
 class _Page(HTMLParser):
     """One page appended to the batch columns; ``base`` is its first row there."""
 
@@ -96,54 +103,57 @@ class _Page(HTMLParser):
         self.stack: list[tuple[int, str]] = []
         self.formatting: list[tuple[int, str, list]] = []
         self.has_head = self.has_body = False
-        self.direct: dict[int, list[int]] = {}
-        self.fresh_text = True
+        self.with_text: set[int] = set()  # nodes that have a text child
+        self.run = -1  # node whose first text child is still growing
         self._open(DOCUMENT, [])
 
     # -- tree events ----------------------------------------------------------------------------
     def _emit(self, s: str):
-        if self.with_html:
-            self.html.append(s)
-            self.h_len += len(s) if s.isascii() else len(s.encode("utf-8", "replace"))
+        self.html.append(s)
+        self.h_len += _size(s)
 
     def _open(self, tag: str, attrs: list) -> int:
-        c, pre = self.c, len(self.c.tags) - self.base
-        seen = {}
-        for k, v in attrs:
-            seen.setdefault(k, v if v is not None else "")
+        c, at, stack = self.c, self.t_len, self.stack
+        pre = len(c.tags) - self.base
         c.tags.append(tag)
-        c.keys.extend(seen)
-        c.values.extend(seen.values())
+        if attrs:
+            seen = {}
+            for k, v in attrs:
+                if k not in seen:
+                    seen[k] = "" if v is None else v
+            c.keys.extend(seen)
+            c.values.extend(seen.values())
         c.attr_offsets.append(len(c.keys))
-        i = c.ints
-        i["pre"].append(pre)
-        i["parent"].append(self.stack[-1][0] if self.stack else -1)
-        i["last"].append(pre)
-        for name in ("t0", "t1", "d0", "d1"):
-            i[name].append(self.t_len)
-        i["o0"].append(self.h_len)
-        if tag != DOCUMENT:
-            self._emit(
-                f"<{tag}" + "".join(f' {k}="{v.translate(_TEXT_ESCAPE)}"' for k, v in seen.items())
-                + ("/>" if tag in VOID else ">")
-            )
-        for name in ("o1", "i0", "i1"):
-            i[name].append(self.h_len)
-        self.fresh_text = True
+        c.parent.append(stack[-1][0] if stack else -1)
+        c.last.append(pre)
+        c.t0.append(at)
+        c.t1.append(at)
+        c.d0.append(at)
+        c.d1.append(at)
+        if self.with_html:
+            c.o0.append(self.h_len)
+            if tag != DOCUMENT:
+                shown = "".join([f' {k}="{v.translate(_TEXT_ESCAPE)}"' for k, v in seen.items()]) if attrs else ""
+                self._emit(f"<{tag}{shown}/>" if tag in VOID else f"<{tag}{shown}>")
+            c.o1.append(self.h_len)
+            c.i0.append(self.h_len)
+            c.i1.append(self.h_len)
+        self.run = -1
         if tag not in VOID:
-            self.stack.append((pre, tag))
+            stack.append((pre, tag))
         return pre
 
     def _close(self):
         pre, tag = self.stack.pop()
-        row, i = self.base + pre, self.c.ints
-        i["last"][row] = len(self.c.tags) - self.base - 1
-        i["t1"][row] = self.t_len
-        i["i1"][row] = self.h_len
-        if tag != DOCUMENT:
-            self._emit(f"</{tag}>")
-        i["o1"][row] = self.h_len
-        self.fresh_text = True
+        row, c = self.base + pre, self.c
+        c.last[row] = len(c.tags) - self.base - 1
+        c.t1[row] = self.t_len
+        if self.with_html:
+            c.i1[row] = self.h_len
+            if tag != DOCUMENT:
+                self._emit(f"</{tag}>")
+            c.o1[row] = self.h_len
+        self.run = -1
 
     def _index(self, names, stops=()) -> int:
         """Stack position of the innermost open tag among ``names``, -1 if a stop tag is nearer."""
@@ -289,25 +299,30 @@ class _Page(HTMLParser):
                     self._ensure_body()
             if self.has_body:
                 self._reopen_formatting()
-        pre, row = self.stack[-1][0], self.base + self.stack[-1][0]
+        pre = self.stack[-1][0]
+        start = self.t_len
         self.text.append(data)
-        self.t_len += len(data) if data.isascii() else len(data.encode("utf-8", "replace"))
-        d = self.direct.get(pre)
-        if d is None:
-            start = self.t_len - (len(data) if data.isascii() else len(data.encode("utf-8", "replace")))
-            self.direct[pre] = [start, self.t_len]
-            self.c.ints["d0"][row], self.c.ints["d1"][row] = start, self.t_len
-            self.fresh_text = False
-        elif not self.fresh_text and d[1] == self.c.ints["d1"][row]:
-            d[1] = self.c.ints["d1"][row] = self.t_len
-        self._emit(data if raw else data.translate(_TEXT_ESCAPE))
+        self.t_len = end = start + _size(data)
+        if pre not in self.with_text:
+            self.with_text.add(pre)
+            self.c.d0[self.base + pre] = start
+            self.c.d1[self.base + pre] = end
+            self.run = pre
+        elif self.run == pre:
+            self.c.d1[self.base + pre] = end
+        if self.with_html:
+            self._emit(data if raw else data.translate(_TEXT_ESCAPE))
 
     def handle_comment(self, data):
-        self._emit(f"<!--{data}-->")
-        self.fresh_text = True
+        if self.with_html:
+            self._emit(f"<!--{data}-->")
+        self.run = -1
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # "<![if …]>" is a comment, never an error
 
     def handle_decl(self, decl):
-        if decl.lower().startswith("doctype") and len(self.stack) == 1:
+        if self.with_html and decl.lower().startswith("doctype") and len(self.stack) == 1:
             self._emit("<!DOCTYPE " + decl[7:].strip().lower() + ">")
 
     def finish(self):
@@ -331,13 +346,17 @@ def _parse_batch(bodies: pa.Array, with_html: bool) -> pa.Array:
             texts.append(text)
             htmls.append(html)
         offsets.append(len(cols.tags))
-    n = cols.ints
     attrs = pa.MapArray.from_arrays(
         pa.array(cols.attr_offsets, pa.int32()), pa.array(cols.keys, pa.string()), pa.array(cols.values, pa.string())
     )
+    total = len(cols.tags)
+    starts = np.repeat(np.array(offsets[:-1], dtype=np.int32), np.diff(np.array(offsets, dtype=np.int32)))
+    none = np.zeros(total, dtype=np.int32)
+    ints = {k: getattr(cols, k) or none for k in ("parent", "last", "t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1")}
+    ints["pre"] = np.arange(total, dtype=np.int32) - starts
     names = ["pre", "parent", "last", "tag", "attrs", "t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1"]
     children = [
-        pa.array(cols.tags, pa.string()) if k == "tag" else attrs if k == "attrs" else pa.array(n[k], pa.int32())
+        pa.array(cols.tags, pa.string()) if k == "tag" else attrs if k == "attrs" else pa.array(ints[k], pa.int32())
         for k in names
     ]
     nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(children, names))
