@@ -93,6 +93,12 @@ def test_plan_errors_are_rows(spark):
     assert "does not match" in out[2].error and out[3].error == 'required param "code" is missing'
     ok = R.plan_requests(df.where("request_id = 1"), {**task, "request": {"url": "https://e.example/{code}?b=2&a=1", "query": {"b": "ü ~*"}}}, {}).first()
     assert ok.url == "https://e.example/1?a=1&b=%C3%BC+~%2A"
+    site = {"defaults": {"cookie": "sid={sid}"}}
+    given = df.where("request_id = 1").withColumn("ck", F.lit("own=1"))
+    path = {**task, "request": {"url": "https://e.example/é{code}"}}
+    with_own = R.plan_requests(given, path, site, cookie="ck").first()
+    assert (with_own.cookie, with_own.error, with_own.url) == ("own=1", None, "https://e.example/%C3%A91")
+    assert R.plan_requests(given.drop("ck"), path, site).first().error == "missing template variables: sid"
 
 
 def test_image_replacement_in_lists(spark):

@@ -125,6 +125,11 @@ def resolve_url(base: Column, raw: Column) -> Column:
     return let(parse_url(raw), join)
 
 
+def normalize_url(c: Column) -> Column:
+    """The URL itself with its scheme lower-cased and its path and fragment escaped."""
+    return let(parse_url(c), _unparse)
+
+
 def path_escape(c: Column) -> Column:
     """Escape one path segment ('/' included)."""
     return _percent(c, _SEGMENT_OK)

@@ -137,7 +137,7 @@ def query_column(request: dict, params: Column) -> Column:
 def build_url(base_url: str, request: dict, params: Column) -> Column:
     """Full-URL template, or path template against the base; then the query."""
     if request.get("url"):
-        url = P.render_map(request["url"], params)
+        url = U.normalize_url(P.render_map(request["url"], params))
     else:
         url = U.resolve_url(F.lit(base_url), P.render_map(request.get("path", ""), params))
     return X.let(url, lambda u: U.with_query(u, query_column(request, params)))
@@ -201,8 +201,14 @@ def plan_requests(
     if not request.get("omit_empty_query"):
         templates += list((request.get("query") or {}).values())
     absent = [F.when(P.missing_keys(t, p) != "", F.concat(F.lit("missing template variables: "), P.missing_keys(t, p))) for t in templates if P.placeholders(t)]
-    error = F.coalesce("error", *absent) if absent else F.col("error")
-    site_cookie = P.render_map(defaults["cookie"], p) if (defaults.get("cookie") or "").strip() else F.lit(None).cast("string")
+    site_cookie = F.lit(None).cast("string")
+    if (defaults.get("cookie") or "").strip():
+        site_cookie = P.render_map(defaults["cookie"], p)
+        lacking = P.missing_keys(defaults["cookie"], p)
+        # The site cookie is only rendered, and can only fail, when the request brings none.
+        needed = (lacking != "") & (X.is_blank(F.col("_cookie")) if cookie else F.lit(True))
+        absent.append(F.when(needed, F.concat(F.lit("missing template variables: "), lacking)))
+    error = F.coalesce("error", *absent)
     chosen = choose_cookie(F.col("_cookie"), site_cookie) if cookie else site_cookie
     method = (request.get("method") or "").strip().upper() or "GET"
     ready = df.select(*keep, "params", F.lit(method).alias("method"), build_url(site.get("base_url", ""), request, p).alias("url"),
