@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from webtables.catalog.base import derive, query
 from webtables.catalog.fixtures import KB_CONTENT, KB_ENTITY, KB_RECORDS, KB_SEARCH, KB_SUMMARY
 from webtables.functions import text as X
-from webtables.functions.text import explode_rows
 from webtables.operators import enrich as E
 
 T = f"r AS ({KB_RECORDS}), su AS ({KB_SUMMARY}), se AS ({KB_SEARCH}), en AS ({KB_ENTITY}), co AS ({KB_CONTENT})"

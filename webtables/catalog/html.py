@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webtables.catalog.base import LINKS, absolute, decoded, query, table
-from webtables.functions import dom as D
 from webtables.functions import select as S
 from webtables.operators import html as H
 from webtables.plans.spec import Extract, Field
