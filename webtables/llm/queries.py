@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name and module; a module may hold ``sql()`` for its query.
 _OPS = {
+    "op1_maxscore": "maxscore",
+    "op4_randomness_battery": "secret_scan",
     "op3_chat_events": "chat_events",
     "op6_cost_packing": "packing",
     "op9_quality_rules": "quality_rules",
