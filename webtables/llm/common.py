@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
+_local: dict[str, str | None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local.setdefault("root", None) or tempfile.mkdtemp(prefix="llm-")
+        _local["root"] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
