@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name and module; a module may hold ``sql()`` for its query.
 _OPS = {
+    "op5_trie_counts": "token_counts",
+    "op7_piece_codec": "piece_codec",
     "op10_importance_resampling": "resampling",
     "op2_chosen_path": "near_dup",
     "op1_maxscore": "maxscore",
