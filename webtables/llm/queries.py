@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name and module; a module may hold ``sql()`` for its query.
 _OPS = {
+    "op8_range_coded_ids": "token_files",
     "op5_trie_counts": "token_counts",
     "op7_piece_codec": "piece_codec",
     "op10_importance_resampling": "resampling",
