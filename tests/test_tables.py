@@ -133,7 +133,7 @@ def test_build_index_failures(spark):
     with pytest.raises(ValueError, match="first index page"):
         L.require_complete(empty[1], empty[2])
     pages = listing(spark, [(1, 4, True, [("1", None, "late")])])
-    late = L.build_index(pages)  # only the second pass reaches attempt 4, so the first page was never seen
+    late = L.build_index(pages, first_pass=3)  # only a later pass reaches attempt 4, so the first page was never seen
     with pytest.raises(ValueError, match="first index page"):
         L.require_complete(late[1], late[2])
     last = spark.createDataFrame([(3,)], "last_page long")
@@ -144,7 +144,7 @@ def test_build_index_failures(spark):
 
 def test_retry_budget(spark):
     rows = [(1, 0, False, None), (1, 3, True, [("1", None, "a")]), (1, 5, True, [("2", None, "b")]), (2, 9, True, [("3", None, "c")])]
-    got = L.pick_attempt(listing(spark, rows)).collect()
+    got = L.pick_attempt(listing(spark, rows), retries=8).collect()
     assert [(r.page, r.attempt) for r in got] == [(1, 3)]
 
 

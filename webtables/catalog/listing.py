@@ -64,7 +64,7 @@ def items_under_key(spark, sf):
 
 @query("last_page", f"WITH {ITEMS} SELECT CAST({LAST} AS BIGINT) AS last_page")
 def last_page(spark, sf):
-    return L.last_page(link_items(spark, sf).select("page", F.size("items").alias("n_items")), max_pages=10**9)
+    return L.last_page(link_items(spark, sf).select("page", F.size("items").alias("n_items")))
 
 
 SITES = """SELECT concat('site', CAST(page_id % 7 AS STRING)) AS site, CAST(floor(page_id / 7) AS BIGINT) + 1 AS page, length(url) % 29 AS n_items FROM pages"""
@@ -73,7 +73,7 @@ SITES = """SELECT concat('site', CAST(page_id % 7 AS STRING)) AS site, CAST(floo
 @query("last_page_by_site", f"""WITH s AS ({SITES}), x AS (SELECT site, min(page) FILTER (n_items = 0) AS gap, max(page) AS top FROM s GROUP BY site)
   SELECT site, coalesce(gap - 1, top) AS last_page FROM x WHERE coalesce(gap, 2) > 1""")
 def last_page_by_site(spark, sf):
-    return L.last_page(derive(spark, sf, SITES), by=["site"], max_pages=10**9)
+    return L.last_page(derive(spark, sf, SITES), by=["site"])
 
 
 @query("check_complete", f"WITH {ITEMS} SELECT p AS page FROM range(1, (SELECT max(page) + 1 FROM w)) t(p) WHERE p NOT IN (SELECT page_id + 1 FROM pages WHERE contains(html, '</body>'))")
@@ -95,7 +95,7 @@ BUILT = f"{ITEMS}, z AS (SELECT * FROM i WHERE page <= {LAST}), {MERGE.format(sr
 
 @query("build_index", f"WITH {BUILT} SELECT * FROM m")
 def build_index(spark, sf):
-    rows, header, missing = L.build_index(listing(spark, sf), max_pages=10**9)
+    rows, header, missing = L.build_index(listing(spark, sf))
     L.require_complete(header, missing)
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -105,7 +105,7 @@ def build_index(spark, sf):
   UNION ALL SELECT 0, 0, 0, '{{"site":"demo","kind":"links","total_pages":' || CAST({LAST} AS VARCHAR) || ',"count":' || (SELECT count(*) FROM m) || ',"items":['
   UNION ALL SELECT 2, 0, 0, ']}}'""")
 def write_index_document(spark, sf):
-    rows, header, _ = L.build_index(listing(spark, sf), max_pages=10**9)
+    rows, header, _ = L.build_index(listing(spark, sf))
     return document_lines(rows, header, meta={"site": "demo", "kind": "links"})
 
 

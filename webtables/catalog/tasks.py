@@ -132,7 +132,7 @@ def task_candidate_search(spark, sf):
 def task_paged_directory(spark, sf):
     data = record_list(pages(spark, sf))
     listing = data.select("page", F.lit(0).alias("attempt"), F.lit(True).alias("ok"), F.col("data.links").alias("items"))
-    rows, header, missing = L.build_index(listing, max_pages=10**9)
+    rows, header, missing = L.build_index(listing)
     L.require_complete(header, missing)
     return rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
 

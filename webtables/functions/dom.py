@@ -13,6 +13,7 @@ re-opening of unclosed inline formatting in the next block.
 from __future__ import annotations
 
 import sys
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -49,6 +50,7 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 RAW_TEXT = frozenset("iframe noembed noframes noscript plaintext script style xmp".split())
+ESCAPABLE_RAW_TEXT = frozenset("textarea title".split())
 HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption "
@@ -103,6 +105,7 @@ class _Page(HTMLParser):
         self.stack: list[tuple[int, str]] = []
         self.formatting: list[tuple[int, str, list]] = []
         self.has_head = self.has_body = False
+        self.verbatim = ""  # raw-text element whose content is being read
         self.with_text: set[int] = set()  # nodes that have a text child
         self.run = -1  # node whose first text child is still growing
         self._open(DOCUMENT, [])
@@ -223,6 +226,13 @@ class _Page(HTMLParser):
 
     # -- HTMLParser callbacks -------------------------------------------------------------------
     def handle_starttag(self, tag, attrs):
+        self._start(tag, attrs)
+        if tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT:
+            if self._index(("svg", "math")) < 0:
+                self.verbatim = tag
+                self.set_cdata_mode(tag)
+
+    def _start(self, tag, attrs):
         if tag == "html" or tag == "body" and self.has_body or tag == "head" and self.has_head:
             if tag == "html" and len(self.stack) == 1:
                 self._open(tag, attrs)
@@ -258,6 +268,7 @@ class _Page(HTMLParser):
             self._close()
 
     def handle_endtag(self, tag):
+        self.verbatim = ""
         if tag in ("html", "body"):
             return
         if tag == "head":
@@ -289,6 +300,8 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.verbatim in ESCAPABLE_RAW_TEXT and self.stack[-1][1] == self.verbatim:
+            data = unescape(data)
         raw = self.stack[-1][1] in RAW_TEXT
         if not raw:
             if not self.has_body:
@@ -327,6 +340,8 @@ class _Page(HTMLParser):
 
     def finish(self):
         self.close()
+        if self.cdata_elem and self.rawdata:  # raw text that is never closed goes to the end
+            self.handle_data(self.rawdata)
         self._ensure_body()
         self._pop_to(0)
         return "".join(self.text).encode("utf-8", "replace"), "".join(self.html).encode("utf-8", "replace")
@@ -334,14 +349,15 @@ class _Page(HTMLParser):
 
 def _parse_batch(bodies: pa.Array, with_html: bool) -> pa.Array:
     cols, texts, htmls, offsets, valid = _Columns(), [], [], [0], []
-    for body in bodies.to_pylist():
+    # as bytes: one invalid sequence must not end the job
+    for body in bodies.cast(pa.binary()).to_pylist():
         valid.append(body is not None)
         if body is None:
             texts.append(None)
             htmls.append(None)
         else:
             page = _Page(cols, with_html)
-            page.feed(body)
+            page.feed(body.decode("utf-8", "replace"))
             text, html = page.finish()
             texts.append(text)
             htmls.append(html)

@@ -77,8 +77,9 @@ def _decode_piece(piece: Column, table: Column) -> Column:
     """``piece`` starts with '&' and holds no other '&'."""
 
     def numeric(n: Column) -> Column:
-        # More than twelve digits is out of range in either base.
-        code = F.when(n.rlike("^[xX]"), F.conv(F.substr(n, F.lit(2), F.lit(13)), 16, 10)).otherwise(n)
+        digits = F.regexp_replace(n, "^[xX]?0*(?=.)", "")
+        # More than twelve digits after the zeros are out of range in either base.
+        code = F.when(F.length(digits) > 12, F.lit("999999999999")).when(n.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
         return F.concat(_code_point(code.try_cast("bigint")), F.regexp_replace(piece, _NUMERIC, ""))
 
     name = F.regexp_extract(piece, r"^&([a-zA-Z0-9]+;?)", 1)

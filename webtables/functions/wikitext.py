@@ -19,7 +19,6 @@ DROPPED_TEMPLATES = r"\{\{(?:Wayback|Commonscat|DEFAULTSORT)[^{}]*\}\}"
 FLAG_TEMPLATE, FLAG_TEXT = r"\{\{\s*JPN\s*\}\}", "日本"
 SOCIAL_TEMPLATE = r"\{\{\s*(Twitter|X|Instagram)\s*\|\s*([^|}]+)"
 ARCHIVE_HOST = "web.archive.org"
-MAX_FALLBACK_LINKS = 10
 
 _BRACES = r"\{\{|\}\}"
 LINK = "struct<label:string,url:string,username:string>"
@@ -325,10 +324,10 @@ def section_links(text: Column, titles: list[str]) -> Column:
 
 
 def fallback_links(urls: Column) -> Column:
-    """Listed URLs without blanks and archive copies, the first ten."""
+    """Listed URLs without blanks and archive copies, all of them."""
     kept = F.filter(F.transform(urls, X.trim_ws), lambda u: (u != "") & ~F.contains(u, F.lit(ARCHIVE_HOST)))
     links = F.transform(
-        F.slice(kept, 1, MAX_FALLBACK_LINKS),
+        kept,
         lambda u: F.struct(u.alias("label"), u.alias("url"), F.lit(None).cast("string").alias("username")),
     )
     return F.coalesce(links, F.array().cast(f"array<{LINK}>"))

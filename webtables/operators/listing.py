@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 from webtables.functions import text as X
 from webtables.plans.scratch import write_then_read
 
-MAX_PAGES = 2000
-RETRIES = 3
-SECOND_PASS = 5  # extra attempts of the second pass over failed pages
+#: Page numbers of a listing are written out in runs of this many.
+PAGE_RUN = 1000
 
 
-def pick_attempt(attempts: DataFrame, by: list[str] | None = None, retries: int = RETRIES + SECOND_PASS) -> DataFrame:
-    """First successful attempt of each page within the retry budget (attempts count from 0).
+def _within(retries: int | None) -> Column:
+    return F.lit(True) if retries is None else F.col("attempt") <= retries
+
+
+def pick_attempt(attempts: DataFrame, by: list[str] | None = None, retries: int | None = None) -> DataFrame:
+    """First successful attempt of each page; ``retries``: of the attempts 0 to that number only.
 
     Only attempt numbers are aggregated; page payloads are fetched by a join on the winning attempt,
     so they cross the network at most once.
     """
     keys = [*(by or []), "page"]
-    good = attempts.where(F.col("ok") & (F.col("attempt") <= retries))
+    good = attempts.where(F.col("ok") & _within(retries))
     winner = good.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
     return good.join(winner, [*keys, "attempt"], "left_semi")
 
@@ -42,14 +45,15 @@ def items_under_key(records: DataFrame, items_key: str | None = None, task_key:
     return X.explode_rows(records, keep, F.col(data)[key]).select(*keep, "pos", "item.*")
 
 
-def last_page(pages: DataFrame, by: list[str] | None = None, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Last page of the unbroken run of non-empty pages from page 1; a gap ends the listing.
+def last_page(pages: DataFrame, by: list[str] | None = None, max_pages: int | None = None) -> DataFrame:
+    """Last page of the unbroken run of non-empty pages from page 1; a gap ends the listing, and so does ``max_pages``.
 
     ``pages``: ``page``, ``n_items`` (by listing). One row per listing; no row when page 1 is empty
     or missing, which is an error for the caller to report (``check_complete`` does).
     """
     by = by or []
-    full = pages.where((F.col("n_items") > 0) & F.col("page").between(1, max_pages))
+    full = pages.where((F.col("n_items") > 0) & (F.col("page") >= 1))
+    full = full if max_pages is None else full.where(F.col("page") <= max_pages)
     # Each page speaks for itself and for its predecessor, so one pass finds where the run breaks.
     page = F.col("page").cast("bigint")
     spoken = full.select(*by, F.explode(F.array(F.struct(page.alias("p"), F.lit(True).alias("own")), F.struct((page - 1).alias("p"), F.lit(False).alias("own")))).alias("s"))
@@ -69,9 +73,10 @@ def check_complete(pages_ok: DataFrame, last: DataFrame, by: list[str] | None =
 
 
 def all_pages(last: DataFrame, by: list[str]) -> DataFrame:
-    """Pages 1..last of each listing."""
-    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("last_page").cast("bigint"))
-    return last.select(*by, F.explode(numbers).alias("page"))
+    """Pages 1..last of each listing, written out run by run so that no row holds all numbers."""
+    end = F.col("last_page").cast("bigint")
+    runs = last.where(end >= 1).select(*by, end.alias("_end"), F.explode(F.sequence(F.lit(1).cast("bigint"), end, F.lit(PAGE_RUN).cast("bigint"))).alias("_from"))
+    return runs.select(*by, F.explode(F.sequence("_from", F.least("_end", F.col("_from") + (PAGE_RUN - 1)))).alias("page"))
 
 
 def item_key(id_: Column, url: Column) -> Column:
@@ -100,24 +105,24 @@ def merge_dedupe(items: DataFrame, by: list[str] | None = None, id_: str = "id",
     )
 
 
-def page_heads(listing: DataFrame, by: list[str] | None = None, retries: int = RETRIES, items: str = "items") -> DataFrame:
-    """One small row per page: winning ``attempt`` of both passes, ``n_items``, and whether the first
-    pass already had it. No item payload is read beyond its length."""
+def page_heads(listing: DataFrame, by: list[str] | None = None, first_pass: int | None = None, items: str = "items") -> DataFrame:
+    """One small row per page: winning ``attempt``, ``n_items``, and whether it is one of the ``first_pass``
+    (attempts 0 to that number; all by default). No item payload is read beyond its length."""
     keys = [*(by or []), "page"]
-    good = listing.where(F.col("ok") & (F.col("attempt") <= retries + SECOND_PASS))
+    good = listing.where("ok")
     return (
         good.select(*keys, "attempt", F.size(items).alias("n_items"))
         .groupBy(*keys)
         .agg(F.min("attempt").alias("attempt"), F.min_by("n_items", "attempt").alias("n_items"))
-        .withColumn("first_pass", F.col("attempt") <= retries)
+        .withColumn("first_pass", _within(first_pass))
     )
 
 
 def build_index(
     listing: DataFrame,
     by: list[str] | None = None,
-    max_pages: int = MAX_PAGES,
-    retries: int = RETRIES,
+    max_pages: int | None = None,
+    first_pass: int | None = None,
     items: str = "items",
     materialize: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,14 +130,13 @@ def build_index(
 
     ``listing``: ``page``, ``attempt``, ``ok``, ``items array<struct<id,url,…>>``. The index is valid
     when the third table is empty and the second has a row; ``require_complete`` turns that into an
-    exception. With ``materialize`` the listing and the merged rows are each written once to the
+    exception. ``first_pass``: only pages captured by that attempt say where the listing ends. With ``materialize`` the listing and the merged rows are each written once to the
     shared folder, so that counting and writing do not extract or merge again.
     """
     by = by or []
     if materialize:
         listing = write_then_read(listing.select(*by, "page", "attempt", "ok", items), "listing")
-    heads = page_heads(listing, by, retries, items)
-    # The last page is probed with the first-pass budget; fetching may use the second pass.
+    heads = page_heads(listing, by, first_pass, items)
     last = last_page(heads.where("first_pass"), by, max_pages)
     chosen = listing.where("ok").join(heads.select(*by, "page", "attempt"), [*by, "page", "attempt"], "left_semi")
     bounded = chosen.join(all_pages(last, by), [*by, "page"], "left_semi")

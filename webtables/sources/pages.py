@@ -61,10 +61,10 @@ def read_pages(spark: SparkSession, path: str, site: str = "", task: str = "", c
     )
 
 
-def charset_of(content_type: Column, body: Column) -> Column:
-    """Byte-order mark, else Content-Type, else a meta tag in the first 1024 bytes, else validity."""
+def charset_of(content_type: Column, body: Column, sniff_bytes: int | None = None) -> Column:
+    """Byte-order mark, else Content-Type, else a meta tag (anywhere, or in the first ``sniff_bytes``), else validity."""
     label = F.regexp_extract(F.lower(F.coalesce(content_type, F.lit(""))), r"charset\s*=\s*[\"']?([^\s;\"']+)", 1)
-    head = F.decode(F.substring(body, 1, 1024), "ISO-8859-1")
+    head = F.decode(body if sniff_bytes is None else F.substring(body, 1, sniff_bytes), "ISO-8859-1")
     sniffed = F.regexp_extract(F.lower(head), r"<meta[^>]*charset\s*=\s*[\"']?([^\s;\"'/>]+)", 1)
     mark = F.hex(F.substring(body, 1, 3))
     return (
@@ -114,12 +114,13 @@ def decode_bodies(raw: DataFrame, body: str = "body", content_type: str = "conte
     b = F.col(body)
     tagged = raw.withColumn("_cs", charset_of(F.col(content_type), b))
     cs = F.col("_cs")
-    out = F.when(cs.isin("utf-8", "utf8"), b.cast("string"))
+    utf8 = F.make_valid_utf8(b.cast("string"))
+    out = F.when(cs.isin("utf-8", "utf8"), utf8)
     for label in ("utf-16be", "utf-16le"):
         out = out.when(cs == label, F.decode(b, NATIVE_CHARSETS[label]))
     out = out.when(cs.isin(*LATIN_LABELS), latin_text(b))
     if not other_charsets:
-        return tagged.withColumn(body, out.otherwise(b.cast("string"))).drop("_cs")
+        return tagged.withColumn(body, out.otherwise(utf8)).drop("_cs")
     native = cs.isin(*NATIVE_CHARSETS, *LATIN_LABELS)
     # A NULL body costs the Python step nothing, so only rare charsets travel through it.
     rare = _decode_other(F.when(~native, b), F.when(~native, cs))
