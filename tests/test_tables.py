@@ -15,7 +15,7 @@ from webtables.operators.json import extract_json
 from webtables.operators.shape import group_items, shape
 from webtables.operators.html import extract_html
 from webtables.functions import select as S
-from webtables.plans.skew import hot_keys, salted_join
+from webtables.plans.skew import keyed_join
 from webtables.plans.spec import ALL, Extract, Field
 from webtables.plans.task import run_task
 from webtables.sources import assets as A
@@ -46,30 +46,48 @@ def test_lookup_statuses(spark):
     assert sorted((r.n, r.pos) for r in found.collect()) == [(1, 0), (2, 1), (2, 2), (3, 3), (3, 4), (4, 5), (4, 6), (8, 0), (8, 0)]
 
 
-@pytest.mark.parametrize("find_hot", [True, False])
-def test_salted_join_equals_plain_join(spark, find_hot):
-    n = 30_000
+def test_keyed_join_spreads_hot_keys(spark):
+    n = 60_000
     left = spark.range(n).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k")
     )
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 5000, 2)], "k string, v int")
-    out = salted_join(left, right, "k", ["id"], find_hot=find_hot)
+    out = keyed_join(left, right, "k")
     assert out.count() == n
     assert out.exceptAll(left.join(right, "k", "left").select("id", "k", "v")).isEmpty()
-    assert [r[0] for r in hot_keys(left, F.col("k")).collect()] == ["hot"]
-
-
-def test_hot_key_is_spread_over_partitions(spark):
-    left = spark.range(20_000).select("id", F.lit("hot").alias("k"))
-    right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        parts = salted_join(left, right, "k", ["id"]).groupBy(F.spark_partition_id()).count().collect()
+        full = left.repartition(8).withColumn("pay", F.sha2(F.col("id").cast("string"), 256))
+        parts = keyed_join(full, right, "k").groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("pay")).collect()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(parts) > 4 and max(p["count"] for p in parts) < 12_000
+        for k in small:
+            spark.conf.unset(k)
+    assert max(p["count"] for p in parts) < n / 4  # "hot" alone has a third of the rows
+
+
+def test_scans_grow_linearly_with_resolvers(spark, tmp_path):
+    spark.createDataFrame([(1, {"a": "x"})], "request_id long, params map<string,string>").write.parquet(f"{tmp_path}/p")
+    people(spark).write.parquet(f"{tmp_path}/i")
+    df = spark.read.parquet(f"{tmp_path}/p").withColumn("error", F.lit(None).cast("string"))
+    index = spark.read.parquet(f"{tmp_path}/i")
+    scans = []
+    for n in (1, 2, 3, 4):
+        task = {"resolve_params": {f"t{i}": {"index": "p", "from": "a", "match_field": "aliases", "value_field": "id"} for i in range(n)}}
+        plan = R.resolve_params(df, task, {"p": {}}, {"p": index})
+        scans.append(plan._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    assert scans == [2, 3, 4, 5]
+
+
+def test_lists_of_repeated_rows_stay_apart(spark):
+    lookup = spark.createDataFrame([("A", "u/a"), ("c", "u/c")], "name string, url string")
+    rec = spark.createDataFrame([(1, [("A", "o1")]), (1, [("c", "o2"), ("x", "o3")]), (1, [("A", "o1")]), (2, None), (None, [("A", "o4")])], "rec_id int, people array<struct<name:string,image:string>>")
+    out = [(r.rec_id, r.people and [p.image for p in r.people]) for r in K.replace_in_list(rec, lookup, "people").collect()]
+    assert sorted(out, key=str) == sorted([(1, ["u/a"]), (1, ["u/c", "o3"]), (1, ["u/a"]), (2, None), (None, ["u/a"])], key=str)
 
 
 def test_optional_resolution_never_tolerates_ambiguity(spark):
@@ -78,7 +96,7 @@ def test_optional_resolution_never_tolerates_ambiguity(spark):
 
     def run(optional):
         task = {"resolve_params": {"id": {"index": "p", "from": "n", "match_field": "aliases", "optional": optional}}}
-        out = R.resolve_params(df, task, {"p": {}}, {"p": people(spark)}, ["request_id"]).collect()
+        out = R.resolve_params(df, task, {"p": {}}, {"p": people(spark)}).collect()
         return {r.request_id: (r.params.get("id"), r.error and r.error.rsplit(": ", 1)[1]) for r in out}
 
     assert run(False) == {1: (None, "ambiguous"), 2: (None, "no_match"), 3: (None, "no_value"), 4: ("given", None), 5: ("2", None)}

@@ -18,7 +18,7 @@ def probes(spark, sf):
 
 @query("lookup_one", f"{JOINED} SELECT request_id, name AS probe, CASE status WHEN 'ok' THEN v END AS value, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, CAST(coalesce(nv, 0) AS BIGINT) AS n_values, status FROM j")
 def lookup_one(spark, sf):
-    return L.lookup_one(probes(spark, sf), index(spark, sf), "aliases", "id", row_id=["request_id"])
+    return L.lookup_one(probes(spark, sf), index(spark, sf), "aliases", "id")
 
 
 @query("lookup_find_all", f"WITH p AS ({PROBES}), ix AS ({INDEX}), k AS (SELECT pos, lower(trim(alias1)) AS key FROM ix UNION ALL SELECT pos, lower(trim(alias2)) FROM ix) SELECT request_id, pos FROM p JOIN k ON lower(trim(probe)) = key")
@@ -65,7 +65,7 @@ def records(spark, sf):
 
 @query("lookup_left_replace", f"WITH r AS ({RECORDS}), i AS ({IMAGES}) SELECT rec_id, l_orderkey, r.name, CASE WHEN trim(i.url) <> '' THEN i.url ELSE image END AS image FROM r LEFT JOIN i ON trim(r.name) = i.name AND trim(r.name) <> ''")
 def lookup_left_replace(spark, sf):
-    return L.replace_if_found(records(spark, sf), images(spark, sf), "name", "image", ["rec_id", "l_orderkey"])
+    return L.replace_if_found(records(spark, sf), images(spark, sf), "name", "image")
 
 
 # Lists of records: three per order row, made in the row.
@@ -96,5 +96,5 @@ def lookup_in_list(spark, sf):
   FROM r LEFT JOIN i ON trim(r.name) = i.name""")
 def lookup_or_not_found(spark, sf):
     r = records(spark, sf).drop("image")
-    out = L.lookup_or_not_found(r, images(spark, sf), "name", ["rec_id", "l_orderkey"])
+    out = L.lookup_or_not_found(r, images(spark, sf), "name")
     return out.select("rec_id", "l_orderkey", "found_name", "image", "error.type", "error.reason")

@@ -63,7 +63,7 @@ RESOLVE = {"cust": {"index": "people", "from": "name", "match_field": "aliases",
 def resolved(spark, sf, optional):
     task = {"resolve_params": {"cust": {**RESOLVE["cust"], "optional": optional}}}
     df = rows(spark, sf).withColumn("error", F.lit(None).cast("string"))
-    out = R.resolve_params(df, task, {"people": {}}, {"people": index(spark, sf)}, ["request_id"])
+    out = R.resolve_params(df, task, {"people": {}}, {"people": index(spark, sf)})
     return out.select("request_id", val("cust"), "error")
 
 
@@ -85,7 +85,7 @@ def param_field_fallback(spark, sf):
     # No field names given: match on the source parameter's name, return the target parameter's.
     task = {"resolve_params": {"id": {"index": "people", "from": "name", "optional": True}}}
     df = rows(spark, sf).withColumn("error", F.lit(None).cast("string"))
-    out = R.resolve_params(df, task, {"people": {}}, {"people": index(spark, sf)}, ["request_id"])
+    out = R.resolve_params(df, task, {"people": {}}, {"people": index(spark, sf)})
     first = X.first_non_blank(F.trim(val("code")), F.trim(val("page")), F.try_element_at("params", F.lit("keyword")))
     return out.select("request_id", val("id"), first.alias("first_set"))
 

@@ -68,7 +68,7 @@ LEVELS = [
 def index_from_items(spark, sf):
     ix = I.index_from_items(spark, LEVELS, "label string, code string")
     probes = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("probe"))
-    return lookup_one(probes, ix, "label", "code", row_id=["o_orderkey"]).select("o_orderkey", "value", "status")
+    return lookup_one(probes, ix, "label", "code").select("o_orderkey", "value", "status")
 
 
 def trees(spark, sf):

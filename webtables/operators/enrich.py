@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions import text as X
-from webtables.plans.skew import hot_keys, salted_join
+from webtables.operators.lookup import join_list
+from webtables.plans.skew import keyed_join
 
 DEFAULT_LANG = "zh"
 SOURCE = "wikidata"
@@ -66,18 +67,11 @@ def _title_key(title: str) -> Column:
     return F.when(F.col(title).isNotNull(), F.concat_ws("\u0001", "lang", title))
 
 
-def hot_titles(search: DataFrame) -> DataFrame:
-    """Titles that answer a large share of the searches: the only ones many distinct probes meet at."""
-    return hot_keys(search_top1(search), _title_key("hit_title"))
-
-
-def _join_title(left: DataFrame, right: DataFrame, title: str, hot: DataFrame | None = None) -> DataFrame:
+def _join_title(left: DataFrame, right: DataFrame, title: str) -> DataFrame:
     """Left join on (lang, title). Probes are distinct, but many may fall back to one title."""
     keyed = left.withColumn("_k", _title_key(title))
     table = right.withColumn("_k", F.concat_ws("\u0001", "_lang", "_title")).drop("_lang", "_title")
-    if hot is None:
-        return salted_join(keyed, table, "_k", ["query"], salts=1, find_hot=False).drop("_k")
-    return salted_join(keyed, table, "_k", ["query"], hot=hot).drop("_k")
+    return keyed_join(keyed, table, "_k").drop("_k")
 
 
 def match_with_fallback(probes: DataFrame, summary: DataFrame, search: DataFrame, key: str = "title") -> DataFrame:
@@ -92,7 +86,7 @@ def match_with_fallback(probes: DataFrame, summary: DataFrame, search: DataFrame
     top = search_top1(search)
     fallen = first.withColumn("exact", exact).join(top, ["lang", "query"], "left")
     fallen = fallen.withColumn("_hit", F.when(~F.col("exact"), F.col("hit_title")))
-    second = _join_title(fallen, packed.withColumnRenamed("s1", "s2"), "_hit", hot_titles(search))
+    second = _join_title(fallen, packed.withColumnRenamed("s1", "s2"), "_hit")
     s = F.when(F.col("exact"), F.col("s1")).otherwise(F.col("s2"))
     how = (
         F.when(F.col("exact"), "exact")
@@ -111,15 +105,11 @@ def miss_record(query: Column, reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.struct(F.lit(False).alias("matched"), query.alias("query"), reason.alias("reason")))
 
 
-def join_entity_content(matched: DataFrame, entity: DataFrame, content: DataFrame, search: DataFrame) -> DataFrame:
-    """Best-effort entity and content rows of the accepted title; absence is fine.
-
-    Content rows are large: only those of hot titles are replicated.
-    """
+def join_entity_content(matched: DataFrame, entity: DataFrame, content: DataFrame) -> DataFrame:
+    """Best-effort entity and content rows of the accepted title; absence is fine."""
     e = _packed(entity, ENTITY_COLS, "e")
     c = _packed(content, {"wikitext": "string", "external_links": "array<string>"}, "c")
-    hot = hot_titles(search)
-    return _join_title(_join_title(matched, e, "accepted_title", hot), c, "accepted_title", hot)
+    return _join_title(_join_title(matched, e, "accepted_title"), c, "accepted_title")
 
 
 def provenance(value: Column, prop: str, key: str = "value", source: str = SOURCE) -> Column:
@@ -171,7 +161,7 @@ def kb_profiles(probes: DataFrame, summary: DataFrame, search: DataFrame, entity
 
     ``text``: optional column builder over the content struct (see ``operators.wikitext``).
     """
-    full = join_entity_content(match_with_fallback(probes, summary, search, key), entity, content, search)
+    full = join_entity_content(match_with_fallback(probes, summary, search, key), entity, content)
     ok = F.col("reason").isNull()
     t = text(F.col("c")) if text else None
     return full.select(
@@ -207,7 +197,7 @@ def profile_results(requests: DataFrame, row_id: list[str], summary: DataFrame,
     found = kb_profiles(probes, summary, search, entity, content, text)
     right = found.select(F.concat_ws("\u0001", "lang", "query").alias("_k"), F.struct("profile", "meta", "url").alias("_r"))
     left = requests.withColumn("_k", F.when(F.col("error").isNull(), F.concat_ws("\u0001", F.col("lang"), X.trim_ws(F.col("title")))))
-    out = salted_join(left, right, "_k", row_id)
+    out = keyed_join(left, right, "_k")
     missed = F.col("_r.profile").isNull()
     error = F.coalesce(
         "error",
@@ -225,18 +215,12 @@ def kb_attach(records: DataFrame, profiles: DataFrame, row_id: list[str], name:
     right = profiles.where(F.col("lang") == language).select(F.col("query").alias("_q"), F.struct("profile", "miss").alias("_kb"))
     if items is None:
         left = records.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(name))))
-        return salted_join(left, right, "_q", row_id).withColumnRenamed("_kb", target).select(*records.columns, target)
+        return keyed_join(left, right, "_q").withColumnRenamed("_kb", target).select(*records.columns, target)
     kind = records.schema[items].dataType
     if isinstance(kind, T.StructType):
         left = records.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(items)[name])))
-        joined = salted_join(left, right, "_q", row_id, find_hot=False)
+        joined = keyed_join(left, right, "_q")
         return joined.withColumn(items, F.when(F.col(items).isNotNull(), F.col(items).withField(target, F.col("_kb")))).select(*records.columns)
-    flat = records.select(*row_id, F.posexplode(items).alias("_pos", "_item"))
-    left = flat.withColumn("_q", X.blank_to_null(X.trim_ws(F.col(f"_item.{name}"))))
-    joined = salted_join(left, right, "_q", [*row_id, "_pos"], find_hot=False)
-    back = joined.groupBy(*row_id).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.col("_item").alias("item"), F.col("_kb").alias("kb"))),
-                     lambda a, b: a["_pos"] - b["_pos"]).alias("_list")
-    )
-    merged = F.transform("_list", lambda x: x["item"].withField(target, x["kb"]))
-    return records.join(back, row_id, "left").withColumn(items, F.coalesce(merged, F.array())).drop("_list").select(*records.columns)
+    joined = join_list(records, items, name, row_id, right, "_q")
+    new = F.transform(items, lambda x, i: x.withField(target, F.get("_list", i)["_kb"]))
+    return joined.withColumn(items, new).select(*records.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions import text as X
-from webtables.plans.skew import salted_join
+from webtables.plans.skew import keyed_join
 
 
 def normalize_key(c: Column, case_sensitive: bool = False) -> Column:
@@ -63,8 +63,6 @@ def lookup_one(
     value: str,
     case_sensitive: bool = False,
     probe: str = "probe",
-    row_id: list[str] | None = None,
-    find_hot: bool = True,
 ) -> DataFrame:
     """Probes + ``value``, ``n_matches``, ``n_values``, ``status``; one output row per probe row.
 
@@ -72,10 +70,7 @@ def lookup_one(
     """
     table = lookup_table(index, match, value, case_sensitive)
     key = X.blank_to_null(normalize_key(F.col(probe), case_sensitive))
-    joined = salted_join(
-        probes.withColumn("key", key), table, "key", row_id or [c for c in probes.columns if c != probe] or [probe],
-        find_hot=find_hot,
-    )
+    joined = keyed_join(probes.withColumn("key", key), table, "key")
     status = lookup_status(F.col("key"), F.col("n_matches"), F.col("n_values"))
     return joined.select(
         *probes.columns,
@@ -92,18 +87,16 @@ def lookup_all(
     match: str,
     case_sensitive: bool = False,
     probe: str = "probe",
-    row_id: list[str] | None = None,
 ) -> DataFrame:
     """Every index row per probe, with the index columns; blank probes give none.
 
-    The result is a probe times its matches by definition; the rows of a hot probe value are spread.
+    The result is a probe times its matches by definition.
     """
     keyed = index_keys(index, match, case_sensitive)
     left = probes.withColumn("key", X.blank_to_null(normalize_key(F.col(probe), case_sensitive))).where(
         F.col("key").isNotNull()
     )
-    spread_by = row_id or [c for c in probes.columns if c != probe] or [probe]
-    return salted_join(left, keyed, "key", spread_by, how="inner").drop("key")
+    return keyed_join(left, keyed, "key", how="inner").drop("key")
 
 
 def lookup_report(probes: DataFrame, index: DataFrame, match: str = "name", case_sensitive: bool = False, probe: str = "probe") -> DataFrame:
@@ -136,25 +129,42 @@ def list_values(index: DataFrame, field: str = "name") -> DataFrame:
     return index.select("pos", X.trim_ws(F.col(field).cast("string")).alias("value")).where(F.col("value") != "")
 
 
+def _replacements(lookup: DataFrame, lookup_name: str, lookup_value: str) -> DataFrame:
+    return lookup.select(F.col(lookup_name).alias("_name"), F.col(lookup_value).alias("_found")).where(X.trim_ws(F.col("_found")) != "")
+
+
+def join_list(records: DataFrame, items: str, name: str, row_id: list[str], right: DataFrame, key: str) -> DataFrame:
+    """``records`` + ``_list``: for each item of the list ``items``, in order, the struct of the columns of ``right``
+    whose ``key`` is the item's trimmed name (NULL fields where none is); NULL for a NULL list.
+
+    Only names travel: a row's names are told apart by the row id and their hash, so rows that share an
+    id keep their own lists, and each distinct list of an id is looked up once.
+    """
+    named = records.withColumn("_names", F.transform(items, lambda i: X.blank_to_null(X.trim_ws(i[name])))).withColumn("_h", F.xxhash64("_names"))
+    flat = named.select(*row_id, "_h", F.posexplode("_names").alias("_pos", key)).distinct()
+    rest = [c for c in right.columns if c != key]
+    back = keyed_join(flat, right, key).groupBy(*row_id, "_h").agg(F.sort_array(F.collect_list(F.struct("_pos", F.struct(*rest).alias("v")))).alias("_l"))
+    back = back.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(row_id)], F.col("_h").alias("_kh"), F.transform("_l", lambda e: e["v"]).alias("_list"))
+    same = F.col("_h") == F.col("_kh")
+    for n, c in enumerate(row_id):
+        same = same & named[c].eqNullSafe(F.col(f"_k{n}"))
+    return named.join(back, same, "left").select(*records.columns, "_list")
+
+
 def replace_if_found(
     records: DataFrame,
     lookup: DataFrame,
     name: str,
     target: str,
-    row_id: list[str],
     lookup_name: str = "name",
     lookup_value: str = "url",
-    find_hot: bool = True,
 ) -> DataFrame:
     """Overwrite ``target`` where the (case-sensitive) lookup has a non-blank value; else keep it.
 
     ``lookup`` holds one row per name.
     """
-    right = lookup.select(F.col(lookup_name).alias("_name"), F.col(lookup_value).alias("_found")).where(
-        X.trim_ws(F.col("_found")) != ""
-    )
     left = records.withColumn("_name", X.blank_to_null(X.trim_ws(F.col(name))))
-    out = salted_join(left, right, "_name", row_id, find_hot=find_hot)
+    out = keyed_join(left, _replacements(lookup, lookup_name, lookup_value), "_name")
     return out.withColumn(target, F.coalesce("_found", target)).select(*records.columns)
 
 
@@ -165,47 +175,31 @@ def replace_in_list(
     name: str = "name",
     target: str = "image",
     row_id: str = "rec_id",
-    find_hot: bool = True,
-    **kwargs,
+    lookup_name: str = "name",
+    lookup_value: str = "url",
 ) -> DataFrame:
-    """The same over a nested record or a list of records held in column ``items``.
-
-    Items of a list are exploded, joined and put back; the regrouped list is never longer than the
-    list that came in one row.
-    """
+    """The same over a nested record or a list of records held in column ``items``; a NULL list stays NULL."""
     kind = records.schema[items].dataType
     if isinstance(kind, T.StructType):
         flat = records.withColumn("_n", F.col(items)[name]).withColumn("_t", F.col(items)[target])
-        done = replace_if_found(flat, lookup, "_n", "_t", [row_id], find_hot=find_hot, **kwargs)
+        done = replace_if_found(flat, lookup, "_n", "_t", lookup_name, lookup_value)
         return done.withColumn(items, F.when(F.col(items).isNotNull(), F.col(items).withField(target, F.col("_t")))).drop("_n", "_t")
-    flat = records.select(row_id, F.posexplode(items).alias("_pos", "_item"))
-    flat = flat.select(row_id, "_pos", "_item", F.col(f"_item.{name}").alias("_n"), F.col(f"_item.{target}").alias("_t"))
-    done = replace_if_found(flat, lookup, "_n", "_t", [row_id, "_pos"], find_hot=find_hot, **kwargs)
-    back = done.groupBy(row_id).agg(
-        F.array_sort(
-            F.collect_list(F.struct("_pos", F.col("_item").withField(target, F.col("_t")).alias("item")))
-        ).alias("_list")
-    )
-    return (
-        records.join(back, row_id, "left")
-        .withColumn(items, F.coalesce(F.transform("_list", lambda e: e["item"]), F.col(items)))
-        .drop("_list")
-        .select(*records.columns)
-    )
+    done = join_list(records, items, name, [row_id], _replacements(lookup, lookup_name, lookup_value), "_name")
+    new = F.transform(items, lambda x, i: x.withField(target, F.coalesce(F.get("_list", i)["_found"], x[target])))
+    return done.withColumn(items, new).select(*records.columns)
 
 
 def lookup_or_not_found(
     requests: DataFrame,
     lookup: DataFrame,
     name: str = "name",
-    row_id: list[str] | None = None,
     lookup_name: str = "name",
     lookup_value: str = "url",
 ) -> DataFrame:
     """Direct lookup by name: requests + ``found_name``, ``image``, ``error struct<type,reason>``."""
     right = lookup.select(F.col(lookup_name).alias("_name"), F.col(lookup_value).alias("_found"))
     left = requests.withColumn("_name", X.blank_to_null(X.trim_ws(F.col(name))))
-    out = salted_join(left, right, "_name", row_id or [c for c in requests.columns if c != name])
+    out = keyed_join(left, right, "_name")
     found = X.blank_to_null(F.col("_found"))
     error = F.when(
         F.col("_name").isNull(), F.struct(F.lit("param_error").alias("type"), F.lit("name is required").alias("reason"))

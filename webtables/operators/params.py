@@ -63,7 +63,7 @@ def resolver_fields(target: str, resolver: dict, index: dict) -> tuple[str, str]
     )
 
 
-def resolve_params(df: DataFrame, task: dict, indexes: dict, lookups: dict[str, DataFrame], row_id: list[str]) -> DataFrame:
+def resolve_params(df: DataFrame, task: dict, indexes: dict, lookups: dict[str, DataFrame]) -> DataFrame:
     """Fill blank targets from an index; adds to ``error`` on no match or ambiguity.
 
     All resolvers read the values as given, so their order does not matter.
@@ -81,7 +81,6 @@ def resolve_params(df: DataFrame, task: dict, indexes: dict, lookups: dict[str,
             value,
             conf.get("case_sensitive", False),
             probe="_probe",
-            row_id=row_id,
         )
         tolerated = ["no_match", "no_value"] if resolver.get("optional") else []
         failed = F.col("status").isin("no_match", "no_value", "ambiguous") & ~F.col("status").isin(*tolerated or [""])
@@ -178,11 +177,9 @@ def plan_requests(
     task: dict,
     site: dict,
     lookups: dict[str, DataFrame] | None = None,
-    row_id: list[str] | None = None,
     cookie: str | None = None,
 ) -> DataFrame:
     """Parameter rows → ``params`` (final), ``method``, ``url``, ``headers``, ``cookie``, ``error``."""
-    row_id = row_id or ["request_id"]
     spec, request = task.get("params") or {}, task.get("request") or {}
     keep = [c for c in params.columns if c not in ("params", "error", "cookie")]
     df = params.select(
@@ -192,7 +189,7 @@ def plan_requests(
         F.lit(None).cast("string").alias("error"),
     )
     if task.get("resolve_params"):
-        df = resolve_params(df, task, site.get("indexes") or {}, lookups or {}, row_id)
+        df = resolve_params(df, task, site.get("indexes") or {}, lookups or {})
     df = normalize_params(df, spec)
     df = df.withColumn("params", pagination_default(F.col("params"), task.get("pagination")))
     p = F.col("params")

@@ -1,73 +1,18 @@
-"""Joins of a big, possibly skewed table to a table with one or few rows per key.
-
-The big side keeps its rows where they are unless its keys are hot. Hot keys are found by a sketch
-whose output is a fixed number of entries whatever the data size, so broadcasting it is safe; rows of
-hot keys are spread over ``salts`` buckets and only the hot keys' partner rows are replicated.
-"""
+"""Joins of a big, possibly skewed table to a table with one or few rows per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtables.functions.text import once
-
-HOT_ENTRIES = 64  # upper bound of hot keys, hence of the broadcast rows
-HOT_SHARE = 0.005  # a key is hot above this share of the rows
-SKETCH_ITEMS = 10_000  # counters per sketch: error well below HOT_SHARE
-
-
-def hot_keys(df: DataFrame, key: Column) -> DataFrame:
-    """At most ``HOT_ENTRIES`` keys that hold more than ``HOT_SHARE`` of the rows.
-
-    Approximate counts only steer placement; no result depends on them.
-    """
-    top = df.select(once(key).alias("k")).where(F.col("k").isNotNull()).agg(
-        F.expr(f"approx_top_k(k, {HOT_ENTRIES}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    return (
-        top.select(F.explode("top").alias("t"), "n")
-        .where(F.col("t.count") > F.greatest(F.col("n") * HOT_SHARE, F.lit(1)))
-        .select(F.col("t.item").alias("_hot"))
-    )
-
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread_by: list[str],
-    salts: int | None = None,
-    find_hot: bool = True,
-    how: str = "left",
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Join on the string column ``key``; ``right`` holds one row per key (few, for an inner join).
+def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join on the column ``key``; the columns of ``left``, then those of ``right``.
 
-    ``spread_by`` are left columns that differ within a hot key (a row id): their hash is the salt,
-    so a retried task places its rows in the same buckets. With ``find_hot=False`` every key is
-    salted, which replicates all of ``right`` but reads ``left`` only once: use it when ``left`` is
-    expensive to compute and ``right`` is small. ``hot`` replaces the sketch over ``left`` by one over
-    a cheaper table with about the same keys. NULL keys match nothing and are spread too.
+    Both sides are read once. Spark chooses the join by the sizes it measures; where it shuffles, adaptive
+    execution splits the partitions of hot keys (and of NULL keys, which match nothing) of the left side,
+    however many there are. The right side is packed into one column, so its names cannot clash.
     """
-    salts = salts or (32 if find_hot else 8)
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(salts - 1))
     rest = [c for c in right.columns if c != key]
     packed = right.select(key, F.struct(*rest).alias("_row"))
-    if find_hot:
-        hot = F.broadcast(hot_keys(left, F.col(key)) if hot is None else hot)
-        l2 = left.join(hot, left[key] == hot["_hot"], "left").withColumn(
-            "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), bucket).otherwise(F.lit(0))
-        ).drop("_hot")
-        r2 = packed.join(hot, packed[key] == hot["_hot"], "left").withColumn(
-            "_salt", F.explode(F.when(F.col("_hot").isNotNull(), copies).otherwise(F.array(F.lit(0))))
-        ).drop("_hot")
-    elif salts > 1:
-        l2, r2 = left.withColumn("_salt", bucket), packed.withColumn("_salt", F.explode(copies))
-    else:
-        l2, r2 = left.withColumn("_salt", F.lit(0)), packed.withColumn("_salt", F.lit(0))
-    # Pinned, because the optimizer otherwise moves nested fields below the generator and loses them.
-    r2 = r2.select(key, "_salt", once(F.col("_row")).alias("_row"))
-    joined = l2.join(r2, [key, "_salt"], how)
-    return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in rest])
+    return left.join(packed, key, how).select(*left.columns, *[F.col("_row")[c].alias(c) for c in rest])

@@ -130,7 +130,7 @@ def enhance(results: DataFrame, task: dict, lookup: DataFrame | None, kb: dict[s
         key, work = None, results.withColumn("_items", F.col("data"))
     name = conf.get("name_field", "name")
     if conf.get("image_field") and lookup is not None:
-        work = replace_in_list(work, lookup, "_items", name=name, target=conf["image_field"], row_id="request_id", find_hot=False)
+        work = replace_in_list(work, lookup, "_items", name=name, target=conf["image_field"], row_id="request_id")
     if conf.get("kb_field") and kb is not None:
         names = work.select(F.explode_outer("_items").alias("i")).select(F.col(f"i.{name}").alias("name")) if isinstance(
             work.schema["_items"].dataType, T.ArrayType
