@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_tables import listing
 from webtables.functions.dom import parse_dom
+from webtables.functions import select as S
 from webtables.functions.entities import unescape
 from webtables.functions.wikitext import fallback_links
 from webtables.operators import listing as L
@@ -68,3 +69,15 @@ def test_invalid_bytes_do_not_end_a_job(spark):
     df = spark.createDataFrame([(b,) for b in bodies], "b binary").select(F.col("b").cast("string").alias("body"))
     out = df.select(parse_dom(F.col("body")).alias("d")).collect()
     assert len(out) == 201 and all(r.d.nodes for r in out) and bytes(out[-1].d.text).decode() == "a�b"
+
+
+def test_nth_on_a_large_page(spark):
+    from time import time
+
+    body = "<ul>" + "".join(f"<li><b>{i}</b><b>x</b></li>" for i in range(10_000)) + "</ul>"
+    df = spark.createDataFrame([(body,)], "body string").select(parse_dom(F.col("body"), with_html=False).alias("d")).cache()
+    df.count()
+    node = F.get("d.nodes", F.lit(0))
+    start = time()
+    got = df.select(*[F.size(s.apply(F.col("d"), node)) for s in (S.descendant("b").nth(2), S.descendant("b").nth(-1), S.descendant("b").nth(3), S.descendant("li").nth(7))]).first()
+    assert tuple(got) == (10_000, 10_000, 0, 1) and time() - start < 20

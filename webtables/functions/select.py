@@ -199,7 +199,7 @@ def _axis(dom: Column, n: Column, step: _Step) -> Column:
     found = F.filter(_subtree(dom, n), lambda m: _matches(dom, m, step.tag, step.preds))
     if step.position is None:
         return found
-    return let(found, lambda all_: F.filter(all_, lambda m: _rank(all_, m, step.position)))
+    return _ranked(dom, found, step.position)
 
 
 def _at(nodes: Column, position: int | None) -> Column:
@@ -210,12 +210,27 @@ def _at(nodes: Column, position: int | None) -> Column:
     return let(nodes, lambda a: F.when(F.size(a) > 0, F.slice(a, -1, 1)).otherwise(a))
 
 
-def _rank(all_: Column, m: Column, position: int) -> Column:
-    """``m`` is the position-th (or last) of ``all_`` among nodes of the same parent."""
-    if position < 0:
-        return ~F.exists(all_, lambda x: (x["parent"] == m["parent"]) & (x["pre"] > m["pre"]))
-    before = F.size(F.filter(all_, lambda x: (x["parent"] == m["parent"]) & (x["pre"] <= m["pre"])))
-    return before == position
+def _ranked(dom: Column, nodes: Column, position: int) -> Column:
+    """Those of ``nodes`` that are the position-th (or last) among the ones of the same parent.
+
+    Sorted by parent, a node's place among its own is seen from two neighbours, so the cost is that of the sort.
+    """
+
+    def pick(keys: Column) -> Column:
+        def pre(k: Column, i: Column) -> Column:
+            def same(at: Column) -> Column:
+                return F.when(at >= 0, F.coalesce(F.get(keys, at)["parent"] == k["parent"], F.lit(False))).otherwise(F.lit(False))
+
+            if position < 0:
+                hit = ~same(i + 1)
+            else:
+                hit = same(i - (position - 1)) & ~same(i - position)
+            return F.when(hit, k["pre"])
+
+        return F.sort_array(F.filter(F.transform(keys, pre), lambda x: x.isNotNull()))
+
+    keys = F.sort_array(F.transform(nodes, lambda m: F.struct(m["parent"].alias("parent"), m["pre"].alias("pre"))))
+    return F.transform(let(keys, pick), lambda i: F.get(dom["nodes"], i))
 
 
 def descendant(tag: str = "*", *preds: Predicate) -> Selector:
