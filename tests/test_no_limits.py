@@ -12,7 +12,7 @@ from webtables.functions import select as S
 from webtables.functions.entities import unescape
 from webtables.functions.wikitext import fallback_links
 from webtables.operators import listing as L
-from webtables.sources.pages import decode_bodies
+from webtables.sources.pages import decode_bodies, encode_results
 
 
 def test_all_fallback_links(spark):
@@ -81,3 +81,9 @@ def test_nth_on_a_large_page(spark):
     start = time()
     got = df.select(*[F.size(s.apply(F.col("d"), node)) for s in (S.descendant("b").nth(2), S.descendant("b").nth(-1), S.descendant("b").nth(3), S.descendant("li").nth(7))]).first()
     assert tuple(got) == (10_000, 10_000, 0, 1) and time() - start < 20
+
+
+def test_empty_object_is_written(spark):
+    rows = spark.createDataFrame([(1, True, "s", "t", None), (2, False, "s", "t", None), (3, True, "s", "t", ("x",))], "request_id int, ok boolean, site string, task string, data struct<name:string>")
+    got = {r.request_id: r.value for r in encode_results(rows).collect()}
+    assert got[1].endswith('"data":{}}') and '"data"' not in got[2] and got[3].endswith('"data":{"name":"x"}}')

@@ -137,7 +137,8 @@ def read_json_pages(responses: DataFrame, body: str = "body") -> DataFrame:
 def encode_results(results: DataFrame) -> DataFrame:
     """One JSON envelope per request.
 
-    Top-level members that are empty are left out; NULLs inside ``data`` and ``meta`` stay.
+    Top-level members that are empty are left out, but for the ``data`` of a good object result, which is ``{}``
+    where there is no record; NULLs inside ``data`` and ``meta`` stay.
     """
     optional = [c for c in ("url", "channel", "status", "meta", "data", "error") if c in results.columns]
     parts = [
@@ -152,6 +153,8 @@ def encode_results(results: DataFrame) -> DataFrame:
         elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
             text = F.to_json(c, {"ignoreNullFields": "true" if c == "error" else "false"})
             present = F.col(c).isNotNull()
+            if c == "data" and isinstance(kind, T.StructType):  # a good result without a record is the empty object
+                text, present = F.coalesce(text, F.lit("{}")), present | F.col("ok")
         else:
             text, present = F.col(c).cast("string"), F.coalesce(F.col(c) != 0, F.lit(False))
         parts.append(F.when(present, F.concat(F.lit(f'"{c}":'), text)))
