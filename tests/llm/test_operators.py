@@ -1,0 +1,397 @@
+"""The ten operators against plain Python, on small tables with nulls, ties, repeated rows and odd texts."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from array import array
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tests.compare import compare, database
+from webtables.llm import (
+    chat_events, id_coder, maxscore, near_dup, packing, piece_codec, quality_rules, resampling, secret_scan, shingles, token_counts, token_files,
+)
+from webtables.llm.bpe import Bpe
+from webtables.llm.common import scratch, stored
+from webtables.llm.components import components
+from webtables.llm.queries import load
+from webtables.llm.unigram import SPACE, Unigram
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE = load()
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: Null, empty, blank and odd texts, a text without spaces and a repeated one.
+ODD = [None, "", "  \n\t ", "one", "Two words", "a\x0bb\x0cc\rd", "é😀 季 ▁ <|im_end|> \\<|", "x" * 50_000, "ha " * 9_000, "same text", "same text"]
+
+
+def docs_of(spark, texts, first=0):
+    """Documents with columns whose names the operators use themselves."""
+    rows = [(first + i, t, "n", None, 1.5) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept boolean, _text double").repartition(3)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    assert compare(spark, database(SF), QUERIES[name], ORACLE[name], SF)[1] is None
+
+
+# 1
+def test_maxscore_is_exact():
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        n, m, d, k = (int(rng.integers(*r)) for r in ((0, 300), (1, 9), (1, 20), (1, 6)))
+        c, q = rng.integers(-4, 5, (n, d)), rng.integers(-4, 5, (m, d))
+        ids = rng.integers(0, max(1, n), n) if trial % 3 == 0 else np.arange(n)
+        c = c * 2**40 if trial % 7 == 0 else c
+        found = maxscore.search_shard(np.arange(m), q, ids, c, k, step=40)
+        for j in range(m):
+            best = {}
+            for i in range(n):
+                if ids[i] != j:
+                    best[int(ids[i])] = max(best.get(int(ids[i]), -(10**30)), sum(int(x) * int(y) for x, y in zip(c[i], q[j])))
+            want = sorted((-s, i) for i, s in best.items())[:k]
+            assert [(-int(s), int(v)) for w, v, s in zip(*found) if w == j] == want
+
+
+def test_maxscore_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, None), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.1]), (7, [0.5, 0.1]), (8, [])]
+    df = maxscore.integer_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    out = maxscore.top_k(df, lambda i: i % 50 == 0, k=3, shard_rows=2, block_rows=1).orderBy("rank").collect()
+    assert [tuple(r) for r in out] == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 7, 32768)]
+    empty = maxscore.top_k(df.where("vec_id < 0"), lambda i: i % 50 == 0)
+    assert empty.collect() == []
+
+
+# 2
+def brute_groups(docs, words, percent):
+    sets = {}
+    for i, t in docs:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + words]) for j in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    root, having = {i: i for i in sets}, defaultdict(list)
+
+    def find(v):
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        shared = defaultdict(int)
+        for s in sets[i]:
+            for j in having[s]:
+                shared[j] += 1
+            having[s].append(i)
+        for j, c in shared.items():
+            if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(first):
+    rnd, out = random.Random(3), []
+    base = [rnd.choice("alpha beta gamma delta eps zeta eta theta iota kappa la mu".split()) + str(rnd.randint(0, 50)) for _ in range(150)]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 10)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 10**6)}"
+        out.append(" ".join(w))
+    w = base[::-1]
+    for g in range(60):
+        w = list(w)
+        for _ in range(2):
+            w[rnd.randrange(len(w))] = f"y{g}"
+        out.append(" ".join(w))
+    return [(first + i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("words,percent,small", [(3, 85, 32), (5, 80, 4)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, percent, small):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 20_000)
+    docs = list(enumerate(ODD)) + near_copies(100)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = near_dup.groups(df, words, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_groups(docs, words, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_near_duplicates_keep_one(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(5, text, 1), (5, text, 2), (3, text.upper(), 3), (None, text, 4), (9, "other", 5), (9, None, 6)], "doc_id long, text string, rep int")
+    assert sorted(r.rep for r in near_dup.keep_one(df, 5, 80).collect()) == [1, 5, 6] or len(near_dup.keep_one(df, 5, 80).collect()) == 3
+    assert near_dup.keep_one(df.where("rep IN (3, 5)"), 5, 80).count() == 2
+    assert near_dup.groups(df.where("rep > 9"), 5, 80).collect() == []
+
+
+def test_linked_matrix():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(60)]
+    got = near_dup.linked(sets, 70)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            assert got[i, j] == (100 * both >= 70 * (len(a) + len(b) - both))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 7), (60, 50), (50, 61), (3, 3)]
+    labels = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert labels == {**{i: 0 for i in range(1, 41)}, 100: 0, 60: 50, 61: 50}
+
+
+def test_long_texts_hash_alike(monkeypatch):
+    text = " ".join(f"w{i % 700}" for i in range(5000)) + "\t" + "z" * 3000
+    whole = shingles.word_hashes(text)
+    monkeypatch.setattr(shingles, "CHUNK", 1000)
+    assert (shingles.word_hashes(text) == whole).all() and len(whole) == 5001
+
+
+# 3
+def test_chat_fold_and_render(spark):
+    e = "conv_id long, seq long, kind string, msg long, role string, text string"
+    log = [
+        (1, 0, "delta", 0, "user", "Hel"), (1, 1, "delta", 0, "user", "lo"), (1, 2, "edit", 0, "user", "Hi"), (1, 3, None, 0, "user", "!"),
+        (1, 4, "delta", 1, "assistant", "bad"), (1, 5, "regenerate", 1, "assistant", None), (1, 6, "delta", 1, "assistant", "go"), (1, 7, "delta", 1, "assistant", "od <|im_end|>"),
+        (2, 0, "delta", 0, None, None), (None, 0, "delta", 0, "a\nb<|", "x<\\|"), (3, 0, "regenerate", 0, "assistant", "no"),
+    ]
+    df = spark.createDataFrame(log, e)
+    turns = chat_events.render(chat_events.fold(df))
+    got = {(r.conv_id, r.msg): (r.role, r.text, r.loss) for r in chat_events.parse(turns).collect()}
+    assert got == {(1, 0): ("user", "Hi!", ""), (1, 1): ("assistant", "good <|im_end|>", "good <|im_end|>"), (2, 0): ("", "", ""), (None, 0): ("a\nb<|", "x<\\|", ""), (3, 0): ("assistant", "", "")}
+    assert all(r.formatted.count("<|") == 2 for r in turns.collect())
+    assert chat_events.fold(df.where("seq > 99")).collect() == []
+
+
+def test_chat_digest_of_odd_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "x" * 5000), (1, 2, "assistant", None), (2, None, None, "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat_events.digest(chat_events.parse(chat_events.render(chat_events.fold(chat_events.events_of(df))))).collect()}
+    turns = "user\na\nuser\na\nuser\nb\nassistant\n" + "x" * 5000 + "\nassistant\n\n"
+    assert (out[1].n_turns, out[1].turns_sha256, out[1].loss_chars) == (5, hashlib.sha256(turns.encode()).hexdigest(), 5000)
+    assert out[2].turns_sha256 == hashlib.sha256(b"\nq\n").hexdigest()
+
+
+# 4
+PATTERNS = (
+    ("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[1]) >= 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+)
+
+
+def test_secret_spans_equal_regex(spark):
+    rnd = random.Random(5)
+    bits = ["password", "token: ", "api_key='", "SECRET=", "AKIA", "ABCDEFGH1234", "deadbeef" * 4, "0123", " ", "é", "😀", "\n", "xyz/+.", "="]
+    texts = ODD + ["password: token: abcdefghij", "token=secret=abcdefgh1"] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25))) for _ in range(150)]
+    out = secret_scan.scan(docs_of(spark, texts)).select("_row.*", secret_scan.span_text(F.col("spans")).alias("s")).collect()
+    assert out[0].__fields__[:5] == ["doc_id", "text", "n_words", "kept", "_text"]
+    for r in out:
+        want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(texts[r.doc_id] or "") if ok(m))
+        assert [s for s in r.s.split(",") if s and not s.startswith("random")] == [f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in want]
+
+
+def test_random_runs_are_found(spark):
+    rnd, letters = random.Random(2), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = ["key " + "".join(rnd.choice(letters) for _ in range(rnd.choice([24, 32, 40, 64]))) for _ in range(60)]
+    plain = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "0" * 30, "12345678901234567890123", "thisIsAVeryLongIdentifierName", "/usr/local/share/some-thing/other_thing/file", "internationalizationofficers"]
+    out = secret_scan.scan(docs_of(spark, secrets + plain)).select("_row.doc_id", F.size("spans").alias("n")).collect()
+    assert sum(r.n for r in out if r.doc_id < 60) >= 57
+    assert sum(r.n for r in out if r.doc_id >= 60) == 0
+    assert secret_scan.scan(docs_of(spark, secrets).where("doc_id < 0")).collect() == []
+
+
+def test_false_discovery_thresholds():
+    cells = [(0, 0, 900), (0, 10, 60), (0, 20, 20), (0, 50, 20)]
+    assert secret_scan.thresholds(cells, 0.01) == {0: 50}  # 0.01 * 40 / 1000 < 10 ** -2
+    assert secret_scan.thresholds([], 0.01) == {}
+
+
+def test_redaction(spark):
+    texts = ["é token=abcdefgh1 and 😀 " + "0123456789abcdef" * 2 + " end", None, "", "clean"]
+    df = docs_of(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
+    out = {r.doc_id: (r.text, r.n_chars, r.n_words) for r in secret_scan.redact(df, "text", "n_chars").collect()}
+    assert out[0] == ("é [secret] and 😀 [secret] end", 30, "n")
+    assert out[1][0] is None and out[2] == ("", 0, "n") and out[3] == ("clean", 5, "n")
+
+
+# 5, 7
+def best_segmentation(model, word):
+    text, best = SPACE + word, [(0, 0)]
+    for d in range(1, len(text) + 1):
+        c, found = text[d - 1], []
+        if d > 1 and (c == SPACE or c not in model.pieces):
+            s, n = model.byte_cost(c)
+            found.append((best[d - 1][0] + s, best[d - 1][1] - n))
+        for start in range(d):
+            p = model.pieces.get(text[start:d])
+            if p and SPACE not in text[max(1, start) : d]:
+                found.append((best[start][0] + p[1], best[start][1] - 1))
+        best.append(max(found))
+    return best[-1]
+
+
+def test_unigram_segmentations():
+    model = Unigram(PIECES)
+    codec, rnd = piece_codec.Codec(model), random.Random(1)
+    letters = [*"aeinorstxA.", "é", "\n", "▁", "😀", "季", "\x00", "ation", "ing"]
+    words = {"".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) for _ in range(1500)}
+    counts, scores = token_counts.trie_counts(model, words), dict(model.pieces.values())
+    for w in words:
+        score, pieces = best_segmentation(model, w)
+        ids = codec.viterbi(w)
+        assert counts[w] == -pieces == len(ids)
+        assert sum(scores.get(i, model.byte_score) for i in ids) == score
+    for _ in range(500):
+        text = " ".join(rnd.choice(sorted(words)) for _ in range(rnd.randint(0, 5)))
+        assert codec.decode(codec.encode(text)) == text
+
+
+def test_counts_and_codec_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "RUN_CHARS", 10_000)
+    df = docs_of(spark, ODD + ["  two  spaces ", "tab\tand\nline"])
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, PIECES).collect()}
+    coded = piece_codec.decode(piece_codec.encode(df, PIECES), PIECES).collect()
+    assert all(r.decoded == r.text for r in coded) and len(coded) == len(ODD) + 2
+    assert counts == {r.doc_id: len(r.ids) // 4 for r in coded} and counts[0] == counts[1] == 0
+    assert token_counts.count_tokens(df.where("doc_id < 0"), PIECES).collect() == []
+
+
+# 6, 8
+def test_remembered_ids_equal_the_library():
+    encoder, rnd = Bpe(BPE), random.Random(1)
+    bits = [" ", "  ", "\n", " \n", "\n ", "\t", "a", "The", "é", "　", "\xa0", "1", "12", "'s", "'", ".", "!", "²", "一", "́", "ª", "\x1c", "\x85", "😀", "|", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(20_000)]
+    for t, e in zip(texts, encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.ids(t) == array("I", e.ids).tobytes(), t
+
+
+def ids_of(texts, end):
+    encoder = Bpe(BPE)
+    return {i: array("I", encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [end]) for i, t in enumerate(texts)}
+
+
+def test_packing_keeps_every_id(spark):
+    texts = ODD + [" ".join(f"w{j}" for j in range(n)) for n in (5, 90, 700, 2500, 3, 3, 3)]
+    want = ids_of(texts, packing.END_ID)
+    pieces = packing.pack(docs_of(spark, texts).coalesce(1), BPE, capacity=256, window_ids=2000).orderBy("doc_id", "start").collect()
+    got, sequences = defaultdict(bytes), defaultdict(list)
+    for p in pieces:
+        assert p.start == len(got[p.doc_id]) // 4 and p.length == len(p.ids) // 4 and p.doc_tokens == len(want[p.doc_id])
+        got[p.doc_id] += p.ids
+        sequences[p.sequence_id].append((p.offset, p.length))
+    assert {i: b for i, b in got.items()} == {i: a.tobytes() for i, a in want.items()}
+    used = []
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        used.append(at)
+    assert max(used) <= 256 and sum(u < 256 for u in used) <= 1 + sum(map(len, want.values())) // 1000
+    assert packing.pack(docs_of(spark, texts).where("doc_id < 0"), BPE).collect() == []
+
+
+def test_assignment_balances_cost():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 1024, 500)
+    cost, used = defaultdict(float), defaultdict(int)
+    for _, _, n, s, offset in packing.assign(lengths, 1024):
+        assert offset == used[s]
+        used[s] += n
+        cost[s] += packing.cost(n)
+    assert sum(used.values()) == lengths.sum() and len(used) == -(-int(lengths.sum()) // 1024)
+    assert sorted(used.values())[1] == 1024
+
+
+@pytest.mark.parametrize("ids", [[], [5], [7] * 3000, range(3000), [2**32 - 1, 0, 65536] * 50, [3, 1, 4, 1, 5, 9, 2, 6] * 400])
+def test_id_coder_round_trip(ids):
+    ids = np.array(list(ids), np.uint32)
+    frame = id_coder.encode(ids)
+    assert (id_coder.decode(frame) == ids).all()
+    if len(ids) > 1000:
+        broken = bytearray(frame)
+        broken[-20] ^= 255
+        with pytest.raises((ValueError, IndexError)):
+            id_coder.decode(bytes(broken))
+
+
+def test_id_coder_predicts():
+    rng = np.random.default_rng(0)
+    text = np.tile(rng.integers(0, 50_000, 64), 60)
+    assert len(id_coder.encode(text)) < 0.6 * 2 * len(text)
+
+
+@pytest.mark.parametrize("frame_ids", [8 << 20, 5000])
+def test_token_files(spark, frame_ids):
+    texts = ODD + [" ".join(f"w{j}" for j in range(2500))]
+    path = scratch(spark, "files")
+    token_files.write(docs_of(spark, texts), path, BPE, frame_ids=frame_ids)
+    got, at = {r.doc_id: tuple(r)[1:] for r in token_files.read(spark, path).collect()}, 0
+    for i, a in ids_of(texts, token_files.END_ID).items():
+        assert got[i] == (at, len(a), zlib.crc32(a.tobytes()))
+        at += len(a)
+    empty = scratch(spark, "files")
+    token_files.write(docs_of(spark, texts).where("doc_id < 0"), empty, BPE)
+    assert token_files.read(spark, empty).collect() == []
+
+
+def test_joined_crc():
+    parts = [array("I", range(n)).tobytes() for n in (0, 5, 1, 300)]
+    assert token_files.joined_crc([(len(p) // 4, zlib.crc32(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+# 9
+def test_rules_on_odd_rows(spark):
+    repeated = "a b c d e f g h i " * 5
+    texts = ODD + [repeated, " ".join(f"word{i}" for i in range(40)), "the of and to in is that it for was " * 2 + " ".join(f"v{i}" for i in range(30)), "# $ % & *"]
+    out = {r["_row"].doc_id: r for r in quality_rules.judge(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        windows = defaultdict(list)
+        for j in range(len(w) - 7):
+            windows[tuple(w[j : j + 8])].append(j)
+        covered = {j + k for at in windows.values() if len(at) > 1 for j in at for k in range(8)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        assert (out[i].n_words, out[i].word_chars, out[i].n_repeat_words) == (len(w), sum(map(len, w)), len(covered)), i
+        assert out[i].n_dup_lines == len(lines) - len(set(lines)) and out[i].n_symbols == sum(c in "#*$%&|<>" for c in t or "")
+        assert out[i].base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+    n = len(ODD)
+    assert [out[n + k].kept for k in range(4)] == [False, False, False, False] or out[n + 1].failed_rules == ["stop_word_share"]
+    kept = quality_rules.keep_good(docs_of(spark, texts))
+    assert kept.columns == ["doc_id", "text", "n_words", "kept", "_text"]
+
+
+# 10
+def test_classifier_holds_out(spark):
+    rnd = random.Random(4)
+    good = [" ".join(rnd.choice("the of and river stone walks light under".split()) for _ in range(rnd.randint(20, 80))) for _ in range(300)]
+    bad = [" ".join(rnd.choice("buy $$$ click now !!! win".split()) for _ in range(rnd.randint(20, 80))) for _ in range(60)]
+    docs = docs_of(spark, good + bad + ODD)
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(0, 360, 2)] + [(None, 1), (5, None), (0, 1)], "doc_id long, quality int")
+    model = resampling.fit(docs, labels)
+    out = {r["_row"].doc_id: r for r in resampling.classify(docs, model).collect()}
+    assert sum(out[i].kept for i in range(300)) >= 298 and sum(out[i].kept for i in range(300, 360)) <= 3
+    assert [out[360 + i].kept for i in range(3)] == [False] * 3 and out[360].log_weight is None
+    assert resampling.keep_sampled(docs, labels).columns == docs.columns
+    unknown = resampling.fit(docs, labels.where("doc_id < 0"))
+    assert resampling.classify(docs, unknown).where("kept").count() == 360 + len(ODD) - 3
+    assert resampling.keep_sampled(docs.where("doc_id < 0"), labels).collect() == []
+
+
+def test_kth_greatest(spark):
+    values = [(i * i) % 1000 - 300 for i in range(400)]
+    df = stored(spark.createDataFrame([(v,) for v in values], "v long"), "values")
+    assert [resampling.kth_greatest(df, "v", k) for k in (1, 77, 400)] == [sorted(values)[-k] for k in (1, 77, 400)]
