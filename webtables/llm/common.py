@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, rows: int = 1000) -> DataFrame:
+    """``table`` for Python steps over texts: Arrow batches of at most ``rows`` rows, since texts are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return table(spark, sf_dir, name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``.
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtables.llm.bpe import _Memory
+from webtables.llm.common import text_table
 from webtables.llm.unigram import SPACE, Unigram, unigram, words_of
 
 
@@ -118,7 +119,7 @@ def op7_piece_codec(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model_file = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_file), model_file)
+    out = decode(encode(text_table(spark, sf_dir, "documents"), model_file), model_file)
     return out.select(
         "doc_id",
         F.expr("CAST(length(ids) DIV 4 AS LONG)").alias("n_tokens"),
