@@ -16,6 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webtables.functions.text import once
 from webtables.llm.common import SPACE, WORD, packed, text_of, unpacked, words_of
 
 #: Frequent function words of English, French, German and Spanish.
@@ -114,7 +115,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(~_passes(r), F.lit(r.name)) for r in rules]), lambda r: r.isNotNull())
     df = df.select("_row", *MEASURES, base.alias("base_failed"), failed.alias("failed_rules"))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # pinned, or a filter on it would be moved below and compute the measures again, nested in each other
+    return df.withColumn("kept", once(~F.col("base_failed") & (F.size("failed_rules") == 0)))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
