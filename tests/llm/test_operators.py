@@ -131,7 +131,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, percent, s
 def test_near_duplicates_keep_one(spark):
     text = "one two three four five six seven eight"
     df = spark.createDataFrame([(5, text, 1), (5, text, 2), (3, text.upper(), 3), (None, text, 4), (9, "other", 5), (9, None, 6)], "doc_id long, text string, rep int")
-    assert sorted(r.rep for r in near_dup.keep_one(df, 5, 80).collect()) == [1, 5, 6] or len(near_dup.keep_one(df, 5, 80).collect()) == 3
+    kept = sorted(r.rep for r in near_dup.keep_one(df, 5, 80).collect())
+    assert len(kept) == 3 and kept[1:] == [5, 6]  # one of the four copies
     assert near_dup.keep_one(df.where("rep IN (3, 5)"), 5, 80).count() == 2
     assert near_dup.groups(df.where("rep > 9"), 5, 80).collect() == []
 
@@ -223,7 +224,7 @@ def test_redaction(spark):
     texts = ["é token=abcdefgh1 and 😀 " + "0123456789abcdef" * 2 + " end", None, "", "clean"]
     df = docs_of(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
     out = {r.doc_id: (r.text, r.n_chars, r.n_words) for r in secret_scan.redact(df, "text", "n_chars").collect()}
-    assert out[0] == ("é [secret] and 😀 [secret] end", 30, "n")
+    assert out[0] == ("é [secret] and 😀 [secret] end", 29, "n")
     assert out[1][0] is None and out[2] == ("", 0, "n") and out[3] == ("clean", 5, "n")
 
 
@@ -356,7 +357,7 @@ def test_joined_crc():
 # 9
 def test_rules_on_odd_rows(spark):
     repeated = "a b c d e f g h i " * 5
-    texts = ODD + [repeated, " ".join(f"word{i}" for i in range(40)), "the of and to in is that it for was " * 2 + " ".join(f"v{i}" for i in range(30)), "# $ % & *"]
+    texts = ODD + [repeated, " ".join(f"word{i}" for i in range(40)), "the of and to in is that it for was " + " ".join(f"v{i}" for i in range(30)), "# $ % & *"]
     out = {r["_row"].doc_id: r for r in quality_rules.judge(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         w = WORD.findall(t or "")
@@ -369,7 +370,7 @@ def test_rules_on_odd_rows(spark):
         assert out[i].n_dup_lines == len(lines) - len(set(lines)) and out[i].n_symbols == sum(c in "#*$%&|<>" for c in t or "")
         assert out[i].base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
     n = len(ODD)
-    assert [out[n + k].kept for k in range(4)] == [False, False, False, False] or out[n + 1].failed_rules == ["stop_word_share"]
+    assert [out[n + k].kept for k in range(4)] == [False, False, True, False] and out[n + 1].failed_rules == ["stop_word_share"]
     kept = quality_rules.keep_good(docs_of(spark, texts))
     assert kept.columns == ["doc_id", "text", "n_words", "kept", "_text"]
 
