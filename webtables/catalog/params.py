@@ -198,5 +198,5 @@ TASK = {
      'p=' || coalesce(nullif(trim(page), ''), '1'), CASE WHEN keyword <> '' THEN 'q=' || {ENC.format('keyword')} END) END AS url,
      CASE WHEN trim(coalesce(cookie, '')) <> '' THEN cookie ELSE 'p=' || coalesce(nullif(trim(page), ''), '1') END AS cookie, error FROM e""")
 def plan_requests(spark, sf):
-    out = R.plan_requests(rows(spark, sf), TASK, SITE, {"people": index(spark, sf)}, ["request_id"], cookie="cookie")
+    out = R.plan_requests(rows(spark, sf), TASK, SITE, {"people": index(spark, sf)}, cookie="cookie")
     return out.select("request_id", "method", "url", "cookie", "error")
