@@ -284,6 +284,25 @@ def ids_of(texts, end):
     return {i: array("I", encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [end]) for i, t in enumerate(texts)}
 
 
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    library, mark = Tokenizer.from_file(BPE), "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"a{mark}b", f" {mark}  {mark}{mark} ", f"same text {mark}", f"{mark[:-1]} >", "same text"]
+    want = [array("I", library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert want[1] == array("I", [64, 220, 50256, 275])
+    encoder = Bpe(BPE)
+    assert [encoder.ids(t) for t in texts] == [encoder.whole(t) for t in texts] == [w.tobytes() for w in want]
+    packed = packing.pack(docs_of(spark, texts), BPE).collect()
+    assert {p.doc_id: p.ids for p in packed} == {i: w.tobytes() + bytes(4) for i, w in enumerate(want)}
+    path, at = scratch(spark, "files"), 0
+    token_files.write(docs_of(spark, texts), path, BPE)
+    for r, w in zip(token_files.read(spark, path).orderBy("doc_id").collect(), want, strict=True):
+        w = array("I", [*w, token_files.END_ID])
+        assert tuple(r)[1:] == (at, len(w), zlib.crc32(w.tobytes()))
+        at += len(w)
+
+
 def test_packing_keeps_every_id(spark):
     texts = ODD + [" ".join(f"w{j}" for j in range(n)) for n in (5, 90, 700, 2500, 3, 3, 3)]
     want = ids_of(texts, packing.END_ID)

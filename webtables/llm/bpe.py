@@ -4,7 +4,8 @@ Byte-level BPE splits a text into pre-tokens and encodes each on its own. A spac
 non-space character follows always starts a pre-token, so ``text.split(" ")`` cuts only at
 pre-token borders wherever each part starts with a non-space character; texts with other parts are
 encoded whole. The ids of a part are therefore a function of the part, and each distinct part is
-encoded once while it is remembered.
+encoded once while it is remembered. The library cuts a text at its added tokens before it looks for
+pre-tokens, so a text that holds the string of one is encoded whole.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Bpe:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.pieces, self.parts = _Memory(self._piece), _Memory(self._part)
 
@@ -76,6 +77,9 @@ class Bpe:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        for token in self.added:
+            if token in text:
+                return self.whole(text)
         if _IRREGULAR.search(text):
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
         parts = text.split(" ")
