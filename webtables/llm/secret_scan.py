@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over long runs of code characters.
 
 The patterns give the base spans. The method adds spans of kind ``random``: every run of 20 or more
-base64 characters is a candidate. Its encoding (hex, base32, lower, base36, base62, base64) is
+base64 characters is a candidate; base spans are cut out of it, and what remains between them is a
+candidate each where it has 20 characters or more. Its encoding (hex, base32, lower, base36, base62, base64) is
 inferred from its characters, and three statistics are taken:
 
 * chi-squared of its symbols against a uniform alphabet;
@@ -37,7 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Candidates of the method, and their alphabets in order of inference: name, pattern, symbols, and
 #: the chance that two symbols of ordinary text are equal.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ENCODINGS = (
     ("digits", r"^[0-9]+$", 10, 1.0),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 0.1),
@@ -53,11 +55,11 @@ CHANGES = 0.35
 SERIAL = 3.3
 #: False-discovery rate, first lengths of the length classes, cells per power of ten and cells in all.
 RATE, LENGTHS, CELLS, LAST = 0.01, (20, 32, 48, 64, 128), 10, 300
+_SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
 def _found(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans of the leftmost matches whose ``group`` has ``least`` characters: array of (start, kind, end)."""
-    span = "array<struct<start:int,kind:int,end:int,text:string>>"
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
@@ -71,9 +73,28 @@ def _found(text: Column, pattern: str, group: int, least: int, kind: int) -> Col
         good = p["hit"].isNotNull() & (F.length(p["part"]) >= least)
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
     found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(span))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+
+
+def _uncovered(run: Column, base: Column) -> Column:
+    """The pieces of ``run`` between spans of ``base`` (in order of their starts), of ``LEAST`` characters or more."""
+
+    def piece(start: Column, end: Column) -> Column:
+        part = F.substring(run["text"], start - run["start"] + 1, end - start)
+        return F.array(F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), part.alias("text")))
+
+    def step(acc, b):
+        out = F.when(b["start"] - acc["at"] >= LEAST, F.concat(acc["out"], piece(acc["at"], b["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+    def last(acc):
+        return F.when(run["end"] - acc["at"] >= LEAST, F.concat(acc["out"], piece(acc["at"], run["end"]))).otherwise(acc["out"])
+
+    start = F.struct(run["start"].alias("at"), F.array().cast(_SPANS).alias("out"))
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.when(F.size(inside) == 0, F.array(run)).otherwise(F.aggregate(inside, start, step, last))
 
 
 def _tail(z: Column) -> Column:
@@ -139,16 +160,16 @@ def thresholds(cells: list[tuple[int, int, int]], rate: float = RATE) -> dict[in
 def scan(docs: DataFrame, text: str = "text", rate: float = RATE, carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``_row`` (the input row, or its columns ``carry``) and ``spans``, an array of (start, kind, end) in order.
 
-    ``kind`` is a place in ``KINDS``. Spans of candidates that overlap a base span are not added.
+    ``kind`` is a place in ``KINDS``. Spans of candidates do not overlap base spans.
     """
     rows = packed(docs, text)
     row = F.struct(*[F.col("_row").getField(c).alias(c) for c in carry]) if carry else F.col("_row")
     rows = rows.select(row.alias("_row"), text_of(f"_{text}").alias("_t"))
     t = F.col("_t")
     base = F.array_sort(F.concat(*[_found(t, p, group, least, i) for i, (_, p, group, least) in enumerate(PATTERNS)]))
-    rows = rows.select("_row", base.alias("base"), _found(t, CANDIDATE, 0, 20, 3).alias("runs"))
+    rows = rows.select("_row", base.alias("base"), _found(t, CANDIDATE, 0, LEAST, 3).alias("runs"))
     rows = rows.select("_row", F.transform("base", lambda s: s.dropFields("text")).alias("base"), "runs")
-    rows = rows.withColumn("runs", F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
+    rows = rows.withColumn("runs", F.flatten(F.transform("runs", lambda r: _uncovered(r, F.col("base")))))
     return _with_discoveries(rows, rate)
 
 
