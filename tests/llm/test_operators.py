@@ -128,6 +128,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, percent, s
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_near_duplicates_have_the_trees_they_need(spark):
+    assert near_dup.plan(0.85) == (2, 6, 64) and near_dup.plan(0.8) == (2, 8, 64)
+    for percent in (5, 15, 33, 50, 51, 60, 72, 100):
+        branch, trees, tokens = near_dup.plan(percent / 100)
+        q = 0.0
+        for _ in range(10_000):
+            q = (1 - percent / 100 + percent / 100 * q) ** branch
+        assert q**trees <= 1.0001e-9 and trees * branch <= tokens // near_dup.LEVELS
+    with pytest.raises(ValueError):
+        near_dup.plan(0.0)
+    # pairs of sets of 11 and 12 words that share 3 of the 20
+    docs = [(2 * g + k, " ".join([f"s{g}x{j}" for j in range(3)] + [f"o{g}x{k}x{j}" for j in range(8 + k)])) for g in range(150) for k in (0, 1)]
+    out = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string"), 1, 15).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_groups(docs, 1, 15)
+
+
 def test_near_duplicates_keep_one(spark):
     text = "one two three four five six seven eight"
     df = spark.createDataFrame([(5, text, 1), (5, text, 2), (3, text.upper(), 3), (None, text, 4), (9, "other", 5), (9, None, 6)], "doc_id long, text string, rep int")
