@@ -16,6 +16,7 @@ _OPS = {
     "op3_chat_events": "chat_events",
     "op6_cost_packing": "packing",
     "op9_quality_rules": "quality_rules",
+    "op13_merkle_manifest": "merkle",
 }
 
 
