@@ -16,6 +16,8 @@ _OPS = {
     "op3_chat_events": "chat_events",
     "op6_cost_packing": "packing",
     "op9_quality_rules": "quality_rules",
+    "op11_misra_gries_collocations": "collocations",
+    "op12_cover_dedup": "repeats",
     "op13_merkle_manifest": "merkle",
 }
 
