@@ -7,13 +7,13 @@ of a tree stand in order; while there are several nodes, every ``FAN`` consecuti
 1. Leaves are made by column functions and written, 32 bytes each, so texts are read once and never shuffled.
 2. They are dealt by ranges of (tree, order) and sorted; a row's position is its place in its range plus the
    rows of its tree in the ranges before: one number for each range and tree.
-3. ``SUPER`` consecutive leaves are a superblock, whose subtree is reduced in one group. The roots of all
-   superblocks are the nodes of the next tier, and so on: each tier is ``SUPER`` times smaller.
+3. ``FAN ** LEVELS`` consecutive leaves are a superblock, whose subtree is reduced in one group. The roots of all
+   superblocks are the nodes of the next tier, and so on: each tier is that many times smaller.
 4. Downwards, each superblock gets the one row of outer nodes that its leaves need: the siblings on the path from
    its root to the top. Nodes and outer row are cogrouped by superblock; the group repeats its own reduction,
    joins inner and outer siblings to proofs, and folds a leaf along its proof, all in one step.
 
-A group holds ``SUPER`` nodes and one path, however large the table or a language is. What is written between
+A group holds these nodes and one path, however large the table or a language is. What is written between
 steps is in the folder of ``spark.checkpoint.dir``, so a lost executor repeats its own groups only.
 
 A path is bytes: for each level the node's place in its run, the number of its siblings, and their digests.
@@ -35,9 +35,8 @@ from pyspark.sql import functions as F
 from webtables.llm.common import stored, table
 
 FAN = 8
-#: Levels that one superblock reduces, and the nodes it holds.
+#: Levels that one superblock reduces; it holds ``FAN ** LEVELS`` nodes.
 LEVELS = 4
-SUPER = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,10 +54,10 @@ def levels_of(n: int) -> int:
     return h
 
 
-def reduced(digests: list[bytes], n: int) -> list[list[bytes]]:
-    """The levels of a superblock from its nodes to its root, in a tree of ``n`` nodes at this tier."""
+def reduced(digests: list[bytes], n: int, height: int) -> list[list[bytes]]:
+    """The levels of a superblock of at most ``height`` from its nodes to its root, in a tree of ``n`` nodes at this tier."""
     out = [digests]
-    for _ in range(min(LEVELS, levels_of(n))):
+    for _ in range(min(height, levels_of(n))):
         below = out[-1]
         out.append([hashed(below[k : k + FAN]) for k in range(0, len(below), FAN)])
     return out
@@ -124,45 +123,45 @@ def positions(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("pos", F.col("base") + F.col("at") - F.col("first")).drop("part", "at", "first", "base", "place")
 
 
-def _super(pos: str = "pos") -> Column:
-    return F.floor(F.col(pos) / F.lit(SUPER)).cast("long")
+def _super(height: int) -> Column:
+    return F.expr(f"pos div {FAN**height}")
 
 
-def upper_tier(nodes: DataFrame, name: str) -> DataFrame:
+def upper_tier(nodes: DataFrame, name: str, height: int) -> DataFrame:
     """Roots of the superblocks of ``nodes`` (tree, pos, n, digest) as the nodes of the next tier."""
 
     def root(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         n = int(group["n"].iloc[0])
-        top = reduced([bytes(d) for d in group["digest"]], n)[-1]
-        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [-(-n // SUPER)], "digest": [top[0]]})
+        top = reduced([bytes(d) for d in group["digest"]], n, height)[-1]
+        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [-(-n // FAN**height)], "digest": [top[0]]})
 
-    grouped = nodes.select("tree", _super().alias("block"), "pos", "n", "digest").groupBy("tree", "block")
+    grouped = nodes.select("tree", _super(height).alias("block"), "pos", "n", "digest").groupBy("tree", "block")
     return stored(grouped.applyInPandas(root, "tree string, pos long, n long, digest binary"), name)
 
 
-def with_paths(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+def with_paths(nodes: DataFrame, outer: DataFrame, height: int) -> DataFrame:
     """(tree, pos, path, top, root) of ``nodes``; ``outer`` has path, top and root of each superblock (tree, block)."""
 
     def join(key, group: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        levels = reduced([bytes(d) for d in group["digest"]], int(group["n"].iloc[0]))
+        levels = reduced([bytes(d) for d in group["digest"]], int(group["n"].iloc[0]), height)
         path, top, root = out[["path", "top", "root"]].iloc[0]
         paths = [path_of(levels, k) + bytes(path) for k in range(len(group))]
         return pd.DataFrame({"tree": group["tree"], "pos": group["pos"], "path": paths, "top": [bytes(top)] * len(group), "root": [bytes(root)] * len(group)})
 
-    left = nodes.select("tree", _super().alias("block"), "pos", "n", "digest").groupBy("tree", "block")
+    left = nodes.select("tree", _super(height).alias("block"), "pos", "n", "digest").groupBy("tree", "block")
     right = outer.groupBy("tree", "block")
     return left.cogroup(right).applyInPandas(join, "tree string, pos long, path binary, top binary, root binary")
 
 
-def proofs(leaves: DataFrame, outer: DataFrame) -> DataFrame:
+def proofs(leaves: DataFrame, outer: DataFrame, height: int) -> DataFrame:
     """The last exchange: leaves with their superblock's outer nodes, to proofs and folded roots."""
 
     def join(key, group: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         digests = [bytes(d) for d in group["digest"]]
-        levels = reduced(digests, int(group["n"].iloc[0]))
+        levels = reduced(digests, int(group["n"].iloc[0]), height)
         outer_path, top, root = (bytes(v) for v in out[["path", "top", "root"]].iloc[0])
         paths = [path_of(levels, k) for k in range(len(digests))]
         known: dict[bytes, bytes] = {}  # root of the superblock → root of all, along the outer path
@@ -182,42 +181,42 @@ def proofs(leaves: DataFrame, outer: DataFrame) -> DataFrame:
             "verified": [e == root for e in ends],
         })
 
-    left = leaves.select("tree", _super().alias("block"), "pos", "n", "digest", "presented", "doc_id").groupBy("tree", "block")
+    left = leaves.select("tree", _super(height).alias("block"), "pos", "n", "digest", "presented", "doc_id").groupBy("tree", "block")
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     return left.cogroup(outer.groupBy("tree", "block")).applyInPandas(join, schema)
 
 
-def tiers_of(nodes: DataFrame, name: str) -> list[DataFrame]:
+def tiers_of(nodes: DataFrame, name: str, height: int) -> list[DataFrame]:
     """``nodes`` and the tiers above them, up to one node for each tree."""
     out = [nodes]
     largest = nodes.agg(F.max("n")).first()[0] or 0
     while largest > 1:
-        out.append(upper_tier(out[-1], name))
-        largest = -(-largest // SUPER)
+        out.append(upper_tier(out[-1], name, height))
+        largest = -(-largest // FAN**height)
     return out
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
-    """``leaves``: tree (string), doc_id (long), digest (32 bytes), presented (the digest that is folded).
+def manifest(leaves: DataFrame, height: int = LEVELS) -> DataFrame:
+    """``leaves``: tree (string), doc_id (long), digest (32 bytes), presented (the digest that is folded). ``height``: levels of a superblock.
 
     Returns doc_id, leaf, subroot, root, proof_sha256, folded_root and verified.
     """
     leaves = stored(leaves.withColumn("place", F.monotonically_increasing_id()), "leaves")
     placed = stored(positions(leaves, ["doc_id", "digest"], "ordered-leaves"), "placed-leaves")
-    tiers = tiers_of(placed, "tier")
+    tiers = tiers_of(placed, "tier", height)
     tops = tiers[-1].select("tree", "digest")
     langs = tops.select(F.lit("").alias("tree"), F.col("tree").alias("lang"), "digest", F.lit(0).alias("place"))
     langs = stored(positions(langs, ["lang"], "ordered-langs"), "placed-langs")
-    lang_tiers = tiers_of(langs, "lang-tier")
+    lang_tiers = tiers_of(langs, "lang-tier", height)
     # Downwards: a superblock's outer nodes are the path of its root.
     outer = lang_tiers[-1].select("tree", F.col("pos").alias("block"), F.lit(b"").alias("path"), F.col("digest").alias("top"), F.col("digest").alias("root"))
     for tier in lang_tiers[-2::-1]:
-        outer = with_paths(tier, outer).withColumnRenamed("pos", "block")
+        outer = with_paths(tier, outer, height).withColumnRenamed("pos", "block")
     named = langs.select(F.col("pos").alias("block"), F.col("lang").alias("tree"), F.col("digest").alias("top"))
     outer = named.join(outer.select("block", "path", "root"), "block").select("tree", F.lit(0).cast("long").alias("block"), "path", "top", "root")
     for tier in tiers[-2:0:-1]:
-        outer = with_paths(tier, outer).withColumnRenamed("pos", "block")
-    return proofs(placed, outer)
+        outer = with_paths(tier, outer, height).withColumnRenamed("pos", "block")
+    return proofs(placed, outer, height)
 
 
 def tampered(doc_id: Column) -> Column:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, rows_of, unpacked_bytes
+from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, ranges, rows_of, unpacked_bytes
 from webtables.llm.common import stored, table
 from webtables.llm.shingles import mixed
 
@@ -58,6 +58,7 @@ NO_ID = -(2**63)
 _BASE = 0xB5026F5AA96619E9
 _UNBASE = pow(_BASE, -1, 2**64)
 _BYTE = np.random.default_rng(20250203).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NONE = np.zeros(0, bool)  # the answer to a slice that sent nothing
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -154,12 +155,6 @@ def slices(texts: list[Text], slice_bytes: int) -> Iterator[Slice]:
         yield Slice(parts)
 
 
-def ranges(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where the sorted ``keys`` of each of ``parts`` equal ranges begin, and their number."""
-    bounds = np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
-    return np.append(np.searchsorted(keys, bounds), len(keys))
-
-
 def sent_samples(blocks: DataFrame, bits: int, parts: int, slice_bytes: int) -> DataFrame:
     """``part, block, slice, n, keys, counts``: sorted fingerprints of the samples of each slice."""
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("slice", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -217,7 +212,7 @@ def sent_suffixes(blocks: DataFrame, bits: int, parts: int, slice_bytes: int) ->
                 tied = _flags(replies.as_py())
                 for no, s in enumerate(slices(texts_of(data.as_py(), copies), slice_bytes)):
                     places, which, keys, _ = s.samples(bits)
-                    _, _, found, first = s.suffixes(places, tied[no][which])
+                    _, _, found, first = s.suffixes(places, tied.get(no, _NONE)[which])
                     owner = s.part_of(first)
                     at = ranges(found, 64, parts)
                     rows = []
@@ -283,7 +278,7 @@ def marked(blocks: DataFrame, bits: int, slice_bytes: int, with_text: bool) -> D
                 done, partial = set(), {}
                 for no, s in enumerate(slices(texts, slice_bytes)):
                     rows = []
-                    for text, a, covered in covered_parts(s, bits, tied[no], earlier.get(no)):
+                    for text, a, covered in covered_parts(s, bits, tied.get(no, _NONE), earlier.get(no)):
                         if len(covered) == len(text.data):
                             rows.append(result(text, covered))
                             done.add(text.no)
