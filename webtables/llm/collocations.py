@@ -1,21 +1,20 @@
 """Collocations: phrases whose words meet more often than their parts would by chance.
 
-1. Texts are put in blocks. Every block numbers its distinct phrases of 1 to ``WORDS`` words, exactly: words by a
-   dictionary, a longer phrase by the number of the phrase without its last word and that word.
-2. A block sends each hash partition a summary: fingerprints of its phrases with their counts. A count stops at
-   ``least``, since one block then proves the phrase frequent; so a very common phrase is no more of a partition's
-   mass than a few others.
-3. The summaries of a partition are merged as Misra and Gries have it: where there are more counters than the
+1. Texts are put in blocks. A block names its phrases of 1 to ``WORDS`` words by 64 bits of their words and language, and
+   sends each hash partition a summary: the sorted names of its phrases and how often each occurs in the block.
+2. The summaries of a partition are merged as Misra and Gries have it: where there are more counters than the
    capacity, the next greatest count is taken off all and what is used up goes. The capacity exceeds the partition's mass
    divided by ``least``, so less than ``least`` is taken off any count, and every phrase that occurs ``least``
-   times is left over. Equal fingerprints of different phrases add up, which can only let more through. There
-   are as many partitions as the mass asks for: the memory of a merge does not grow with the table.
-4. Every block is answered with those of its fingerprints that are left. The second pass counts only phrases
-   whose fingerprint, and that of the phrase without its last word, is left, and gives their texts and counts; Spark adds
-   them up by text. So all counts are exact.
+   times is left over. For the mass a count stops at ``least``, since one block then proves the phrase
+   frequent: a very common phrase is no more of a partition than a few others.
+3. A second pass over the same summaries counts exactly, but only what is left over. Memory is that of the counters and of
+   one block's names; the summaries themselves stay compressed, about six bytes a phrase. There are as many
+   partitions as the mass asks for, so a partition does not grow with the table.
+4. The first block that has a frequent phrase is told its name and count, and gives its text: one row for each phrase.
 5. Scores, cuts, containment and ranks are joins and windows over the frequent phrases.
 
-Fingerprints have a few bits more than the number of phrases, so a phrase costs about two bytes of exchange.
+Names are the only thing that is not exact: n distinct phrases have an equal name by accident with a chance of
+n * n / 2^65.
 
 Defined cases: a null text is empty; a null language is ``und``; an empty table gives no rows; repeated rows count
 each; a text of any length is cut into slices, between words, the last words of a slice going before the next one
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, rows_of, unpacked_bytes
+from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, ranges, rows_of, unpacked_bytes
 from webtables.llm.common import stored, table
 from webtables.llm.shingles import mixed
 
@@ -43,8 +42,6 @@ WORDS = 5
 BLOCK_BYTES, SLICE_BYTES = 4 << 20, 4 << 20
 #: Mass of a hash partition on average at most: phrases of all blocks, each counted up to ``least`` times a block.
 MASS = 1 << 26
-#: Bits of a fingerprint beyond those of the number of phrases.
-SPARE_BITS = 5
 OUT_ROWS = 8192
 #: The bytes that end a piece, and those between words (fixed values).
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -118,41 +115,17 @@ def slices(texts: Iterator[tuple[str, bytes]], slice_bytes: int) -> Iterator[Sli
     yield now
 
 
-def phrases(s: Slice, bits: int, alive: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per number of words: (words, a place, counts, fingerprints) of the distinct phrases; the count of one that is only context is 0.
-
-    ``alive``: sorted fingerprints; a phrase is given out if its own and those of its beginnings are among them.
-    """
+def phrases(s: Slice) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per number of words: (words, places, names) of all phrases, one entry for each place."""
     w, hashes = s.text(), np.array(s.hashes, np.uint64)
-    size = np.int64(len(s.words))
     places = np.flatnonzero(w > 0)
-    number = w[places]
+    sums = np.zeros(len(places), np.uint64)
     for n in range(1, WORDS + 1):
-        if n > 1:
-            inside = places + n - 1 < len(w)
-            places, number = places[inside], number[inside]
-            last = w[places + n - 1]
-            places, number = places[last > 0], (number * size + last)[last > 0]
-        if not len(places):
-            return
-        order = np.argsort(number)
-        ordered = number[order]
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counted = (places[order] + n > s.context).astype(np.int64)
-        counts = np.add.reduceat(counted, edge)
-        first = places[order[edge]]
-        key = np.full(len(edge), n, np.uint64)
-        for k in range(n):
-            key += hashes[w[first + k]] * _PLACE[k]
-        key = mixed(key) >> np.uint64(64 - bits)
-        here = np.ones(len(edge), bool) if alive is None else among(key, alive)
-        yield n, first[here], counts[here], key[here]
-        rank = np.zeros(len(places), np.int64)
-        rank[order] = np.repeat(np.arange(len(edge)), np.diff(edge, append=len(order)))
-        if alive is not None:
-            goes_on = here[rank]
-            places, rank = places[goes_on], rank[goes_on]
-        number = rank
+        inside = places + n <= len(w)
+        places, sums = places[inside], sums[inside]
+        last = w[places + n - 1]
+        places, sums = places[last > 0], sums[last > 0] + hashes[last[last > 0]] * _PLACE[n - 1]
+        yield n, places, mixed(sums + np.uint64(n))
 
 
 def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -211,12 +184,7 @@ def _texts(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield lang.as_py(), text.as_py()
 
 
-def _partition(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where the sorted ``keys`` of each of the ``parts`` equal ranges begin."""
-    return np.searchsorted(keys, np.array([(p << bits) // parts + ((p << bits) % parts > 0) for p in range(parts)] + [1 << bits], np.uint64))
-
-
-def summaries(blocks: DataFrame, bits: int, parts: int, least: int, slice_bytes: int) -> DataFrame:
+def summaries(blocks: DataFrame, parts: int, slice_bytes: int) -> DataFrame:
     """Each block's summaries, one for a slice and hash partition: ``part, block, slice, keys, counts``."""
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -224,73 +192,88 @@ def summaries(blocks: DataFrame, bits: int, parts: int, least: int, slice_bytes:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1)):
                 for no, s in enumerate(slices(_texts(data.as_py()), slice_bytes)):
-                    found = list(phrases(s, bits))
-                    if not found:
-                        continue
-                    keys, counts = added(np.concatenate([f[3] for f in found]), np.concatenate([f[2] for f in found]))
-                    counts = np.minimum(counts, least)
-                    at = _partition(keys, bits, parts)
-                    rows = [
-                        (p, block, no, encoded(keys[i:j]), packed_bytes(counts[i:j].astype("<u4").tobytes()))
-                        for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i
-                    ]
+                    names = np.sort(np.concatenate([names[places + n > s.context] for n, places, names in phrases(s)]))
+                    edge = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+                    keys, counts = names[edge], np.diff(edge, append=len(names)).astype("<u4")
+                    at = ranges(keys, 64, parts)
+                    rows = [(p, block, no, encoded(keys[i:j]), packed_bytes(counts[i:j].tobytes())) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
                     yield batch_of(schema, rows)
 
     return blocks.select("block", "data").mapInArrow(run, "part int, block long, slice int, keys binary, counts binary")
 
 
-def answers(sent: DataFrame, least: int) -> DataFrame:
-    """Merge the summaries of each hash partition; answer each slice with its keys that are left."""
+def frequent(sent: DataFrame, least: int) -> DataFrame:
+    """``block, slice, part, keys, counts``: the frequent names and their exact counts, each with the first slice that has it."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["block", "slice"])
-        keys = [decoded(k) for k in group["keys"]]
-        counts = [np.frombuffer(unpacked_bytes(c, 4 * len(k)), "<u4").astype(np.int64) for c, k in zip(group["counts"], keys)]
-        summary = Summary(sum(int(c.sum()) for c in counts) // least + 1)
-        for k, c in zip(keys, counts):
-            summary.merge(k, c)
-        left = summary.frequent(least)
-        out = [encoded(k[among(k, left)]) for k in keys]
-        return pd.DataFrame({"block": group["block"], "slice": group["slice"], "part": group["part"], "keys": out})
-
-    return sent.groupBy("part").applyInPandas(merge, "block long, slice int, part int, keys binary")
 
+        def summaries_():
+            for k, c in zip(group["keys"], group["counts"]):
+                keys = decoded(k)
+                yield keys, np.frombuffer(unpacked_bytes(c, 4 * len(keys)), "<u4").astype(np.int64)
 
-def counted(blocks: DataFrame, replies: DataFrame, bits: int, slice_bytes: int) -> DataFrame:
-    """Exact counts of the phrases that are left, block by block: ``lang, phrase, words, n``; ``words`` 0: all words."""
+        summary = Summary(sum(int(np.minimum(c, least).sum()) for _, c in summaries_()) // least + 1)
+        for k, c in summaries_():
+            summary.merge(k, np.minimum(c, least))
+        left = summary.frequent(least)
+        total, first = np.zeros(len(left), np.int64), np.full(len(left), -1, np.int64)
+        for no, (k, c) in enumerate(summaries_()):
+            here = among(k, left)
+            at = np.searchsorted(left, k[here])
+            total[at] += c[here]
+            first[at[first[at] < 0]] = no
+        out = []
+        for no, (block, slice_, part) in enumerate(zip(group["block"], group["slice"], group["part"])):
+            mine = (first == no) & (total >= least)
+            if mine.any():
+                out.append((block, slice_, part, encoded(left[mine]), total[mine].astype("<i8").tobytes()))
+        return pd.DataFrame(out, columns=["block", "slice", "part", "keys", "counts"])
+
+    return sent.groupBy("part").applyInPandas(merge, "block long, slice int, part int, keys binary, counts binary")
+
+
+def texts(blocks: DataFrame, replies: DataFrame, slice_bytes: int) -> DataFrame:
+    """``lang, phrase, words, n`` of the frequent phrases; with ``words`` 0 the words of each language in a slice."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         for b in batches:
             for data, reply in zip(b.column(0), b.column(1)):
-                alive: dict[int, list[tuple[int, np.ndarray]]] = {}
+                asked: dict[int, list[tuple]] = {}
                 for r in reply.as_py() or ():
-                    alive.setdefault(r["slice"], []).append((r["part"], decoded(r["keys"])))
+                    asked.setdefault(r["slice"], []).append((r["part"], decoded(r["keys"]), np.frombuffer(r["counts"], "<i8")))
                 for no, s in enumerate(slices(_texts(data.as_py()), slice_bytes)):
-                    known = [k for _, k in sorted(alive.pop(no, []), key=lambda x: x[0])]
-                    yield from one(s, np.concatenate(known) if known else np.zeros(0, np.uint64))
-
-    def one(s: Slice, alive: np.ndarray):
-        w = s.text()
-        langs = np.array([lang for lang, _ in s.words], object)
-        names, which = np.unique(langs, return_inverse=True) if len(langs) else ([], [])
-        own = w[s.context :]
-        per = np.bincount(which[own[own > 0]], minlength=len(names))
-        rows = [(lang, "", 0, int(n)) for lang, n in zip(names, per) if n]
-        for n, first, counts, _ in phrases(s, bits, alive):
-            for at, c in zip(first[counts > 0].tolist(), counts[counts > 0].tolist()):
-                words = [s.words[k] for k in w[at : at + n]]
-                rows.append((words[0][0], b" ".join(t for _, t in words).decode("utf-8", "replace"), n, c))
-                if len(rows) >= OUT_ROWS:
-                    yield batch_of(schema, rows)
-                    rows = []
-        if rows:
-            yield batch_of(schema, rows)
-
-    each = replies.groupBy("block").agg(F.collect_list(F.struct("slice", "part", "keys")).alias("reply"))
+                    parts = sorted(asked.pop(no, []), key=lambda x: x[0])
+                    rows = list(words_of_slice(s))
+                    if parts:
+                        rows += phrases_of(s, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+                    for k in range(0, len(rows), OUT_ROWS):
+                        yield batch_of(schema, rows[k : k + OUT_ROWS])
+
+    each = replies.groupBy("block").agg(F.collect_list(F.struct("slice", "part", "keys", "counts")).alias("reply"))
     return met(blocks, each, replies).select("data", "reply").mapInArrow(run, "lang string, phrase string, words int, n long")
 
 
+def words_of_slice(s: Slice) -> Iterator[tuple]:
+    langs, which = np.unique(np.array([lang for lang, _ in s.words], object), return_inverse=True)
+    own = s.text()[s.context :]
+    for lang, n in zip(langs, np.bincount(which[own[own > 0]], minlength=len(langs))):
+        if n:
+            yield lang, "", 0, int(n)
+
+
+def phrases_of(s: Slice, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """The texts of the names ``keys``, sorted, with their counts."""
+    w = s.text()
+    for n, places, names in phrases(s):
+        here = among(names, keys)
+        some, first = np.unique(names[here], return_index=True)
+        for at, c in zip(places[here][first].tolist(), counts[np.searchsorted(keys, some)].tolist()):
+            words = [s.words[k] for k in w[at : at + n]]
+            yield words[0][0], b" ".join(t for _, t in words).decode("utf-8", "replace"), n, c
+
+
 def frequent_phrases(docs: DataFrame, least: int, text: str = "text", lang: str = "lang", block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES, mass: int = MASS) -> DataFrame:
     """``lang, phrase, words, n`` of all phrases of 1 to ``WORDS`` words that occur ``least`` times in a language.
 
@@ -303,12 +286,12 @@ def frequent_phrases(docs: DataFrame, least: int, text: str = "text", lang: str
     blocks = stored(blocked(rows, block_bytes), "blocks")
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     most = max(1, WORDS * (n_bytes // 2 + 1))  # a word and what follows it are two bytes at least
-    bits = min(63, most.bit_length() + SPARE_BITS)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(-(-most // mass), min(spread, -(-most // (1 << 20))))
-    replies = stored(answers(summaries(blocks, bits, parts, least, slice_bytes), least), "answers")
-    sums = counted(blocks, replies, bits, slice_bytes).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return sums.where((F.col("words") == 0) | (F.col("n") >= least))
+    replies = stored(frequent(summaries(blocks, parts, slice_bytes), least), "frequent")
+    found = texts(blocks, replies, slice_bytes)
+    # A phrase has one row; the words of a language are added up.
+    return found.where("words > 0").unionByName(found.where("words = 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang", **sizes: int) -> DataFrame:
