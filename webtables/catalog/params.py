@@ -90,12 +90,17 @@ def param_field_fallback(spark, sf):
     return out.select("request_id", val("id"), first.alias("first_set"))
 
 
+#: The level of a keyword: quoted text, a class by name, and letters whose case folds beyond ASCII.
+LEVEL = r"(?i)^[[:digit:]]-(\pL[\pL\s]*?)\s+\Q~*&\EÜ$"
+
+
 @query("param_normalize_regex", f"""WITH {Q} SELECT request_id, CASE WHEN trim(code) <> '' AND regexp_matches(trim(code), '(?i)^ord-[0-9]*[02468]$') THEN regexp_extract(trim(code), '[0-9]+') ELSE code END AS code,
+  CASE WHEN trim(keyword) <> '' THEN regexp_extract(trim(keyword), '{LEVEL}', 1) ELSE keyword END AS keyword,
   CASE WHEN trim(coalesce(code, '')) <> '' AND NOT regexp_matches(trim(code), '(?i)^ord-[0-9]*[02468]$') THEN 'param "code" value "' || trim(code) || '" does not match' END AS error FROM q""")
 def param_normalize_regex(spark, sf):
     df = rows(spark, sf).withColumn("error", F.lit(None).cast("string"))
-    out = R.normalize_params(df, {"code": {"regex": r"(?i)^ord-([0-9]*[02468])$"}})
-    return out.select("request_id", val("code"), "error")
+    out = R.normalize_params(df, {"code": {"regex": r"(?i)^ord-([0-9]*[02468])$"}, "keyword": {"regex": LEVEL}})
+    return out.select("request_id", val("code"), val("keyword"), "error")
 
 
 @query("param_required", f"WITH {Q} SELECT request_id, CASE WHEN trim(coalesce(code, '')) = '' THEN 'required param \"code\" is missing' WHEN trim(coalesce(page, '')) = '' THEN 'required param \"page\" is missing' END AS error FROM q")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webtables.functions.regex import compile_regex
+
 # The Unicode White_Space characters, in code-point order.
 WHITE_SPACE = (
     "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680"
@@ -12,20 +14,6 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# POSIX class names and the bodies they stand for inside a Java class.
-POSIX_CLASSES = {
-    "[:alnum:]": r"\p{Alnum}",
-    "[:alpha:]": r"\p{Alpha}",
-    "[:digit:]": "0-9",
-    "[:lower:]": "a-z",
-    "[:punct:]": r"\p{Punct}",
-    "[:space:]": r"\p{Space}",
-    "[:upper:]": "A-Z",
-    "[:word:]": r"\w",
-    "[:xdigit:]": r"\p{XDigit}",
-}
-
-
 def let(value: Column, body) -> Column:
     """Name an intermediate value so that ``body`` can use it twice without computing it twice."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -69,64 +57,6 @@ def first_non_blank(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols], F.lit(""))
 
 
-def compile_regex(pattern: str) -> tuple[str, int]:
-    """Java spelling of an RE2 pattern and its group count; checked on the driver, once per rule.
-
-    Java and RE2 read four things differently: ``$`` before a last newline, line ends for ``.``,
-    ``\\s`` (Java adds the vertical tab) and POSIX classes. Look-around and back-references do not
-    exist in RE2 and are refused.
-    """
-    multiline = "(?m" in pattern or "(?sm" in pattern or "(?im" in pattern
-    out, groups, in_class, i = [], 0, False, 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            nxt = pattern[i + 1]
-            if nxt.isdigit() and nxt != "0" and not in_class:
-                raise ValueError(f"back-reference in {pattern!r}")
-            if nxt == "s":
-                out.append(r"\t\n\f\r " if in_class else r"[\t\n\f\r ]")
-            elif nxt == "S" and not in_class:
-                out.append(r"[^\t\n\f\r ]")
-            else:
-                out.append(ch + nxt)
-            i += 2
-            continue
-        if in_class:
-            name = next((n for n in POSIX_CLASSES if pattern.startswith(n, i)), None)
-            if name:
-                out.append(POSIX_CLASSES[name])
-                i += len(name)
-                continue
-            if ch == "]":
-                in_class = False
-            out.append("\\" + ch if ch in "[&" else ch)
-        elif ch == "[":
-            in_class = True
-            out.append(ch)
-            while i + 1 < len(pattern) and pattern[i + 1] in "^]":
-                i += 1
-                out.append("\\]" if pattern[i] == "]" else "^")
-                if pattern[i] == "]":
-                    break
-        elif ch == "(":
-            if any(pattern.startswith(p, i) for p in ("(?=", "(?!", "(?<=", "(?<!")):
-                raise ValueError(f"look-around in {pattern!r}")
-            if pattern.startswith("(?P<", i):
-                groups += 1
-                out.append("(?<")
-                i += 4
-                continue
-            groups += pattern[i + 1 : i + 2] != "?" or pattern.startswith("(?<", i)
-            out.append(ch)
-        elif ch == "$" and not multiline:
-            out.append(r"\z")
-        else:
-            out.append(ch)
-        i += 1
-    return "(?d)" + "".join(out), groups
-
-
 def pick_group(group: int | None, groups: int) -> int:
     """Explicit group if given, else the first group of a pattern that has one, else the match."""
     return group if group else (1 if groups else 0)
