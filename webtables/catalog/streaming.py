@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webtables.catalog.base import LINKS, absolute, query, table
 from webtables.functions import select as S
 from webtables.operators.html import extract_items
+from webtables.plans.scratch import scratch_path
 from webtables.plans.spec import Extract, Field
 from webtables.streaming.extract import stream_extract
 
@@ -19,5 +20,6 @@ SPEC = Extract(
 @query("stream_extract", f"WITH {LINKS} SELECT page_id, pos, txt AS label, {absolute('url', 'href')} AS abs_url FROM links")
 def stream_extract_(spark, sf):
     schema = table(spark, sf, "pages").schema
-    out = stream_extract(spark, sf, schema, lambda df: extract_items(df, SPEC, keep=["page_id"]), "pages.parquet")
+    path = scratch_path(spark, "stream-extract")
+    out = stream_extract(spark, sf, schema, lambda df: extract_items(df, SPEC, keep=["page_id"]), f"{path}/table", f"{path}/checkpoint", "pages.parquet")
     return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "label", "abs_url")

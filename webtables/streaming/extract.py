@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.plans.scratch import scratch_path
-
 
 def stream_pages(spark: SparkSession, folder: str, schema, file_glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
     """Captured pages as they land in a folder."""
@@ -20,7 +18,13 @@ def stream_pages(spark: SparkSession, folder: str, schema, file_glob: str = "*",
 
 
 def run_to_table(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Process what has arrived, append to a parquet table, stop. State-free, so any restart is exact."""
+    """Process what has arrived, add it to the table at ``path``, stop.
+
+    ``checkpoint`` says which pages belong to which batch, the table's own log which files of which batches count.
+    The same two paths again go on where the last run ended or was stopped: a batch that was written but not
+    ended is found in the log and left out, one whose files are not in the log is written again, and
+    files of the stopped attempt are not read. So each page is in the table once.
+    """
     query = (
         transform(stream)
         .writeStream.format("parquet")
@@ -32,8 +36,17 @@ def run_to_table(stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
     query.awaitTermination()
 
 
-def stream_extract(spark: SparkSession, folder: str, schema, transform, file_glob: str = "*") -> DataFrame:
-    """Run the stream to its end and return the written table."""
-    out = scratch_path(spark, "stream-extract")
-    run_to_table(stream_pages(spark, folder, schema, file_glob), transform, f"{out}/table", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table")
+def stream_extract(
+    spark: SparkSession,
+    folder: str,
+    schema,
+    transform: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    file_glob: str = "*",
+    files_per_batch: int = 1000,
+) -> DataFrame:
+    """Run the stream over ``folder`` to its end and return the table at ``path``; call it again for what came later."""
+    stream = stream_pages(spark, folder, schema, file_glob, files_per_batch)
+    run_to_table(stream, transform, path, checkpoint)
+    return spark.read.schema(transform(stream).schema).parquet(path)
