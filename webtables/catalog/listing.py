@@ -10,6 +10,7 @@ from webtables.catalog.html import pages
 from webtables.functions import select as S
 from webtables.operators import listing as L
 from webtables.operators.html import extract_html
+from webtables.plans.scratch import scratch_path, write_then_read
 from webtables.plans.spec import Extract, Field
 from webtables.sources.index import document_lines
 from webtables.streaming.index import IndexStream
@@ -86,7 +87,7 @@ def check_complete(spark, sf):
 
 @query("merge_dedupe", f"WITH {ITEMS}, {MERGE.format(src='i')} SELECT * FROM m")
 def merge_dedupe(spark, sf):
-    flat = L.items_under_key(record_list(pages(spark, sf)), "links")
+    flat = write_then_read(L.items_under_key(record_list(pages(spark, sf)), "links"), "items")
     return L.merge_dedupe(flat).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -95,7 +96,7 @@ BUILT = f"{ITEMS}, z AS (SELECT * FROM i WHERE page <= {LAST}), {MERGE.format(sr
 
 @query("build_index", f"WITH {BUILT} SELECT * FROM m")
 def build_index(spark, sf):
-    rows, header, missing = L.build_index(listing(spark, sf))
+    rows, header, missing = L.build_index(write_then_read(listing(spark, sf), "listing"))
     L.require_complete(header, missing)
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -105,13 +106,14 @@ def build_index(spark, sf):
   UNION ALL SELECT 0, 0, 0, '{{"site":"demo","kind":"links","total_pages":' || CAST({LAST} AS VARCHAR) || ',"count":' || (SELECT count(*) FROM m) || ',"items":['
   UNION ALL SELECT 2, 0, 0, ']}}'""")
 def write_index_document(spark, sf):
-    rows, header, _ = L.build_index(listing(spark, sf))
+    rows, header, _ = L.build_index(write_then_read(listing(spark, sf), "listing"))
     return document_lines(rows, header, meta={"site": "demo", "kind": "links"})
 
 
 @query("stream_index", f"WITH {ITEMS}, {MERGE.format(src='i')} SELECT * FROM m")
 def stream_index(spark, sf):
     """The listing arrives as a stream of pages; the merged table equals the batch result."""
-    flow = IndexStream.over_pages(spark, sf, "pages.parquet", lambda df: L.items_under_key(record_list(df), "links"))
+    out = scratch_path(spark, "stream-index")
+    flow = IndexStream.over_pages(spark, sf, "pages.parquet", lambda df: L.items_under_key(record_list(df), "links"), f"{out}/index", f"{out}/checkpoint")
     return flow.run().withColumn("pos", F.col("pos").cast("bigint"))
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtables.functions import text as X
-from webtables.plans.scratch import write_then_read
 
 #: Page numbers of a listing are written out in runs of this many.
 PAGE_RUN = 1000
@@ -84,25 +83,38 @@ def item_key(id_: Column, url: Column) -> Column:
     return F.coalesce(X.blank_to_null(X.trim_ws(id_.cast("string"))), X.blank_to_null(X.trim_ws(url.cast("string"))))
 
 
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, whose columns name one row of a key.
+
+    Only keys and order columns are aggregated and exchanged, with map-side combine, so a key that fills a third of the table
+    is one small row per input task before the shuffle. The rows themselves are met by a semi-join with these winners.
+    ``rows`` is read twice: store what is dear to compute.
+    """
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    first = rows.groupBy(*keys).agg(F.min(place).alias("_first"))
+    first = first.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *([F.col("_first").alias("_o0")] if len(order) == 1 else [F.col("_first")[o].alias(f"_o{n}") for n, o in enumerate(order)]))
+    same = [rows[k].eqNullSafe(first[f"_k{n}"]) for n, k in enumerate(keys)] + [rows[o].eqNullSafe(first[f"_o{n}"]) for n, o in enumerate(order)]
+    return rows.join(first, same, "left_semi")
+
+
+def place_key(items: DataFrame, id_: str = "id", url: str = "url") -> DataFrame:
+    """``items`` + ``_key``: the item's key, or for a keyless item its own page and position."""
+    own = F.concat_ws("/", F.lit("place"), F.col("page").cast("string"), F.col("pos").cast("string"))
+    key = item_key(F.col(id_), F.col(url))
+    return items.withColumn("_key", F.when(key.isNull(), own).otherwise(F.concat(F.lit("key/"), key)))
+
+
 def merge_dedupe(items: DataFrame, by: list[str] | None = None, id_: str = "id", url: str = "url") -> DataFrame:
     """Keep the first item (page, then position) per key; keep every keyless item.
 
-    The first row per key is a ``min_by`` with map-side combine, so a key that fills a third of the
-    table is reduced to one row per input task before the shuffle.
+    Page and position name one item of a listing. Keyless items pass by; of the others only key and place are
+    aggregated (``first_of``), the place as one number, so no buffer or exchange holds an item.
     """
     by = by or []
     key = item_key(F.col(id_), F.col(url))
-    # A keyless item is its own group, so one pass over the items serves both kinds.
-    own = F.when(key.isNull(), F.struct("page", "pos"))
-    rest = [c for c in items.columns if c not in by]
-    return (
-        items.withColumn("_key", key)
-        .withColumn("_own", own)
-        .groupBy(*by, "_key", "_own")
-        .agg(F.min_by(F.struct(*rest), F.struct("page", "pos")).alias("_row"))
-        .select(*by, "_row.*")
-        .select(*items.columns)
-    )
+    place = F.col("page").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(20,0)")
+    keyed = items.withColumn("_key", key).withColumn("_place", place).where(F.col("_key").isNotNull())
+    return first_of(keyed, [*by, "_key"], ["_place"]).select(*items.columns).unionByName(items.where(key.isNull()))
 
 
 def page_heads(listing: DataFrame, by: list[str] | None = None, first_pass: int | None = None, items: str = "items") -> DataFrame:
@@ -124,25 +136,22 @@ def build_index(
     max_pages: int | None = None,
     first_pass: int | None = None,
     items: str = "items",
-    materialize: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index rows, header rows, missing pages) of a captured listing.
 
-    ``listing``: ``page``, ``attempt``, ``ok``, ``items array<struct<id,url,…>>``. The index is valid
-    when the third table is empty and the second has a row; ``require_complete`` turns that into an
-    exception. ``first_pass``: only pages captured by that attempt say where the listing ends. With ``materialize`` the listing and the merged rows are each written once to the
-    shared folder, so that counting and writing do not extract or merge again.
+    ``listing``: ``page``, ``attempt``, ``ok``, ``items array<struct<id,url,…>>``, one row for each attempt of a page. The
+    index is valid when the third table is empty and the second has a row; ``require_complete`` turns that
+    into an exception. ``first_pass``: only pages captured by that attempt say where the listing ends.
+
+    A plan: nothing is run or written here. The listing is read once for each of heads, winners and rows, with only the columns
+    each needs; pass a stored one where it is dear to compute.
     """
     by = by or []
-    if materialize:
-        listing = write_then_read(listing.select(*by, "page", "attempt", "ok", items), "listing")
     heads = page_heads(listing, by, first_pass, items)
     last = last_page(heads.where("first_pass"), by, max_pages)
     chosen = listing.where("ok").join(heads.select(*by, "page", "attempt"), [*by, "page", "attempt"], "left_semi")
     bounded = chosen.join(all_pages(last, by), [*by, "page"], "left_semi")
     rows = merge_dedupe(X.explode_rows(bounded, [*by, "page"], items).select(*by, "page", "pos", "item.*"), by)
-    if materialize:
-        rows = write_then_read(rows, "index")
     missing = check_complete(heads, last, by)
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
     header = (

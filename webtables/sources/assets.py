@@ -48,13 +48,21 @@ def flatten_image_tree(trees: DataFrame, base: str, body: str = "body", by: list
     return last_per_name(asset_entries(trees, body), base, by, order)
 
 
-def snapshot_with_ttl(snapshots: DataFrame, now: Column, ttl_seconds: int = 0, key: str = "source") -> DataFrame:
+def snapshot_with_ttl(snapshots: DataFrame, now: Column, ttl_seconds: int = 0, key: str = "source", locator: list[str] | None = None) -> DataFrame:
     """One usable capture per source: fresh cache, else good download, else any stale cache.
 
     TTL 0 means the 24 h default; a negative TTL means no cache is ever fresh. Newest first within a
-    class. A source without a usable capture gives no row.
+    class, then by ``locator``. A source without a usable capture gives no row.
+
+    ``locator``: columns that name a row; by default ``snapshot_id`` where there is one, else the row's file and place in
+    it, for a table read from files. Only rank, time and locator are aggregated; the rest of a row, its body
+    above all, is read for the winners, which a join on source and locator finds.
     """
     ttl = DEFAULT_TTL_SECONDS if ttl_seconds == 0 else ttl_seconds
+    if locator is None and "snapshot_id" not in snapshots.columns:
+        named = snapshots.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return snapshot_with_ttl(named, now, ttl_seconds, key, ["_file", "_row"]).drop("_file", "_row")
+    locator = locator or ["snapshot_id"]
     taken = F.unix_micros(F.col("captured_at").cast("timestamp"))
     age = F.unix_micros(now) - taken
     cache = F.col("kind") == "cache"
@@ -64,12 +72,9 @@ def snapshot_with_ttl(snapshots: DataFrame, now: Column, ttl_seconds: int = 0, k
         .when((F.col("kind") == "download") & F.col("ok"), F.lit(1))
         .when(cache, F.lit(2))
     )
-    rest = [c for c in snapshots.columns if c != key]
-    ranked = snapshots.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
-    best = ranked.groupBy(key).agg(
-        F.min_by(
-            F.struct(*rest, F.col("_rank").alias("freshness")),
-            F.struct("_rank", (-taken).alias("newest"), *([F.col("snapshot_id")] if "snapshot_id" in rest else [])),
-        ).alias("b")
-    )
-    return best.select(key, "b.*")
+    usable = snapshots.select(key, rank.alias("_rank"), (-taken).alias("_newest"), *locator).where(F.col("_rank").isNotNull())
+    best = usable.groupBy(key).agg(F.min(F.struct("_rank", "_newest", *locator)).alias("_b"))
+    best = best.select(F.col(key).alias("_key"), F.col("_b._rank").alias("freshness"), *[F.col(f"_b.{c}").alias(f"_l{n}") for n, c in enumerate(locator)])
+    same = [snapshots[key].eqNullSafe(best["_key"])] + [snapshots[c].eqNullSafe(best[f"_l{n}"]) for n, c in enumerate(locator)]
+    rest = [c for c in snapshots.columns if c not in (key, "freshness")]
+    return snapshots.join(best, same).select(snapshots[key], *[snapshots[c] for c in rest], "freshness")
