@@ -12,6 +12,7 @@ from webtables.plans.scratch import scratch_path
 from webtables.sources import assets as A
 from webtables.sources import index as I
 from webtables.sources import pages as P
+from webtables.sources.json_split import read_index_split as read_split
 
 
 @query("read_pages", "SELECT page_id AS request_id, 'demo' AS site, 'list' AS task, CAST(200 AS INTEGER) AS status, url AS final_url, html AS body, 'http' AS channel, CAST(NULL AS VARCHAR) AS fetch_error FROM pages")
@@ -57,6 +58,35 @@ def read_index_document(spark, sf):
     return I.read_index_lines(spark, path, "name string, id string, alias1 string, alias2 string")
 
 
+def index_document(spark, sf, name, **more):
+    """The index as one JSON document in text parts; its path."""
+    path = scratch_path(spark, name)
+    rows = derive(spark, sf, INDEX).withColumn("page", F.lit(1)).drop("grp")
+    header = rows.agg(F.count(F.lit(1)).alias("count")).withColumn("total_pages", F.lit(1))
+    I.write_index_document(rows, header, path, **more)
+    return path
+
+
+@query("read_index_split", f"WITH ix AS ({INDEX}) SELECT name, id, alias1, alias2, row_number() OVER (ORDER BY pos) - 1 AS pos FROM ix")
+def read_index_split(spark, sf):
+    """The parts read by splits as one JSON object, under a key that also occurs in a text."""
+    path = index_document(spark, sf, "index-split", items_name="people", meta={"note": 'a "people": [ in a text }'})
+    return read_split(spark, path, "people", "name string, id string, alias1 string, alias2 string")
+
+
+@query("read_index_keys", f"WITH ix AS ({INDEX}) SELECT name, id, row_number() OVER (ORDER BY pos) - 1 AS pos, 'index does not contain items key \"people\"' AS missing FROM ix")
+def read_index_keys(spark, sf):
+    """The default key, and the message for a key that the document does not have."""
+    path = index_document(spark, sf, "index-keys")
+    try:
+        missing = str(read_split(spark, path, "people"))
+    except ValueError as e:
+        missing = str(e)
+    rows = read_split(spark, path, " ")
+    field = F.variant_get("item", "$.name", "string"), F.variant_get("item", "$.id", "string")
+    return rows.select(field[0].alias("name"), field[1].alias("id"), "pos", F.lit(missing.replace("'", '"')).alias("missing"))
+
+
 LEVELS = [
     {"label": "1-URGENT", "code": "u"}, {"label": "2-HIGH", "code": "h"}, {"label": "3-MEDIUM", "code": ""},
     {"label": "5-LOW", "code": "l"}, {"label": "5-low", "code": "x"},
