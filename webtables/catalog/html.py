@@ -101,11 +101,25 @@ def field_trim(spark, sf):
     return page_values(spark, sf, {"footer": Field(S.descendant("footer"), trim=True)})
 
 
-@query("field_regex", f"SELECT page_id, nullif(regexp_extract({FOOTER}, '© ([^ ]+) ·', 1), '') AS host, nullif(regexp_extract({FOOTER}, '[0-9]+', 0), '') AS digits FROM pages")
+# RE2 patterns with folds, quotes, scoped flags and nested brackets; the SQL side runs them as they are.
+RE2 = {
+    "accent": (r"(?i)[[:alpha:]]*É[[:alpha:]É]*", 0),
+    "quoted": (r"\Q%%%\E\s+(?P<next_word>\pL+)", 1),
+    "scoped": (r"(?i:DE|THE)[^&&[:space:]%]*\s((?-i:[a-z&&])\w*)", 1),
+    "border": (r"\b[A-Z](?U:\w+)\b", 0),
+    "classes": (r"[^[:^alpha:]\x{61}-m]{2,}", 0),
+}
+RE2_SQL = ", ".join(f"nullif(regexp_extract({decoded(decoded(chr(39).join(['regexp_extract(html, ', '<h1>([^<]*)</h1>', ', 1)'])))}, '{p}', {g}), '') AS {n}" for n, (p, g) in RE2.items())
+
+
+@query("field_regex", f"SELECT page_id, nullif(regexp_extract({FOOTER}, '© ([^ ]+) ·', 1), '') AS host, nullif(regexp_extract({FOOTER}, '[0-9]+', 0), '') AS digits, {RE2_SQL} FROM pages")
 def field_regex(spark, sf):
     return page_values(
         spark, sf,
-        {"host": Field(S.descendant("footer"), regex=r"© ([^ ]+) ·"), "digits": Field(S.descendant("footer"), regex=r"[0-9]+")},
+        {
+            "host": Field(S.descendant("footer"), regex=r"© ([^ ]+) ·"), "digits": Field(S.descendant("footer"), regex=r"[0-9]+"),
+            **{n: Field(S.descendant("h1"), regex=p, group=g) for n, (p, g) in RE2.items()},
+        },
     )
 
 
@@ -207,9 +221,9 @@ def page_fields(spark, sf):
 
 
 # -- selectors ----------------------------------------------------------------------------------
-def counted(spark, sf, selectors):
+def counted(spark, sf, selectors, source=pages):
     """Per page: number of nodes each selector finds."""
-    dom = H.with_dom(pages(spark, sf).select("page_id", "html"), with_html=False)
+    dom = H.with_dom(source(spark, sf).select("page_id", "html"), with_html=False)
     root = F.get(F.col("dom.nodes"), F.lit(0))
     return dom.select("page_id", *[F.size(s.apply(F.col("dom"), root)).cast("bigint").alias(k) for k, s in selectors.items()])
 
@@ -222,43 +236,61 @@ def sel_descendant(spark, sf):
     return counted(spark, sf, {"li": S.descendant("li"), "nav_a": S.descendant("nav").descendant("a"), "article_p": S.descendant("article").descendant("p")})
 
 
-@query("sel_child", f"SELECT page_id, {LI} AS ul_li, CAST(0 AS BIGINT) AS nav_li, CAST(1 AS BIGINT) AS article_h1, CAST(5 AS BIGINT) - 1 AS body_children FROM pages")
+def marked(spark, sf):
+    """Pages behind a part whose shape follows from the page's number, so that SQL can tell axes and texts apart."""
+    def times(text, n):
+        return F.repeat(F.lit(text), n.cast("int"))
+
+    k = F.col("page_id")
+    part = F.concat(
+        F.lit("<section>"), times("<p>x</p>", k % 5), F.lit("<div>"), times("<p>y</p>", k % 3), F.lit("</div></section>"),
+        times("<span>an<q>x</q></span>", k % 4), times("<span>x<q>an</q></span>", k % 7),
+        times("<dl><dt><q>in</q></dt></dl>", k % 3), times("<dl><q>in</q></dl>", k % 2),
+    )
+    return pages(spark, sf).withColumn("html", F.concat(part, F.col("html")))
+
+
+@query("sel_child", f"SELECT page_id, {LI} AS ul_li, page_id % 5 AS section_p, page_id % 5 + page_id % 3 AS section_all, page_id % 3 AS div_p, CAST(CASE WHEN page_id % 5 > 2 THEN 1 ELSE 0 END AS BIGINT) AS third FROM pages")
 def sel_child(spark, sf):
     return counted(spark, sf, {
-        "ul_li": S.descendant("ul").child("li"), "nav_li": S.descendant("nav").child("li"),
-        "article_h1": S.descendant("article").child("h1"), "body_children": S.descendant("body").child("*"),
-    })
+        "ul_li": S.descendant("ul").child("li"), "section_p": S.descendant("section").child("p"), "section_all": S.descendant("section").descendant("p"),
+        "div_p": S.descendant("section").child("div").child("p"), "third": S.descendant("section").child("p").nth(3),
+    }, marked)
 
 
-@query("sel_self_parent_sibling", f"""WITH {LINKS} SELECT l.page_id, l.pos, l.txt AS own, l.txt AS up, n.txt AS next_txt FROM links l LEFT JOIN links n ON n.page_id = l.page_id AND n.pos = l.pos + 1""")
+@query("sel_self_parent_sibling", f"""WITH {LINKS}, u AS (SELECT page_id, string_agg(txt, '' ORDER BY pos) AS up FROM links GROUP BY page_id),
+  c AS (SELECT l.page_id, l.pos, min(n.pos) AS at FROM links l JOIN links n ON n.page_id = l.page_id AND n.pos > l.pos AND n.txt LIKE '%e%' GROUP BY l.page_id, l.pos)
+  SELECT l.page_id, l.pos, l.txt AS own, u.up, n.txt AS next_txt, t.txt AS third, e.txt AS next_e FROM links l JOIN u USING (page_id) LEFT JOIN links n ON n.page_id = l.page_id AND n.pos = l.pos + 1
+  LEFT JOIN links t ON t.page_id = l.page_id AND t.pos = l.pos + 3 LEFT JOIN c ON c.page_id = l.page_id AND c.pos = l.pos LEFT JOIN links e ON e.page_id = l.page_id AND e.pos = c.at""")
 def sel_self_parent_sibling(spark, sf):
     got = items(spark, sf, {
-        "own": Field(S.self_node()), "up": Field(S.child("a").parent()), "next_txt": Field(S.following_sibling("*").nth(1)),
+        "own": Field(S.self_node()), "up": Field(S.parent()), "next_txt": Field(S.following_sibling("*").nth(1)),
+        "third": Field(S.following_sibling("li").nth(3)), "next_e": Field(S.following_sibling("li", S.text_contains("e"))),
     })
-    return got.select("page_id", F.col("pos").cast("bigint").alias("pos"), "own", "up", "next_txt")
+    return got.select("page_id", F.col("pos").cast("bigint").alias("pos"), "own", "up", "next_txt", "third", "next_e")
 
 
 @query("sel_predicates", f"""WITH {LINKS}, c AS (SELECT page_id, count(*) FILTER (href LIKE '%,%') AS href_comma, count(*) FILTER (href LIKE '/t%') AS href_t,
-    count(*) FILTER (txt LIKE '%an%') AS text_an, count(*) FILTER (txt = 'the') AS is_the, count(*) FILTER (NOT txt LIKE '%an%' AND (txt LIKE '%e%' OR href LIKE '/t%')) AS mixed FROM links GROUP BY page_id)
+    count(*) FILTER (txt = 'the') AS is_the, count(*) FILTER (NOT txt LIKE '%an%' AND (txt LIKE '%e%' OR href LIKE '/t%')) AS mixed FROM links GROUP BY page_id)
   SELECT p.page_id, {LI} AS with_href, CAST(coalesce(href_comma, 0) AS BIGINT) AS href_comma, CAST(coalesce(href_t, 0) AS BIGINT) AS href_t,
-    CAST(coalesce(text_an, 0) AS BIGINT) AS text_an, CAST(coalesce(text_an, 0) AS BIGINT) AS direct_an, CAST(coalesce(is_the, 0) AS BIGINT) AS is_the,
+    page_id % 4 + page_id % 7 AS text_an, page_id % 4 AS direct_an, CAST(coalesce(is_the, 0) AS BIGINT) AS is_the,
     CAST(len(regexp_extract_all(html, '<div class="ad">')) AS BIGINT) AS ad_class, CAST(len(regexp_extract_all(html, '<div class="ad">')) AS BIGINT) AS ad_attr,
-    CAST(1 AS BIGINT) AS has_li, CAST(1 AS BIGINT) AS has_ul, CAST(coalesce(mixed, 0) AS BIGINT) AS mixed
+    page_id % 3 + page_id % 2 AS has_q, page_id % 2 AS child_q, CAST(coalesce(mixed, 0) AS BIGINT) AS mixed
   FROM pages p LEFT JOIN c USING (page_id)""")
 def sel_predicates(spark, sf):
     return counted(spark, sf, {
         "with_href": S.descendant("a", S.has_attr("href")),
         "href_comma": S.descendant("a", S.attr_contains("href", ",")),
         "href_t": S.descendant("a", S.attr_starts_with("href", "/t")),
-        "text_an": S.descendant("li", S.text_contains("an")),
-        "direct_an": S.descendant("a", S.direct_text_contains("an")),
+        "text_an": S.descendant("span", S.text_contains("an")),
+        "direct_an": S.descendant("span", S.direct_text_contains("an")),
         "is_the": S.descendant("a", S.text_is("the")),
         "ad_class": S.descendant("div", S.has_class("ad")),
         "ad_attr": S.descendant("*", S.attr_is("class", "ad")),
-        "has_li": S.descendant("nav", S.has_descendant("li")),
-        "has_ul": S.descendant("nav", S.has_child("ul")),
+        "has_q": S.descendant("dl", S.has_descendant("q")),
+        "child_q": S.descendant("dl", S.has_child("q")),
         "mixed": S.descendant("a", S.not_(S.text_contains("an")), S.any_of(S.text_contains("e"), S.attr_starts_with("href", "/t"))),
-    })
+    }, marked)
 
 
 @query("sel_position", f"""WITH {LINKS}, n AS (SELECT page_id, max(pos) AS m FROM links GROUP BY page_id)

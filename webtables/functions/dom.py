@@ -5,6 +5,9 @@ page once (as UTF-8 bytes) and a preorder array of element nodes that only hold
 them, so every later step (axes, predicates, values) is native column work and each value costs a
 slice of its own length.
 
+``kids`` lists the nodes by parent and then in document order: a node's children are its slice from ``k0`` of ``kn``
+numbers, and ``rank`` is its own place among its siblings.
+
 Markup repair covers what pages rely on: implied ``html/head/body``, implied end tags of ``p``,
 ``li``, ``dt/dd``, ``option`` and table parts, implied ``tbody``/``tr``, stray end tags, and
 re-opening of unclosed inline formatting in the next block.
@@ -34,13 +37,14 @@ NODE = T.StructType(
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     ]
-    + [T.StructField(k, T.IntegerType()) for k in ("t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1")]
+    + [T.StructField(k, T.IntegerType()) for k in ("t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1", "rank", "k0", "kn")]
 )
 DOM = T.StructType(
     [
         T.StructField("text", T.BinaryType()),
         T.StructField("html", T.BinaryType()),
         T.StructField("nodes", T.ArrayType(NODE)),
+        T.StructField("kids", T.ArrayType(T.IntegerType())),
     ]
 )
 DOCUMENT = "#document"
@@ -347,6 +351,22 @@ class _Page(HTMLParser):
         return "".join(self.text).encode("utf-8", "replace"), "".join(self.html).encode("utf-8", "replace")
 
 
+def _family(ints: dict, starts: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """``kids`` and where each page's begin; adds rank, k0 and kn to the node columns. ``starts``: first row of each node's page."""
+    parent = np.array(ints["parent"], dtype=np.int32)
+    child = np.flatnonzero(parent >= 0).astype(np.int32)
+    above = parent[child] + starts[child]
+    order = child[np.argsort(above, kind="stable")]
+    kn = np.bincount(above, minlength=len(parent)).astype(np.int32)
+    first = (np.cumsum(kn) - kn).astype(np.int32)
+    per_page = np.concatenate([[0], np.cumsum(parent >= 0)])[offsets].astype(np.int32)
+    rank = np.zeros(len(parent), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32) - first[parent[order] + starts[order]]
+    base = np.repeat(per_page[:-1], np.diff(offsets))
+    ints.update(rank=rank, kn=kn, k0=first - base)
+    return pa.array(order - starts[order], pa.int32()), pa.array(per_page, pa.int32())
+
+
 def _parse_batch(bodies: pa.Array, with_html: bool) -> pa.Array:
     cols, texts, htmls, offsets, valid = _Columns(), [], [], [0], []
     # as bytes: one invalid sequence must not end the job
@@ -370,15 +390,16 @@ def _parse_batch(bodies: pa.Array, with_html: bool) -> pa.Array:
     none = np.zeros(total, dtype=np.int32)
     ints = {k: getattr(cols, k) or none for k in ("parent", "last", "t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1")}
     ints["pre"] = np.arange(total, dtype=np.int32) - starts
-    names = ["pre", "parent", "last", "tag", "attrs", "t0", "t1", "d0", "d1", "o0", "o1", "i0", "i1"]
+    kids, kid_offsets = _family(ints, starts, np.array(offsets, dtype=np.int32))
+    names = NODE.names
     children = [
         pa.array(cols.tags, pa.string()) if k == "tag" else attrs if k == "attrs" else pa.array(ints[k], pa.int32())
         for k in names
     ]
     nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(children, names))
     return pa.StructArray.from_arrays(
-        [pa.array(texts, pa.binary()), pa.array(htmls, pa.binary()), nodes],
-        ["text", "html", "nodes"],
+        [pa.array(texts, pa.binary()), pa.array(htmls, pa.binary()), nodes, pa.ListArray.from_arrays(kid_offsets, kids)],
+        ["text", "html", "nodes", "kids"],
         mask=pa.array([not v for v in valid], pa.bool_()),
     )
 

@@ -1,6 +1,6 @@
 """HTML entity decoding as a native column, so that it can run inside array lambdas.
 
-The public entity names are one literal text; a name is found in it by a substring search that only
+The public entity names are one sorted literal array; a name is found in it by a binary search that only
 runs for values holding an '&'. ``with_table`` names the literal once for a whole expression.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webtables.functions.text import let
 
-_START, _IS = "\u0001", "\u0002"
+_NEXT = "\u0001"
 
 # Characters that numeric references 128..159 stand for (Windows-1252 order).
 _C1 = (
@@ -25,13 +25,16 @@ _LONGEST_BARE = 6  # longest entity name that is valid without a semicolon
 
 
 @lru_cache(maxsize=None)
-def _table() -> str:
-    """The standard HTML5 names: ``name;`` and, where valid without a semicolon, ``name``."""
-    return "".join(f"{_START}{k}{_IS}{v}" for k, v in sorted(html5.items())) + _START
+def _table() -> tuple[str, str]:
+    """The standard HTML5 names (``name;`` and, where valid without a semicolon, ``name``) in byte order, and what they stand for."""
+    known = sorted(html5.items())
+    return _NEXT.join(k for k, _ in known), _NEXT.join(v for _, v in known)
 
 
 def entity_table() -> Column:
-    return F.lit(_table())
+    """``struct<names, values>``, two arrays that the optimizer folds to literals."""
+    names, values = _table()
+    return F.struct(F.split(F.lit(names), _NEXT).alias("names"), F.split(F.lit(values), _NEXT).alias("values"))
 
 
 def with_table(body) -> Column:
@@ -40,14 +43,13 @@ def with_table(body) -> Column:
 
 
 def _lookup(table: Column, name: Column) -> Column:
-    at = F.instr(table, F.concat(F.lit(_START), name, F.lit(_IS)))
-    return let(
-        at,
-        lambda p: F.when(
-            p > 0,
-            F.substring_index(F.substr(table, p + F.length(name) + 2, F.lit(4)), _START, 1),
-        ),
-    )
+    """What ``name`` stands for: a binary search, so that the cost grows with the digits of the table's size."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(html5).bit_length()))])
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get(table["names"], at + step) <= name, at + step).otherwise(at)
+
+    return let(F.aggregate(steps, F.lit(0), halve), lambda at: F.when(F.get(table["names"], at) == name, F.get(table["values"], at)))
 
 
 def _code_point(code: Column) -> Column:
@@ -60,14 +62,14 @@ def _code_point(code: Column) -> Column:
 
 
 def _named(piece: Column, name: Column, table: Column) -> Column:
-    """Longest known name that starts the piece: all of it, or a bare name of up to six letters."""
-    bare = F.sequence(F.least(F.length(name), F.lit(_LONGEST_BARE)), F.lit(1), F.lit(-1))
-    tries = F.concat(F.array(F.length(name)), bare)
-    found = F.filter(
-        F.transform(tries, lambda k: F.struct(_lookup(table, F.substr(name, F.lit(1), k)).alias("v"), k.alias("k"))),
-        lambda p: p["v"].isNotNull(),
-    )
-    return let(F.get(found, F.lit(0)), lambda p: F.coalesce(F.concat(p["v"], F.substr(piece, p["k"] + 2)), piece))
+    """Longest known name that starts the piece: all of it, or else a bare name of up to six letters."""
+    size = F.length(name)
+
+    def found(k: Column) -> Column:
+        return let(_lookup(table, F.substr(name, F.lit(1), k)), lambda v: F.when(v.isNotNull(), F.concat(v, F.substr(piece, k + 2))))
+
+    bare = F.transform(F.sequence(F.least(size, F.lit(_LONGEST_BARE)), F.lit(1), F.lit(-1)), found)
+    return F.coalesce(found(size), F.get(F.filter(bare, lambda v: v.isNotNull()), F.lit(0)), piece)
 
 
 _NUMERIC = r"^&#([0-9]+|[xX][0-9a-fA-F]+);?"

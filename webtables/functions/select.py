@@ -69,9 +69,7 @@ def has_descendant(tag: str = "*", *preds: Predicate) -> Predicate:
 
 
 def has_child(tag: str = "*", *preds: Predicate) -> Predicate:
-    return lambda dom, n: F.exists(
-        _subtree(dom, n), lambda m: (m["parent"] == n["pre"]) & _matches(dom, m, tag, preds)
-    )
+    return lambda dom, n: F.exists(_kids(dom, n["k0"], n["kn"]), lambda m: _matches(dom, m, tag, preds))
 
 
 def all_of(*preds: Predicate) -> Predicate:
@@ -109,6 +107,25 @@ def _subtree(dom: Column, n: Column) -> Column:
     return F.slice(dom["nodes"], n["pre"] + 2, n["last"] - n["pre"])
 
 
+def _kids(dom: Column, start: Column, count: Column) -> Column:
+    """Nodes of a slice of the list of children."""
+    return F.transform(F.slice(dom["kids"], start + 1, count), lambda i: F.get(dom["nodes"], i))
+
+
+def _first_kid(dom: Column, start: Column, count: Column, test) -> Column:
+    """The first match of a slice of the list of children, as an array of one or none.
+
+    Looked for in runs of growing length, so that a near match costs no more than the way to it.
+    """
+    tries, at = [], 0
+    for run in (1, 32, None):
+        left = F.greatest(count - at, F.lit(0))
+        part = _kids(dom, start + at, left if run is None else F.least(left, F.lit(run)))
+        tries.append(F.get(F.filter(part, test), F.lit(0)))
+        at += run or 0
+    return F.filter(F.array(F.coalesce(*tries)), lambda m: m.isNotNull())
+
+
 # -- selectors ----------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class _Step:
@@ -149,10 +166,12 @@ class Selector:
         """Last node of the whole set."""
         return self._add("pick", "-1", ())
 
-    def apply(self, dom: Column, context: Column) -> Column:
-        """Matching nodes in document order, starting at ``context``."""
+    def apply(self, dom: Column, context: Column, only_first: bool = False) -> Column:
+        """Matching nodes in document order, starting at ``context``; ``only_first``: at least the first of them."""
         nodes, single = F.array(context), True
-        for step in self.steps:
+        for no, step in enumerate(self.steps):
+            if only_first and single and no == len(self.steps) - 1 and step.axis in ("child", "following") and step.position is None:
+                step = replace(step, position=1)  # all matches have one parent
             if step.axis == "pick":
                 nodes = F.slice(nodes, int(step.tag), 1)
                 single = True
@@ -183,25 +202,31 @@ def _axis(dom: Column, n: Column, step: _Step) -> Column:
         return F.when(n["parent"] >= 0, F.slice(dom["nodes"], n["parent"] + 1, F.lit(1))).otherwise(
             F.slice(dom["nodes"], 1, 0)
         )
-    if step.axis == "following":
-        up = F.get(dom["nodes"], n["parent"])
-        after = F.slice(dom["nodes"], n["last"] + 2, up["last"] - n["last"])
-        found = F.filter(
-            F.coalesce(after, F.slice(dom["nodes"], 1, 0)),
-            lambda m: (m["parent"] == n["parent"]) & _matches(dom, m, step.tag, step.preds),
-        )
-        return _at(found, step.position)
-    if step.axis == "child":
-        found = F.filter(
-            _subtree(dom, n), lambda m: (m["parent"] == n["pre"]) & _matches(dom, m, step.tag, step.preds)
-        )
-        return _at(found, step.position)
+    if step.axis in ("following", "child"):
+        if step.axis == "child":
+            start, count = n["k0"], n["kn"]
+        else:
+            up = F.get(dom["nodes"], n["parent"])
+            start, count = up["k0"] + n["rank"] + 1, up["kn"] - n["rank"] - 1
+        found = _among(dom, start, count, step)
+        return F.coalesce(found, F.slice(dom["nodes"], 1, 0))
     found = F.filter(_subtree(dom, n), lambda m: _matches(dom, m, step.tag, step.preds))
     if step.position is None:
         return found
     return _ranked(dom, found, step.position)
 
 
+def _among(dom: Column, start: Column, count: Column, step: _Step) -> Column:
+    """The matches among siblings, all or the one at the step's position; only siblings are looked at."""
+    plain = step.tag == "*" and not step.preds
+    if plain and step.position is not None and step.position > 0:
+        return _kids(dom, start + (step.position - 1), F.least(F.greatest(count - (step.position - 1), F.lit(0)), F.lit(1)))
+    if step.position == 1 and step.axis == "following":
+        return _first_kid(dom, start, count, lambda m: _matches(dom, m, step.tag, step.preds))
+    found = _kids(dom, start, count)
+    return _at(found if plain else F.filter(found, lambda m: _matches(dom, m, step.tag, step.preds)), step.position)
+
+
 def _at(nodes: Column, position: int | None) -> Column:
     if position is None:
         return nodes

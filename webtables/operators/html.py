@@ -70,7 +70,7 @@ def raw_values(rule: Field, dom: Column, context: Column) -> Column:
 
     if rule.select is None:
         return F.array().cast("array<string>")
-    nodes = rule.select.apply(dom, context)
+    nodes = rule.select.apply(dom, context, only_first=not rule.multiple)
     if not rule.multiple:
         nodes = F.slice(nodes, 1, 1)
     return F.flatten(F.transform(nodes, of_node))
