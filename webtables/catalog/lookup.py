@@ -40,7 +40,14 @@ def lookup_multivalued(spark, sf):
 @query("lookup_report", f"""WITH p AS (SELECT DISTINCT probe FROM ({PROBES}) z), ix AS ({INDEX}), k AS (SELECT pos, lower(trim(alias1)) AS key FROM ix UNION ALL SELECT pos, lower(trim(alias2)) FROM ix)
   SELECT probe, count(pos) > 0 AS ok, CAST(count(pos) AS BIGINT) AS count, min(pos) AS first_pos, max(pos) AS last_pos FROM p LEFT JOIN k ON lower(trim(probe)) = key AND trim(probe) <> '' GROUP BY probe""")
 def lookup_report(spark, sf):
-    return L.lookup_report(probes(spark, sf), index(spark, sf), "aliases")
+    return L.lookup_report(probes(spark, sf), index(spark, sf), "aliases")[0]
+
+
+@query("lookup_report_matches", f"""WITH p AS (SELECT DISTINCT probe FROM ({PROBES}) z), ix AS ({INDEX}), k AS (SELECT *, lower(trim(alias1)) AS key FROM ix UNION ALL SELECT *, lower(trim(alias2)) FROM ix)
+  SELECT probe, pos, k.name, k.id, alias1 || '|' || alias2 AS aliases FROM p JOIN k ON lower(trim(probe)) = key AND trim(probe) <> ''""")
+def lookup_report_matches(spark, sf):
+    matches = L.lookup_report(probes(spark, sf), index(spark, sf), "aliases")[1]
+    return matches.select("probe", "pos", "name", "id", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query("list_values", f"WITH ix AS ({INDEX}) SELECT pos, trim(id) AS value FROM ix WHERE trim(id) <> ''")

@@ -2,18 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webtables.functions.text import let
 from webtables.plans.spec import ALL
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NONE = "array<variant>"
 
 
+_NUMBER = "\0number:"
+_NUMBER_TEXT = re.compile(r'"\\u0000number:([^"]*)"')
+
+
+def _last_keys(body: str) -> str | None:
+    """The first JSON value of a text with every repeated key but the last left out; numbers keep their digits."""
+
+    def number(digits: str) -> str:
+        return _NUMBER + digits
+
+    def refuse(word: str):
+        raise ValueError(word)
+
+    try:
+        value, _ = json.JSONDecoder(parse_int=number, parse_float=number, parse_constant=refuse).raw_decode(body.lstrip(" \t\r\n"))
+        return _NUMBER_TEXT.sub(r"\1", json.dumps(value, ensure_ascii=False))
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.arrow_udf(T.StringType())
+def _without_repeated_keys(body: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else _last_keys(b) for b in body.to_pylist()], pa.string())
+
+
 def parse_json(body: Column) -> Column:
-    """VARIANT, NULL when the body is not JSON. Text after the first value is ignored."""
-    return F.try_parse_json(body)
+    """VARIANT, NULL when the body is not JSON. Text after the first value is ignored; of a repeated key the last one counts.
+
+    With ``spark.sql.variant.allowDuplicateKeys`` Spark's parser does all of it. Without, bodies that it refuses, and only
+    these, are read again by a small Python step that leaves out the earlier ones of repeated keys.
+    """
+    native = F.try_parse_json(body)
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.variant.allowDuplicateKeys", "false") == "true":
+        return native
+    return F.coalesce(native, F.try_parse_json(_without_repeated_keys(F.when(native.isNull(), body))))
 
 
 def _literal_path(steps) -> str:

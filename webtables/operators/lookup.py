@@ -99,29 +99,28 @@ def lookup_all(
     return keyed_join(left, keyed, "key", how="inner").drop("key")
 
 
-def lookup_report(probes: DataFrame, index: DataFrame, match: str = "name", case_sensitive: bool = False, probe: str = "probe") -> DataFrame:
-    """Per distinct probe: ``ok``, ``count`` and the first and last matching position.
+def lookup_report(probes: DataFrame, index: DataFrame, match: str = "name", case_sensitive: bool = False, probe: str = "probe") -> tuple[DataFrame, DataFrame]:
+    """Two tables for the distinct probes: ``probe, ok, count, first_pos, last_pos``, and the matches.
 
-    The matching rows themselves are ``lookup_all``: they stay rows, so a probe with millions of
-    matches is never packed into one cell.
+    ``matches``: ``probe, pos`` and the index row, in ranges of (probe, pos): the matches of a probe are neighbours, in order, and
+    those of one with millions fill as many partitions as they need.
     """
-    keyed = (
-        index_keys(index, match, case_sensitive)
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-    )
     distinct = (
         probes.select(F.col(probe).alias("probe"))
         .distinct()
         .withColumn("key", X.blank_to_null(normalize_key(F.col("probe"), case_sensitive)))
     )
-    return distinct.join(keyed, "key", "left").select(
+    keyed = index_keys(index, match, case_sensitive)
+    sums = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    counts = distinct.join(sums, "key", "left").select(
         "probe",
         F.col("n").isNotNull().alias("ok"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("count"),
         "first_pos",
         "last_pos",
     )
+    found = keyed_join(distinct.where(F.col("key").isNotNull()), keyed, "key", how="inner").drop("key")
+    return counts, found.repartitionByRange("probe", "pos").sortWithinPartitions("probe", "pos")
 
 
 def list_values(index: DataFrame, field: str = "name") -> DataFrame:
@@ -137,18 +136,19 @@ def join_list(records: DataFrame, items: str, name: str, row_id: list[str], righ
     """``records`` + ``_list``: for each item of the list ``items``, in order, the struct of the columns of ``right``
     whose ``key`` is the item's trimmed name (NULL fields where none is); NULL for a NULL list.
 
-    Only names travel: a row's names are told apart by the row id and their hash, so rows that share an
-    id keep their own lists, and each distinct list of an id is looked up once.
+    Only names travel, under two hashes of row id and names: rows that share an id keep their own lists, and those
+    that share both get the same one. The lists are put together and met on one partitioning by these hashes.
     """
-    named = records.withColumn("_names", F.transform(items, lambda i: X.blank_to_null(X.trim_ws(i[name])))).withColumn("_h", F.xxhash64("_names"))
-    flat = named.select(*row_id, "_h", F.posexplode("_names").alias("_pos", key)).distinct()
+    named = records.withColumn("_names", F.transform(items, lambda i: F.coalesce(X.trim_ws(i[name]), F.lit(""))))
+    named = named.withColumn("_h", F.xxhash64(*row_id, "_names")).withColumn("_g", F.xxhash64(F.size("_names"), "_names", *row_id))
+    flat = named.select("_h", "_g", F.posexplode("_names").alias("_pos", "_n")).select("_h", "_g", "_pos", X.blank_to_null(F.col("_n")).alias(key))
     rest = [c for c in right.columns if c != key]
-    back = keyed_join(flat, right, key).groupBy(*row_id, "_h").agg(F.sort_array(F.collect_list(F.struct("_pos", F.struct(*rest).alias("v")))).alias("_l"))
-    back = back.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(row_id)], F.col("_h").alias("_kh"), F.transform("_l", lambda e: e["v"]).alias("_list"))
-    same = F.col("_h") == F.col("_kh")
-    for n, c in enumerate(row_id):
-        same = same & named[c].eqNullSafe(F.col(f"_k{n}"))
-    return named.join(back, same, "left").select(*records.columns, "_list")
+    found = keyed_join(flat, right, key).groupBy("_h", "_g").agg(F.sort_array(F.collect_list(F.struct("_pos", F.struct(*rest).alias("v")))).alias("_l"))
+    once = X.let(F.col("_l"), lambda a: F.filter(a, lambda e, i: (i == 0) | (F.get(a, i - 1)["_pos"] != e["_pos"])))
+    back = found.select("_h", "_g", F.transform(once, lambda e: e["v"]).alias("_list"))
+    out = named.join(back, ["_h", "_g"], "left")
+    empty = F.array().cast(back.schema["_list"].dataType)
+    return out.select(*records.columns, F.when(F.size("_names") == 0, empty).otherwise(F.col("_list")).alias("_list"))
 
 
 def replace_if_found(
