@@ -13,7 +13,6 @@ from webtables.plans.task import extract_responses, shape_responses
 from webtables.sources.pages import spread
 
 R = f"r AS ({RESPONSES})"
-NEEDLES = [n for n, _ in O.BODY_MARKERS]
 
 
 def responses(spark, sf):
@@ -40,7 +39,11 @@ def challenge_by_status(spark, sf):
     return responses(spark, sf).select("request_id", F.array_join(labels, ";").alias("label"))
 
 
-BODY_SQL = "concat_ws(';', " + ", ".join(f"CASE WHEN contains(lower(body), '{n}') THEN '{label}' END" for n, label in O.BODY_MARKERS) + ")"
+# The texts are written out here as the pages hold them, apart from the library's list.
+BODY_TEXTS = (
+    "Just a moment", "Enable JavaScript and cookies to continue", "cf-challenge-running", "cf-please-wait", "__cf_chl_tk", "ddos-guard", "access denied", "人机验证", "访问验证",
+)
+BODY_SQL = "concat_ws(';', " + ", ".join(f"CASE WHEN contains(lower(body), lower('{t}')) THEN 'body: {t}' END" for t in BODY_TEXTS) + ")"
 
 
 @query("challenge_by_body", f"WITH {R} SELECT request_id, {BODY_SQL} AS labels FROM r")

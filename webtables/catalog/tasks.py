@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webtables.catalog.base import LINKS, absolute, decoded, derive, query, table
-from webtables.catalog.enrich import FULL, PROFILE_SQL, flat_profile, records, tables
-from webtables.catalog.fixtures import JSON_ORDERS
+from webtables.catalog.enrich import FULL, records, tables
+from webtables.catalog.fixtures import INDEX, JSON_ORDERS
 from webtables.catalog.html import pages
 from webtables.catalog.jsonx import HITS
 from webtables.catalog.listing import BUILT, record_list
@@ -15,6 +15,8 @@ from webtables.functions import select as S
 from webtables.operators import enrich as E
 from webtables.operators import listing as L
 from webtables.operators.params import plan_requests
+from webtables.operators.wikitext import WikiSpec, text_record
+from webtables.plans.scratch import write_then_read
 from webtables.plans.spec import ALL, Extract, Field
 from webtables.plans.task import run_task
 from webtables.sources.index import index_from_items
@@ -23,6 +25,7 @@ TITLE = decoded(decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
 N_LINKS = "CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT)"
 LINK = S.child("a")
 SITE = {"base_url": "https://a.example/"}
+KB_SPEC = WikiSpec(infobox="Infobox item", text_fields={"name": ["name"]}, sections={"resume": ["History"]}, link_sections=["Links"])
 
 
 def responses(spark, sf, status=None):
@@ -84,6 +87,9 @@ def task_detail_page(spark, sf):
 
 
 HEADER_TASK = {
+    "params": {"actor": {"required": True}},
+    "resolve_params": {"star": {"index": "people", "from": "actor"}},
+    "request": {"path": "/star/{star}"},
     "extract": Extract(
         scope=S.descendant("li"),
         fields={"name": Field(LINK), "image": Field(LINK, attr="href")},
@@ -91,40 +97,74 @@ HEADER_TASK = {
         meta={"lang": Field(S.descendant("html"), attr="lang")},
     ),
     "output": {"format": {"name": "{name}", "image": "{image}"}, "page_format": {"title": "{head}"}, "items_key": "people"},
-    "enhance": {"image_field": "image"},
+    "enhance": {"image_field": "image", "kb_field": "kb", "lang": "en"},
 }
+PEOPLE_SITE = {**SITE, "indexes": {"people": {"match_field": "name", "value_field": "id"}}}
+ACTOR = "CASE page_id % 4 WHEN 3 THEN 'no such' WHEN 2 THEN CASE WHEN page_id % 8 = 2 THEN ' ' ELSE NULL END ELSE concat(' customer#', lpad(CAST(page_id % 140 + 1 AS STRING), 9, '0')) END"
 # Link texts are looked up among words of part names.
 WORDS = "SELECT name, concat('img/', max(p_partkey)) AS url FROM (SELECT split_part(p_name, ' ', 1) AS name, p_partkey FROM part UNION ALL SELECT 'the', p_partkey FROM part) w GROUP BY name"
 
 
-@query("task_header_and_items", f"""WITH {LINKS}, i AS ({WORDS}), a AS (SELECT page_id, string_agg(coalesce(i.url, href), '|' ORDER BY pos) AS imgs FROM links LEFT JOIN i ON i.name = txt GROUP BY page_id)
-  SELECT p.page_id AS request_id, {decoded(decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS title, coalesce(imgs, '') AS images, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages p LEFT JOIN a USING (page_id)""")
+# Knowledge base about two words. One has no entity of its own; searches lead to the other, or nowhere.
+WORD_KB = """SELECT 'en' AS lang, CASE n_nationkey % 2 WHEN 0 THEN 'the' ELSE 'and' END AS title, max(CAST(n_nationkey AS BIGINT)) AS pageid,
+  CASE n_nationkey % 2 WHEN 0 THEN 'Wthe' ELSE ' ' END AS entity_id FROM nation GROUP BY n_nationkey % 2"""
+WORD_SEARCH = """SELECT 'en' AS lang, CASE n_nationkey % 3 WHEN 0 THEN 'and' WHEN 1 THEN 'of' ELSE 'to' END AS query, n_nationkey AS rank,
+  CASE WHEN n_nationkey % 3 = 2 THEN 'ghost' WHEN n_nationkey < 3 THEN 'the' ELSE 'nowhere' END AS title FROM nation"""
+WORD_ENTITY = "SELECT 'en' AS lang, 'the' AS title, concat('E', CAST(max(n_nationkey) AS STRING)) AS entity_id, concat('QN', CAST(count(*) AS STRING)) AS country_qid FROM nation"
+WORD_CONTENT = "SELECT 'en' AS lang, 'the' AS title, concat('{{Infobox item\n|name = N', CAST(count(*) AS STRING), '\n}}\nIntro of [[x|', min(n_name), ']]\n== Links ==\n* plain\n') AS wikitext FROM nation"
+WORD_MATCH = f"""su AS ({WORD_KB}), se AS ({WORD_SEARCH}), en AS ({WORD_ENTITY}), co AS ({WORD_CONTENT}),
+  top AS (SELECT query, arg_min(title, rank) AS hit FROM se GROUP BY query), w AS (SELECT DISTINCT txt FROM links),
+  m AS (SELECT txt, coalesce(trim(s1.entity_id), '') <> '' AS exact, s1.entity_id AS own, s2.title AS t2, s2.entity_id AS id2, top.hit FROM w
+    LEFT JOIN su s1 ON s1.title = txt LEFT JOIN top ON top.query = txt LEFT JOIN su s2 ON s2.title = top.hit),
+  kb AS (SELECT txt, CASE WHEN exact THEN own WHEN t2 IS NOT NULL THEN coalesce(nullif(trim(id2), ''), en.entity_id, '') WHEN hit IS NULL THEN 'not_found' ELSE 'summary_error' END
+      || '/' || coalesce(en.country_qid, '') AS short, CASE WHEN co.title IS NULL THEN '' ELSE 'Intro of ' || regexp_extract(co.wikitext, 'x[|]([^]]+)[]][]]', 1) || '+' || regexp_extract(co.wikitext, 'N[0-9]+') END AS text
+    FROM m LEFT JOIN en ON en.title = CASE WHEN exact THEN txt ELSE t2 END LEFT JOIN co ON co.title = CASE WHEN exact THEN txt ELSE t2 END)"""
+
+
+def word_kb(spark, sf):
+    """The tables of the knowledge base about words."""
+    content = derive(spark, sf, WORD_CONTENT).withColumn("external_links", F.array().cast("array<string>"))
+    return {"summary": derive(spark, sf, WORD_KB), "search": derive(spark, sf, WORD_SEARCH), "entity": derive(spark, sf, WORD_ENTITY), "content": content}
+
+
+def kb_label(kb):
+    """entity id or reason / country."""
+    p = kb["profile"]
+    return F.concat_ws("/", F.coalesce(p["entity_id"], kb["miss"]["reason"]), F.coalesce(p["profile"]["country"]["qid"], F.lit("")))
+
+
+def kb_text(kb):
+    """Introduction + name in the infobox of the page's wikitext."""
+    text = kb["profile"]["text"]
+    return F.coalesce(F.concat(text["intro"], F.lit("+"), text["profile"]["name"]), F.lit(""))
+
+
+@query("task_header_and_items", f"""WITH {LINKS}, i AS ({WORDS}), {WORD_MATCH}, ix AS ({INDEX}), q AS (SELECT page_id, lower(trim({ACTOR})) AS actor FROM pages),
+  r AS (SELECT q.page_id, CASE WHEN coalesce(actor, '') = '' OR trim(coalesce(ix.id, '')) = '' THEN 'param_error' END AS error, 'https://a.example/star/' || trim(ix.id) AS url FROM q LEFT JOIN ix ON lower(ix.name) = actor),
+  a AS (SELECT page_id, string_agg(coalesce(i.url, href) || ':' || kb.short, '|' ORDER BY pos) AS v FROM links LEFT JOIN i ON i.name = txt LEFT JOIN kb USING (txt) GROUP BY page_id)
+  SELECT p.page_id AS request_id, error, CASE WHEN error IS NULL THEN r.url END AS url, CASE WHEN error IS NULL THEN {decoded(decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} END AS title,
+    CASE WHEN error IS NULL THEN coalesce(v, '') END AS people, CASE WHEN error IS NULL THEN regexp_extract(html, '<html lang="([^"]*)"', 1) END AS lang FROM pages p JOIN r USING (page_id) LEFT JOIN a USING (page_id)""")
 def task_header_and_items(spark, sf):
-    out = run_task(responses(spark, sf), HEADER_TASK, lookup=derive(spark, sf, WORDS))
-    return out.select("request_id", "data.title", F.array_join(F.transform("data.people", lambda p: p["image"]), "|").alias("images"), "meta.lang")
+    actors = derive(spark, sf, f"SELECT page_id AS request_id, {ACTOR} AS actor FROM pages")
+    params = F.when(F.col("actor").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("actor"), F.col("actor")))
+    plan = plan_requests(actors.select("request_id", params.alias("params")), HEADER_TASK, PEOPLE_SITE, {"people": derive(spark, sf, INDEX)})
+    out = run_task(responses(spark, sf), HEADER_TASK, plan, lookup=derive(spark, sf, WORDS), kb=word_kb(spark, sf))
+    people = F.transform("data.people", lambda p: F.concat(p["image"], F.lit(":"), kb_label(p["kb"])))
+    return out.select("request_id", F.col("error.type").alias("error"), "url", "data.title", F.array_join(people, "|").alias("people"), "meta.lang")
 
 
 SEARCH_TASK = {
     "request": {"accept_status": [404]},
     "extract": Extract(scope=S.descendant("li"), fields={"name": Field(LINK), "image": Field(LINK, attr="href")}),
     "output": {"type": "list", "format": {"name": "{name}", "image": "{image}"}},
-    "enhance": {"kb_field": "kb", "lang": "en", "image_field": "image"},
+    "enhance": {"kb_field": "kb", "lang": "en", "image_field": "image", "wikitext": KB_SPEC},
 }
-WORD_KB = "SELECT 'en' AS lang, lower(w) AS title, max(CAST(c_custkey AS BIGINT)) AS pageid, concat('W', lower(w)) AS entity_id FROM (SELECT 'The' AS w, c_custkey FROM customer UNION ALL SELECT 'And', c_custkey FROM customer) z GROUP BY w"
-
-
-@query("task_candidate_search", f"""WITH {LINKS}, i AS ({WORDS}), k AS ({WORD_KB}), a AS (SELECT page_id, string_agg(coalesce(i.url, href) || ':' || coalesce(k.entity_id, 'not_found'), '|' ORDER BY pos) AS v FROM links LEFT JOIN i ON i.name = txt LEFT JOIN k ON k.title = txt GROUP BY page_id)
+@query("task_candidate_search", f"""WITH {LINKS}, i AS ({WORDS}), {WORD_MATCH}, a AS (SELECT page_id, string_agg(coalesce(i.url, href) || ':' || kb.short || '/' || kb.text, '|' ORDER BY pos) AS v FROM links LEFT JOIN i ON i.name = txt LEFT JOIN kb USING (txt) GROUP BY page_id)
   SELECT p.page_id AS request_id, CASE p.page_id % 3 WHEN 2 THEN 'http_error' END AS error, CASE p.page_id % 3 WHEN 2 THEN NULL ELSE coalesce(v, '') END AS items FROM pages p LEFT JOIN a USING (page_id)""")
 def task_candidate_search(spark, sf):
     status = F.when(F.col("page_id") % 3 == 1, 404).when(F.col("page_id") % 3 == 2, 500).otherwise(200)
-    summary = derive(spark, sf, WORD_KB)
-    none = summary.where(F.lit(False))
-    kb = {
-        "summary": summary, "search": none.select("lang", F.col("title").alias("query"), F.lit(1).alias("rank"), "title"),
-        "entity": none.select("lang", "title"), "content": none.select("lang", "title"),
-    }
-    out = run_task(responses(spark, sf, status), SEARCH_TASK, lookup=derive(spark, sf, WORDS), kb=kb)
-    item = F.transform("data", lambda d: F.concat(d["image"], F.lit(":"), F.coalesce(d["kb"]["profile"]["entity_id"], d["kb"]["miss"]["reason"])))
+    out = run_task(responses(spark, sf, status), SEARCH_TASK, lookup=derive(spark, sf, WORDS), kb=word_kb(spark, sf))
+    item = F.transform("data", lambda d: F.concat(d["image"], F.lit(":"), kb_label(d["kb"]), F.lit("/"), kb_text(d["kb"])))
     return out.select("request_id", "error.type", F.when(F.col("ok"), F.array_join(item, "|")).alias("items")).withColumnRenamed("type", "error")
 
 
@@ -132,27 +172,42 @@ def task_candidate_search(spark, sf):
 def task_paged_directory(spark, sf):
     data = record_list(pages(spark, sf))
     listing = data.select("page", F.lit(0).alias("attempt"), F.lit(True).alias("ok"), F.col("data.links").alias("items"))
-    rows, header, missing = L.build_index(listing)
+    rows, header, missing = L.build_index(write_then_read(listing, "listing"))
     L.require_complete(header, missing)
     return rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
 
 
-CATEGORIES = [{"name": "5-LOW", "fid": "50"}, {"name": "1-URGENT", "fid": "10"}, {"name": "2-HIGH", "fid": "20"}]
+CATEGORIES = [{"name": "News", "fid": "50"}, {"name": "Talk", "fid": "10"}, {"name": "Help", "fid": "20"}]
 THREAD_TASK = {
     "params": {"category": {}},
     "resolve_params": {"fid": {"index": "categories", "from": "category", "match_field": "name", "value_field": "fid", "optional": True}},
     "request": {"path": "/forum", "query": {"fid": "{fid}", "page": "{page}"}, "omit_empty_query": True},
-    "pagination": {"param": "page", "default": "1"},
+    "pagination": {"param": "page", "default": "1", "total_field": "total"},
+    "extract": Extract(
+        scope=S.descendant("li"),
+        fields={"title": Field(LINK, trim=True), "url": Field(LINK, attr="href", resolve_url=True)},
+        page={"board": Field(S.descendant("h1"), trim=True)},
+        meta={"total": Field(S.descendant("script"), regex=r"track\(([0-9]+)\)", type="int")},
+    ),
+    "output": {"format": {"title": "{title}", "url": "{url}"}, "page_format": {"board": "{board}"}, "items_key": "threads"},
 }
+CATEGORY = "CASE page_id % 6 WHEN 0 THEN ' news' WHEN 1 THEN 'TALK ' WHEN 2 THEN 'Help' WHEN 3 THEN 'no such' WHEN 4 THEN ' ' END"
+THREAD_PAGE = "CASE page_id % 4 WHEN 1 THEN CAST(page_id % 9 AS STRING) WHEN 2 THEN ' ' END"
 
 
-@query("task_category_filter", """SELECT o_orderkey AS request_id, 'https://a.example/forum?' || CASE o_orderpriority WHEN '5-LOW' THEN 'fid=50&' WHEN '1-URGENT' THEN 'fid=10&' WHEN '2-HIGH' THEN 'fid=20&' ELSE '' END || 'page=1' AS url FROM orders""")
+@query("task_category_filter", f"""WITH {LINKS}, q AS (SELECT page_id, coalesce(nullif(trim({THREAD_PAGE}), ''), '1') AS page, CASE page_id % 6 WHEN 0 THEN 'fid=50&' WHEN 1 THEN 'fid=10&' WHEN 2 THEN 'fid=20&' ELSE '' END AS fid FROM pages),
+  a AS (SELECT page_id, count(*) AS n, string_agg(trim(txt) || '=' || {absolute('url', 'href')}, '|' ORDER BY pos) AS threads FROM links GROUP BY page_id)
+  SELECT p.page_id AS request_id, 'https://a.example/forum?' || fid || 'page=' || page AS url, trim({decoded(decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))}) AS board, CAST(coalesce(n, 0) AS BIGINT) AS count,
+    CAST(page AS BIGINT) AS page, CASE WHEN regexp_matches(html, '<script>.*track\\(([0-9]+)\\)') THEN CAST(regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS BIGINT) END AS total, coalesce(threads, '') AS threads
+  FROM pages p JOIN q USING (page_id) LEFT JOIN a USING (page_id)""")
 def task_category_filter(spark, sf):
-    rows = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.create_map(F.lit("category"), F.concat(F.lit(" "), F.lower("o_orderpriority"))).alias("params")
-    )
+    given = derive(spark, sf, f"SELECT page_id AS request_id, {CATEGORY} AS category, {THREAD_PAGE} AS page FROM pages")
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in ("category", "page")]), lambda e: e["v"].isNotNull())
     ix = index_from_items(spark, CATEGORIES, "name string, fid string")
-    return plan_requests(rows, THREAD_TASK, SITE, {"categories": ix}).select("request_id", "url")
+    plan = plan_requests(given.select("request_id", F.map_from_entries(entries).alias("params")), THREAD_TASK, SITE, {"categories": ix})
+    out = run_task(responses(spark, sf), THREAD_TASK, plan)
+    threads = F.array_join(F.transform("data.threads", lambda t: F.concat(t["title"], F.lit("="), t["url"])), "|")
+    return out.select("request_id", "url", "data.board", "meta.count", "meta.page", "meta.total", threads.alias("threads"))
 
 
 POST_TASK = {
@@ -206,9 +261,29 @@ def task_direct_lookup(spark, sf):
     return out.select("request_id", "image", F.col("error.type").alias("error"))
 
 
-@query("task_profile_by_title", f"""WITH {FULL}, fp AS (SELECT query, {PROFILE_SQL} FROM f) SELECT rec_id, fp.* EXCLUDE (query) FROM r JOIN fp ON trim(r.name) = fp.query""")
+# Pages of the knowledge base with an infobox, a section and a link.
+KB_PAGES = """SELECT 'en' AS lang, CASE WHEN c_mktsegment = 'BUILDING' THEN concat('Page ', c_name) ELSE c_name END AS title,
+  concat('{{Infobox item\n|name = ', c_name, '\n}}\nIntro of [[x|', c_name, ']]<br/>next\n== History ==\n', c_mktsegment, ' [[since]]\n== Links ==\n* [https://a.example/', CAST(c_custkey AS STRING), ' Site]\n') AS wikitext,
+  c_name AS own, c_mktsegment AS segment FROM customer"""
+
+
+@query("task_profile_by_title", f"""WITH {FULL}, tx AS ({KB_PAGES}) SELECT rec_id, CASE WHEN trim(r.name) = '' THEN 'param_error' WHEN f.reason IS NOT NULL THEN 'summary_error' END AS error,
+  CASE WHEN f.reason IS NULL THEN CASE WHEN trim(coalesce(f.entity_id, '')) <> '' THEN f.entity_id ELSE f.e_id END END AS entity_id, f.title, CASE WHEN f.pageid > 0 THEN f.pageid END AS pageid, f.page_url AS url,
+  CASE WHEN trim(f.birth_date) <> '' THEN f.birth_date || '|wikidata|P569' END AS birth, 'Intro of ' || tx.own || chr(10) || 'next' AS intro, tx.own AS box_name, tx.segment || ' since' AS resume,
+  CASE WHEN tx.own IS NOT NULL THEN 'Site' END AS link
+  FROM r LEFT JOIN f ON trim(r.name) = f.query LEFT JOIN tx ON tx.title = f.title""")
 def task_profile_by_title(spark, sf):
-    rec = records(spark, sf).where(F.trim("name") != "")
-    profiles = E.kb_profiles(E.distinct_probes(rec, "name", "en"), **tables(spark, sf))
-    out = E.kb_attach(rec, profiles, ["rec_id"], lang="en")
-    return flat_profile(out, F.col("kb.profile"), F.col("kb.miss"))
+    rec = records(spark, sf).select("rec_id", F.lit(None).cast("string").alias("lang"), F.lit(" ").alias("title"), "name")
+    content = derive(spark, sf, KB_PAGES).select("lang", "title", "wikitext").withColumn("external_links", F.array().cast("array<string>"))
+    out = E.profile_results(
+        E.profile_requests(rec, "en"), ["rec_id"], **{**tables(spark, sf), "content": content},
+        text=lambda c: text_record(c["wikitext"], c["external_links"], KB_SPEC),
+    )
+    p = F.col("profile")
+    born = p["profile"]["birth_date"]
+    return out.select(
+        "rec_id", F.col("error.type").alias("error"), p["entity_id"].alias("entity_id"), p["title"].alias("title"), "meta.pageid", "url",
+        F.concat(born["value"], F.lit("|"), born["source"], F.lit("|"), born["property"]).alias("birth"),
+        p["text"]["intro"].alias("intro"), p["text"]["profile"]["name"].alias("box_name"), p["text"]["resume"].alias("resume"),
+        F.get(p["text"]["external_links"], F.lit(0))["label"].alias("link"),
+    )

@@ -66,9 +66,11 @@ def wiki_templates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", let(text, K.simplify_templates).alias("plain"))
 
 
-@query("wiki_intro", "SELECT doc_id, 'Intro bold & c d\nnext 1990 site' AS intro FROM documents")
+@query("wiki_intro", "SELECT doc_id, 'Intro ' || source || ' of ' || n_chars || ' ' || 'bold & c d\nnext 1990 site' AS intro FROM documents")
 def wiki_intro(spark, sf):
-    return wikitext_tables(docs(spark, sf), SPEC)["intro"]
+    more = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro "), "source", F.lit(" of [[n|"), F.col("n_chars").cast("string"), F.lit("]] ")).alias("head"))
+    d = docs(spark, sf).join(more, "doc_id").withColumn("wikitext", F.replace("wikitext", F.lit("Intro "), F.col("head"))).drop("head")
+    return wikitext_tables(d, SPEC)["intro"]
 
 
 SECTION = "trim(text || '\n\n\n\nend [[File:a.jpg|t]]', ' ' || chr(9) || chr(10) || chr(13))"

@@ -17,6 +17,7 @@ from webtables.operators.html import extract_html
 from webtables.operators.json import extract_json
 from webtables.operators.lookup import replace_in_list
 from webtables.operators.shape import group_items, shape
+from webtables.operators.wikitext import text_record
 from webtables.plans.scratch import write_then_read
 from webtables.plans.spec import Extract
 
@@ -85,7 +86,9 @@ def run_task(
     """Result envelopes: request_id, ok, site, task, url, channel, status, meta, data, error.
 
     ``requests``: planned requests (``operators.params.plan_requests``); a request that could not be
-    planned or has no capture is an error row. ``lookup`` and ``kb`` feed ``task["enhance"]``.
+    planned or has no capture is an error row. ``lookup`` and ``kb`` feed ``task["enhance"]``, whose ``wikitext``
+    (a ``WikiSpec``) asks for the text of the profiles' pages. An enhanced task is written once to the shared folder before it is
+    enriched, since enrichment reads the records several times.
     """
     done = shape_responses(extract_responses(responses, task, challenge_mode), task)
     if requests is not None:
@@ -135,7 +138,9 @@ def enhance(results: DataFrame, task: dict, lookup: DataFrame | None, kb: dict[s
         names = work.select(F.explode_outer("_items").alias("i")).select(F.col(f"i.{name}").alias("name")) if isinstance(
             work.schema["_items"].dataType, T.ArrayType
         ) else work.select(F.col("_items")[name].alias("name"))
-        profiles = kb_profiles(distinct_probes(names, "name", conf.get("lang", "")), **kb)
+        spec = conf.get("wikitext")
+        text = (lambda c: text_record(c["wikitext"], c["external_links"], spec)) if spec else None
+        profiles = kb_profiles(distinct_probes(names, "name", conf.get("lang", "")), **kb, text=text)
         work = kb_attach(work, profiles, ["request_id"], name=name, target=conf["kb_field"], lang=conf.get("lang", ""), items="_items")
     data = F.col("_items") if key is None else F.when(F.col("data").isNotNull(), F.col("data").withField(key, F.col("_items")))
     return work.withColumn("data", data).drop("_items")
