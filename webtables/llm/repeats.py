@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,7 +48,7 @@ LENGTH = 100
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 SAMPLE = LENGTH - PERIOD + 1
 #: Bytes of text of a block, and of a slice that is worked on at a time.
-BLOCK_BYTES, SLICE_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, SLICE_BYTES = 2 << 20, 2 << 20
 #: Sample strings, and bytes, for each hash partition.
 SAMPLES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Bits of a sample's fingerprint beyond those of the number of samples.
@@ -62,11 +61,16 @@ _NONE = np.zeros(0, bool)  # the answer to a slice that sent nothing
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-@lru_cache(maxsize=4)
+_powers_of: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers at least; the longest list asked for is kept."""
+    if base not in _powers_of or len(_powers_of[base]) < n:
+        out = np.full(max(n, 1 << 12), base, np.uint64)
+        out[0] = 1
+        _powers_of[base] = np.multiply.accumulate(out)
+    return _powers_of[base]
 
 
 class Text:
@@ -94,9 +98,8 @@ class Slice:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(self.bytes)
         self._sums = np.zeros(n + 1, np.uint64)
-        size = 1 << max(12, n.bit_length())
-        np.cumsum(_BYTE[self.bytes] * _powers(_BASE, size)[:n], out=self._sums[1:])
-        self._down = _powers(_UNBASE, size)
+        np.cumsum(_BYTE[self.bytes] * _powers(_BASE, n)[:n], out=self._sums[1:])
+        self._down = _powers(_UNBASE, n)
         pattern = np.zeros(PERIOD, bool)
         pattern[list(COVER)] = True
         pattern = np.tile(pattern, -(-max(self.sizes, default=0) // PERIOD) + 1)
