@@ -220,3 +220,14 @@ def test_manifest_over_superblocks(spark):
 
 def test_manifest_of_an_empty_table(spark):
     assert merkle.manifest(merkle.document_leaves(spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string"))).count() == 0
+
+
+# 2
+def test_the_least_id_stays_whatever_else_is_in_the_table(spark):
+    from webtables.llm import near_dup
+
+    rows = [(10, "a b c d e f g h", "en"), (2, "a b c d e f g h", "en"), (50, "q r s t u v w", "en"), (None, "a b c d e f g h", "en")]
+    for more in ([], [(50, "other words stand in this row", "en")], [(2, "a b c d e f g h", "en"), (60, None, None)]):
+        got = sorted((r.doc_id, r.text) for r in near_dup.keep_one(docs_of(spark, rows[: 4 if more else 3] + more), 5, 80).collect())
+        assert [g for g in got if g[1] == rows[0][1]] == [(2, rows[0][1])]
+        assert len(got) == 2 + (len(more) if len(more) == 1 else len(more) // 2)
