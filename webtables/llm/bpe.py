@@ -1,36 +1,50 @@
-"""Byte-level BPE ids by the ``tokenizers`` library, with the ids of words remembered.
-
-Byte-level BPE splits a text into pre-tokens and encodes each on its own. A space (U+0020) that a
-non-space character follows always starts a pre-token, so ``text.split(" ")`` cuts only at
-pre-token borders wherever each part starts with a non-space character; texts with other parts are
-encoded whole. The ids of a part are therefore a function of the part, and each distinct part is
-encoded once while it is remembered. The library cuts a text at its added tokens before it looks for
-pre-tokens, so a text that holds the string of one is encoded whole.
+"""Byte-level BPE ids, as the ``tokenizers`` library gives them, by a faster encoder of the same vocabulary.
+
+A byte-level vocabulary whose merges stand in the order of their ids says the same as the ranks of their bytes: of two
+neighbours the pair of least id is joined first. ``tiktoken`` encodes by ranks, about three times as fast as the
+library and without remembering words, so memory does not grow with the texts. The file decides whether that holds (``ranks_of``);
+where it does not, and for texts that hold the string of an added token, which the library cuts out first, or a run of white
+space too long for the encoder's pattern, the library itself encodes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from functools import lru_cache
 
-#: Unicode white space as the tokenizer's pattern has it (fixed values).
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces that are unions of pre-tokens; the first kind is exactly one pre-token.
-_PIECES = re.compile(f" ?[{_LATIN}]+(?=[ .,!|?\\n])| ?[{_LATIN}]+$| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_ONE = re.compile(f" ?[{_LATIN}]+")
-_IRREGULAR = re.compile(f" (?=[{_WS}]|$)|^ ")
+#: The pattern of byte-level pre-tokens (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space that is left to the library.
+_WIDE, _BLANKS = 10_000, re.compile(r"\s{10000}")
 #: Entries of each of the two generations of a memory.
 MEMORY = 400_000
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte → the letter that stands for it in a byte-level vocabulary: printable bytes stand for themselves."""
+def _letters() -> dict[str, int]:
+    """The letter of a byte-level vocabulary → its byte: printable bytes stand for themselves."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def ranks_of(model: dict) -> dict[bytes, int] | None:
+    """Bytes → id of a tokenizer file whose ids are ranks; ``None`` for any other."""
+    bpe, split = model["model"], model.get("pre_tokenizer") or {}
+    if bpe.get("type") != "BPE" or model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    if bpe.get("dropout") or bpe.get("continuing_subword_prefix") or bpe.get("end_of_word_suffix") or bpe.get("ignore_merges") or bpe.get("byte_fallback"):
+        return None
+    letters, added = _letters(), {t["content"] for t in model.get("added_tokens", ())}
+    vocabulary = {k: i for k, i in bpe["vocab"].items() if k not in added}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in bpe["merges"]]
+    if any(vocabulary.get("".join(m)) != len(letters) + n for n, m in enumerate(merges)) or len(vocabulary) != len(letters) + len(merges):
+        return None
+    if any(c not in letters for k in vocabulary for c in k):
+        return None
+    return {bytes(letters[c] for c in k): i for k, i in vocabulary.items()}
 
 
 class _Memory(dict):
@@ -59,32 +73,22 @@ class Bpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.pieces, self.parts = _Memory(self._piece), _Memory(self._part)
-
-    def _piece(self, piece: str) -> bytes:
-        if _ONE.fullmatch(piece):
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return self.whole(piece)
+        with open(path, encoding="utf-8") as f:
+            ranks = ranks_of(json.load(f))
+        self.fast = None
+        if ranks:
+            import tiktoken
 
-    def _part(self, part: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + part)))
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
+        """By the library itself."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        for token in self.added:
-            if token in text:
-                return self.whole(text)
-        if _IRREGULAR.search(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        parts = text.split(" ")
-        head = b"".join(map(self.pieces.__getitem__, _PIECES.findall(parts[0])))
-        return head + b"".join(map(self.parts.__getitem__, parts[1:]))
+        if self.fast is None or any(token in text for token in self.added) or (len(text) >= _WIDE and _BLANKS.search(text)):
+            return self.whole(text)
+        return array("I", self.fast(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
