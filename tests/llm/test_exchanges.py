@@ -231,3 +231,59 @@ def test_the_least_id_stays_whatever_else_is_in_the_table(spark):
         got = sorted((r.doc_id, r.text) for r in near_dup.keep_one(docs_of(spark, rows[: 4 if more else 3] + more), 5, 80).collect())
         assert [g for g in got if g[1] == rows[0][1]] == [(2, rows[0][1])]
         assert len(got) == 2 + (len(more) if len(more) == 1 else len(more) // 2)
+
+
+# 10
+def test_resampling_against_plain_python(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from webtables.llm import resampling as R
+    from webtables.llm.shingles import gram_hashes, word_hashes
+
+    rng = random.Random(8)
+    good_words, bad_words = "the of and river stone walks light under".split(), "buy $$$ click now the !!! win".split()
+    texts_ = [" ".join(rng.choice(good_words if rng.random() < 0.8 else bad_words) for _ in range(rng.randint(1, 60))) for _ in range(220)]
+    texts_ += [" ".join(rng.choice(bad_words if rng.random() < 0.8 else good_words) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ODD
+    rows = [(i, t, "en") for i, t in enumerate(texts_)] + [(3, texts_[3], "en"), (None, texts_[4], "en")]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 220)) for i in range(0, 280, 2)], "doc_id long, quality int")
+    sample = {r["_label_id"]: (r.good, r.fold) for r in R.label_sample(labels, "doc_id", "quality").collect()}
+
+    def buckets(t):
+        words = word_hashes(t or "")
+        return [int(h) % R.BUCKETS for h in [*words, *gram_hashes(words, 2)]]
+
+    raw, target = Counter(), [Counter() for _ in range(R.FOLDS)]
+    for i, t, _ in rows:
+        raw.update(buckets(t))
+        if sample.get(i, (False, 0))[0]:
+            target[sample[i][1]].update(buckets(t))
+
+    def mean(i, t):
+        b = buckets(t)
+        left = [c for f, c in enumerate(target) if i not in sample or f != sample[i][1]]
+        whole, total = sum(left, Counter()), sum(raw.values())
+        size = sum(whole.values())
+        ratio = [math.log((whole[x] + 1) / (size + R.BUCKETS)) - math.log((raw[x] + 1) / (total + R.BUCKETS)) for x in b]
+        return sum(ratio) / (len(b) + R.PRIOR) if b else None
+
+    means = {(i, t): mean(i, t) for i, t, _ in rows}
+    known = {i: min(m for (j, _), m in means.items() if j == i) for i in sample}
+    cut = R.cutoff(np.array([m for i, m in known.items() if sample[i][0]]), np.array([m for i, m in known.items() if not sample[i][0]]))
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", R.gumbel(F.col("doc_id"), 11).alias("g")).collect()}
+    sums = {key: math.floor((m * R.SHARPNESS + noise[key[0]]) * R.STEP) for key, m in means.items() if m is not None}
+    each = sorted((sums[i, t] for i, t, _ in rows if (i, t) in sums), reverse=True)
+    least = each[sum(m >= cut for i, t, _ in rows if (m := means[i, t]) is not None) - 1]
+    got = R.classify(docs, R.fit(docs, labels)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = (r["_row"].doc_id, r["_row"].text)
+        assert r.n_grams == len(buckets(key[1]))
+        if means[key] is None:
+            assert r.log_weight is None and not r.kept
+        else:
+            assert abs(r.log_weight - means[key] * R.SHARPNESS) < 1e-6
+            assert abs(r["sum"] * R.STEP - sums[key]) < 1000 and (r.kept == (sums[key] >= least) or abs(sums[key] - least) < 1000)
+    assert sum(r.kept for r in got if r["_row"].doc_id in range(220, 280)) < 20 < 200 < sum(r.kept for r in got)

@@ -18,6 +18,7 @@ from tests.compare import compare, database
 from webtables.llm import (
     chat_events, id_coder, maxscore, near_dup, packing, piece_codec, quality_rules, resampling, secret_scan, shingles, token_counts, token_files,
 )
+from webtables.llm import bpe as bpe_module
 from webtables.llm.bpe import Bpe
 from webtables.llm.common import scratch, stored
 from webtables.llm.components import components
@@ -386,6 +387,44 @@ def test_id_coder_predicts():
     assert len(id_coder.encode(text)) < 0.6 * 2 * len(text)
 
 
+def test_id_coder_is_below_the_entropy_of_the_ids():
+    """Nothing is stored as it is: the bytes of real ids are fewer than order 0 alone needs."""
+    texts = [r[0] for r in database(SF).execute("SELECT text FROM documents").fetchall()]
+    ids = np.frombuffer(b"".join(Bpe(BPE).ids(t) + bytes([2, 0, 0, 0]) for t in texts), np.uint32)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    frame = id_coder.encode(ids)
+    book = id_coder.HEAD.unpack_from(frame)[5]
+    assert 8 * (len(frame) - book) / len(ids) < 0.97 * -(share * np.log2(share)).sum()
+    assert (id_coder.decode(frame) == ids).all()
+
+
+def test_id_coder_blocks_are_independent():
+    rng = np.random.default_rng(2)
+    ids = rng.geometric(0.01, 3 * id_coder.SHORTEST).astype(np.uint32)
+    frame = id_coder.encode(ids)
+    _, _, n, lanes, length, book = id_coder.HEAD.unpack_from(frame)
+    sizes = np.frombuffer(frame, "<u4", 2 * lanes, id_coder.HEAD.size).reshape(lanes, 2)[:, 1]
+    first = id_coder.HEAD.size + 8 * lanes + book
+    for k in range(lanes):  # a broken block breaks its own checksum only
+        broken = bytearray(frame)
+        at = first + int(sizes[:k].sum()) + int(sizes[k]) // 2
+        broken[at] ^= 0x5A
+        with pytest.raises(ValueError, match=f"block {k} "):
+            id_coder.decode(bytes(broken))
+
+
+def test_ranks_say_what_merges_say():
+    import json
+
+    model = json.load(open(BPE, encoding="utf-8"))
+    assert bpe_module.ranks_of(model)[b" the"] == model["model"]["vocab"]["\u0120the"]
+    swapped = {**model, "model": {**model["model"], "merges": model["model"]["merges"][::-1]}}
+    assert bpe_module.ranks_of(swapped) is None and bpe_module.ranks_of({**model, "normalizer": {"type": "NFC"}}) is None
+    encoder = Bpe(BPE)
+    for text in ["x" * 20_000, " " * 30_000 + "a", "ab\n" * 5000 + "\u3000" * 12_000, "12" * 5000]:
+        assert encoder.ids(text) == encoder.whole(text)
+
+
 @pytest.mark.parametrize("frame_ids", [8 << 20, 5000])
 def test_token_files(spark, frame_ids):
     texts = ODD + [" ".join(f"w{j}" for j in range(2500))]
