@@ -39,7 +39,7 @@ from webtables.llm.shingles import mixed
 #: Words of a phrase at most.
 WORDS = 5
 #: Bytes of text of a block, and of a slice that is worked on at a time.
-BLOCK_BYTES, SLICE_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, SLICE_BYTES = 2 << 20, 2 << 20
 #: Mass of a hash partition on average at most: phrases of all blocks, each counted up to ``least`` times a block.
 MASS = 1 << 26
 OUT_ROWS = 8192
@@ -289,9 +289,8 @@ def frequent_phrases(docs: DataFrame, least: int, text: str = "text", lang: str
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(-(-most // mass), min(spread, -(-most // (1 << 20))))
     replies = stored(frequent(summaries(blocks, parts, slice_bytes), least), "frequent")
-    found = texts(blocks, replies, slice_bytes)
     # A phrase has one row; the words of a language are added up.
-    return found.where("words > 0").unionByName(found.where("words = 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
+    return texts(blocks, replies, slice_bytes).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang", **sizes: int) -> DataFrame:
