@@ -56,8 +56,7 @@ def document(rng, n, key="items"):
     }
 
 
-@pytest.mark.parametrize("indent, ascii_", [(None, True), (1, False), (4, True)])
-@pytest.mark.parametrize("split", [300, 1 << 20])
+@pytest.mark.parametrize("indent, ascii_, split", [(None, True, 500), (4, False, 900), (1, True, 1 << 20)])
 def test_document_by_splits(spark, tmp_path, settings, indent, ascii_, split):
     settings("spark.sql.files.maxPartitionBytes", str(split))
     settings("spark.sql.files.openCostInBytes", "0")

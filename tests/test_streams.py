@@ -38,7 +38,7 @@ def flow(spark, tmp_path, **more):
     return IndexStream(spark, stream, lambda df: df, str(tmp_path / "index"), str(tmp_path / "checkpoint"), **more)
 
 
-@pytest.mark.parametrize("fold_every", [None, 1, 2])
+@pytest.mark.parametrize("fold_every", [None, 2])
 def test_index_goes_on(spark, tmp_path, fold_every):
     landed(spark, str(tmp_path / "in"), BATCHES[:2])
     assert names(flow(spark, tmp_path, fold_every=fold_every).run()) == ["first", "keyless", "two"]

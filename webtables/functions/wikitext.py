@@ -19,6 +19,29 @@ DROPPED_TEMPLATES = r"\{\{(?:Wayback|Commonscat|DEFAULTSORT)[^{}]*\}\}"
 FLAG_TEMPLATE, FLAG_TEXT = r"\{\{\s*JPN\s*\}\}", "日本"
 SOCIAL_TEMPLATE = r"\{\{\s*(Twitter|X|Instagram)\s*\|\s*([^|}]+)"
 ARCHIVE_HOST = "web.archive.org"
+# What cleaning rewrites, in order, as pattern and replacement; first references and line breaks,
+REWRITTEN_REFS = (
+    (r"(?s)<ref\b[^>/]*?>.*?</ref>", ""),
+    (r"<ref\b[^>]*/>", ""),
+    (r"(?i)<br\s*/?>", "\n"),
+)
+# then, after the templates, flags, links, quotes and tags, and at the end blanks.
+REWRITTEN_LINKS = (
+    (FLAG_TEMPLATE, FLAG_TEXT),
+    (r"\[\[(?:File|Image|Category):[^\]]+\]\]", ""),
+    (r"\[\[[^|\]]+\|([^\]]+)\]\]", "$1"),
+    (r"\[\[([^\]]+)\]\]", "$1"),
+    (r"\[(https?://[^\s\]]+)\s+([^\]]+)\]", "$2"),
+    (r"'{2,}", ""),
+    (r"<[^>]+>", ""),
+)
+REWRITTEN_BLANKS = ((r"[ \t\r\f]+", " "), (r"\n{3,}", "\n\n"))
+# Templates without a rendering of their own, reduced to their first argument or dropped.
+OTHER_TEMPLATES = ((DROPPED_TEMPLATES, ""), (r"\{\{[^{}|]+\|([^{}|]+)[^{}]*\}\}", "$1"), (r"\{\{[^{}]*\}\}", ""))
+# A heading around its title, any heading, and an external link with its label.
+HEADING = (r"(?md)^==+[\t\n\f\r ]*\Q", r"\E[\t\n\f\r ]*==+[\t\n\f\r ]*$")
+ANY_HEADING = r"(?md)^==+[^=\n].*?==+[\t\n\f\r ]*$"
+LABELLED_LINK = r"\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]"
 
 _BRACES = r"\{\{|\}\}"
 LINK = "struct<label:string,url:string,username:string>"
@@ -43,25 +66,21 @@ def _replace_template(c: Column, name: str, render) -> Column:
     return F.when(c.rlike(java), replace_with(c, java, lambda m: render(_template_args(m, name)))).otherwise(c)
 
 
+def _rewrite(v: Column, rules) -> Column:
+    for pattern, replacement in rules:
+        v = X.replace_all(v, pattern, replacement)
+    return v
+
+
 def _rewrite_links_and_tags(v: Column) -> Column:
     """Everything after the template step."""
-    v = X.replace_all(v, FLAG_TEMPLATE, FLAG_TEXT)
-    v = X.replace_all(v, r"\[\[(?:File|Image|Category):[^\]]+\]\]", "")
-    v = X.replace_all(v, r"\[\[[^|\]]+\|([^\]]+)\]\]", "$1")
-    v = X.replace_all(v, r"\[\[([^\]]+)\]\]", "$1")
-    v = X.replace_all(v, r"\[(https?://[^\s\]]+)\s+([^\]]+)\]", "$2")
-    v = X.replace_all(v, r"'{2,}", "")
-    v = X.replace_all(v, r"<[^>]+>", "")
+    v = _rewrite(v, REWRITTEN_LINKS)
     v = let(F.replace(v, F.lit("&nbsp;"), F.lit(" ")), lambda t: unescape(t))
-    v = X.replace_all(v, r"[ \t\r\f]+", " ")
-    v = X.replace_all(v, r"\n{3,}", "\n\n")
-    return X.trim_ws(v)
+    return X.trim_ws(_rewrite(v, REWRITTEN_BLANKS))
 
 
 def _rewrite_refs(v: Column) -> Column:
-    v = X.replace_all(X.trim_ws(v), r"(?s)<ref\b[^>/]*?>.*?</ref>", "")
-    v = X.replace_all(v, r"<ref\b[^>]*/>", "")
-    return X.replace_all(v, r"(?i)<br\s*/?>", "\n")
+    return _rewrite(X.trim_ws(v), REWRITTEN_REFS)
 
 
 def simplify_templates(v: Column) -> Column:
@@ -72,9 +91,7 @@ def simplify_templates(v: Column) -> Column:
         for name in FIRST_ARG_TEMPLATES:
             t = let(t, lambda s: _replace_template(s, name, lambda a: F.get(a, F.lit(0))))
         t = let(t, lambda s: _replace_template(s, LIST_TEMPLATE, _render_list))
-        t = X.replace_all(t, DROPPED_TEMPLATES, "")
-        t = X.replace_all(t, r"\{\{[^{}|]+\|([^{}|]+)[^{}]*\}\}", "$1")
-        return X.replace_all(t, r"\{\{[^{}]*\}\}", "")
+        return _rewrite(t, OTHER_TEMPLATES)
 
     return F.when(F.contains(v, F.lit("{{")), known(v)).otherwise(v)
 
@@ -261,10 +278,9 @@ def composite(parts: list[Column], unit: str = "cm") -> Column:
 # -- sections and links -------------------------------------------------------------------------
 def section(text: Column, title: str) -> Column:
     """Trimmed text between a heading (any level) and the next heading; empty when absent."""
-    head = r"(?md)^==+[\t\n\f\r ]*\Q" + title + r"\E[\t\n\f\r ]*==+[\t\n\f\r ]*$"
-    following = r"(?md)^==+[^=\n].*?==+[\t\n\f\r ]*$"
+    head = HEADING[0] + title + HEADING[1]
     after = F.get(F.split(text, head, 2), F.lit(1))
-    return F.coalesce(X.trim_ws(F.get(F.split(after, following, 2), F.lit(0))), F.lit(""))
+    return F.coalesce(X.trim_ws(F.get(F.split(after, ANY_HEADING, 2), F.lit(0))), F.lit(""))
 
 
 def raw_section(text: Column, titles: list[str]) -> Column:
@@ -289,7 +305,7 @@ def _social(line: Column) -> Column:
 
 def _bracket_links(line: Column) -> Column:
     """Links with their labels as written."""
-    java = X.compile_regex(r"\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]")[0]
+    java = X.compile_regex(LABELLED_LINK)[0]
     return F.transform(
         F.regexp_extract_all(line, F.lit(java), F.lit(0)),
         lambda tok: F.struct(

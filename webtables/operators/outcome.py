@@ -26,6 +26,11 @@ PLATFORM_ACTIVE = ("_cf_chl_opt", "/cdn-cgi/challenge-platform/h/")
 # Age-gate markers (the first two are case-folded, the last is exact).
 AGE_GATE_FOLDED = ("enter-btn", "safeid=")
 AGE_GATE_EXACT = "满18岁"
+# The labels of the other rules.
+HEADER_LABEL = "header: cf-mitigated=challenge"
+STATUS_LABELS = {403: "status/server: 403 cloudflare", 429: "status: 429", 503: "status/server: 503 cloudflare"}
+PLATFORM_LABEL = "body: active Cloudflare challenge-platform"
+AGE_GATE_REASON, AGE_GATE_LABEL = "age_verification_required", "body: safe age verification page"
 
 
 def header(headers: Column, name: str) -> Column:
@@ -43,9 +48,9 @@ def challenge_by_status(status: Column, headers: Column) -> Column:
     fronted = F.contains(F.lower(header(headers, "server")), F.lit("cloudflare"))
     return F.array_compact(
         F.array(
-            F.when((status == 403) & fronted, F.lit("status/server: 403 cloudflare")),
-            F.when(status == 429, F.lit("status: 429")),
-            F.when((status == 503) & fronted, F.lit("status/server: 503 cloudflare")),
+            F.when((status == 403) & fronted, F.lit(STATUS_LABELS[403])),
+            F.when(status == 429, F.lit(STATUS_LABELS[429])),
+            F.when((status == 503) & fronted, F.lit(STATUS_LABELS[503])),
         )
     )
 
@@ -69,12 +74,12 @@ def detect_challenge(status: Column, headers: Column, lower_body: Column) -> Col
     """
     body = F.coalesce(lower_body, F.lit(""))
     return F.concat(
-        F.when(challenge_by_header(headers), F.array(F.lit("header: cf-mitigated=challenge"))).otherwise(
+        F.when(challenge_by_header(headers), F.array(F.lit(HEADER_LABEL))).otherwise(
             F.array().cast("array<string>")
         ),
         F.coalesce(challenge_by_status(status, headers), F.array().cast("array<string>")),
         challenge_by_body(body),
-        F.when(challenge_by_platform(body), F.array(F.lit("body: active Cloudflare challenge-platform"))).otherwise(
+        F.when(challenge_by_platform(body), F.array(F.lit(PLATFORM_LABEL))).otherwise(
             F.array().cast("array<string>")
         ),
     )
@@ -109,7 +114,7 @@ def classify(responses: DataFrame, accept: list[int] | None = None, challenge_mo
     found = lower.withColumn("_matched", matched).withColumn("_gate", detect_age_gate(F.col("body"), F.col("_lower")))
     error = (
         F.when(F.size("_matched") > 0, make_error("blocked", CHALLENGE_REASON, F.col("_matched")))
-        .when(F.col("_gate"), make_error("blocked", "age_verification_required", F.array(F.lit("body: safe age verification page"))))
+        .when(F.col("_gate"), make_error("blocked", AGE_GATE_REASON, F.array(F.lit(AGE_GATE_LABEL))))
         .when(F.col("fetch_error").isNotNull(), make_error("fetch_error", F.col("fetch_error")))
         .when(
             ~accept_status(F.col("status"), accept),
