@@ -204,7 +204,7 @@ def manifest_of(spark, rows, height=merkle.LEVELS):
     return sorted((tuple(r) for r in merkle.manifest(merkle.document_leaves(docs), height).collect()), key=repr)
 
 
-@pytest.mark.parametrize("n", [1, 8, 9, 65, 700])
+@pytest.mark.parametrize("n", [1, 9, 700])
 def test_manifest(spark, n):
     rng = random.Random(n)
     rows = [(i, rng.choice(["s", None, "é"]), rng.choice(["en", "en", None, "de", ""]), rng.choice([3, None]), rng.choice(["Abc", "abc", None, "", "É" * 50])) for i in range(n)]
