@@ -389,7 +389,7 @@ def test_id_coder_predicts():
 
 def test_id_coder_is_below_the_entropy_of_the_ids():
     """Nothing is stored as it is: the bytes of real ids are fewer than order 0 alone needs."""
-    texts = [r[0] for r in database(SF).execute("SELECT text FROM documents ORDER BY doc_id LIMIT 40").fetchall()]
+    texts = [r[0] for r in database(SF).execute("SELECT text FROM documents ORDER BY doc_id LIMIT 80").fetchall()]
     ids = np.frombuffer(b"".join(Bpe(BPE).ids(t) + bytes([2, 0, 0, 0]) for t in texts), np.uint32)
     share = np.unique(ids, return_counts=True)[1] / len(ids)
     frame = id_coder.encode(ids)
