@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, ranges, rows_of, unpacked_bytes
-from webtables.llm.common import stored, table
+from webtables.llm.common import stored, text_table
 from webtables.llm.shingles import mixed
 
 #: Words of a phrase at most.
@@ -41,7 +41,7 @@ WORDS = 5
 #: Bytes of text of a block, and of a slice that is worked on at a time.
 BLOCK_BYTES, SLICE_BYTES = 2 << 20, 2 << 20
 #: Mass of a hash partition on average at most: phrases of all blocks, each counted up to ``least`` times a block.
-MASS = 1 << 26
+MASS = 1 << 24
 OUT_ROWS = 8192
 #: The bytes that end a piece, and those between words (fixed values).
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -323,7 +323,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str =
 
 
 def op11_misra_gries_collocations(spark, sf_dir: str) -> DataFrame:
-    return collocations(table(spark, sf_dir, "documents"))
+    return collocations(text_table(spark, sf_dir, "documents"))
 
 
 def sql(least: int = 100, top: int = 2000) -> str:

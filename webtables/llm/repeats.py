@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, ranges, rows_of, unpacked_bytes
-from webtables.llm.common import stored, table
+from webtables.llm.common import stored, text_table
 from webtables.llm.shingles import mixed
 
 #: Bytes of a repeated string.
@@ -353,5 +353,5 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_te
 
 
 def op12_cover_dedup(spark, sf_dir: str) -> DataFrame:
-    found = repeats(table(spark, sf_dir, "documents"))
+    found = repeats(text_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
