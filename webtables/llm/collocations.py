@@ -39,9 +39,9 @@ from webtables.llm.shingles import mixed
 #: Words of a phrase at most.
 WORDS = 5
 #: Bytes of text of a block, and of a slice that is worked on at a time.
-BLOCK_BYTES, SLICE_BYTES = 2 << 20, 2 << 20
+BLOCK_BYTES, SLICE_BYTES = 4 << 20, 4 << 20
 #: Mass of a hash partition on average at most: phrases of all blocks, each counted up to ``least`` times a block.
-MASS = 1 << 24
+MASS = 1 << 26
 OUT_ROWS = 8192
 #: The bytes that end a piece, and those between words (fixed values).
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
