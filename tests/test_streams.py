@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import compare
+from webtables.catalog import load
 from webtables.plans import files
 from webtables.streaming.extract import stream_extract
 from webtables.streaming.index import IndexStream
@@ -140,3 +143,18 @@ def test_extract_stopped_between_write_and_commit(spark, tmp_path, lost):
     landed(spark, src, [[(3, "<p>3</p>")]], schema)
     assert sorted(r.page_id for r in run().collect()) == [0, 1, 2, 3]
     assert sorted(r.page_id for r in run().collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("name", ["stream_index", "stream_extract"])
+def test_a_table_that_is_a_folder(spark, tmp_path, name):
+    def page(n):
+        links = "".join(f'<li><a href="/p/{k % 4}">{"x" * (1 + (n + k) % 9)}{k % 3}</a></li>' for k in range(n % 5))
+        return n, f"https://e{n % 2}.example/{n}", f"<html><body><nav><ul>{links}</ul></nav></body></html>"
+
+    table = tmp_path / "in" / "pages.parquet"
+    spark.createDataFrame([page(n) for n in range(40)], "page_id long, url string, html string").repartition(3).write.parquet(str(table))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{table}/*.parquet'")
+    queries, sql = load()
+    n, problem = compare(spark, con, queries[name], sql[name], str(tmp_path / "in"))
+    assert n > 0 and problem is None

@@ -13,6 +13,7 @@ from webtables.operators.html import extract_html
 from webtables.plans.scratch import scratch_path, write_then_read
 from webtables.plans.spec import Extract, Field
 from webtables.sources.index import document_lines
+from webtables.streaming.extract import table_files
 from webtables.streaming.index import IndexStream
 
 LAST = "(SELECT coalesce(min(p) - 1, (SELECT max(page) FROM w)) FROM range(1, (SELECT max(page) + 2 FROM w)) t(p) WHERE p NOT IN (SELECT page FROM w WHERE n > 0))"
@@ -114,6 +115,6 @@ def write_index_document(spark, sf):
 def stream_index(spark, sf):
     """The listing arrives as a stream of pages; the merged table equals the batch result."""
     out = scratch_path(spark, "stream-index")
-    flow = IndexStream.over_pages(spark, sf, "pages.parquet", lambda df: L.items_under_key(record_list(df), "links"), f"{out}/index", f"{out}/checkpoint")
+    flow = IndexStream.over_pages(spark, table_files(sf, "pages.parquet"), "*", lambda df: L.items_under_key(record_list(df), "links"), f"{out}/index", f"{out}/checkpoint")
     return flow.run().withColumn("pos", F.col("pos").cast("bigint"))
 

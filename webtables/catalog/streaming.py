@@ -9,7 +9,7 @@ from webtables.functions import select as S
 from webtables.operators.html import extract_items
 from webtables.plans.scratch import scratch_path
 from webtables.plans.spec import Extract, Field
-from webtables.streaming.extract import stream_extract
+from webtables.streaming.extract import stream_extract, table_files
 
 SPEC = Extract(
     scope=S.descendant("li"),
@@ -21,5 +21,5 @@ SPEC = Extract(
 def stream_extract_(spark, sf):
     schema = table(spark, sf, "pages").schema
     path = scratch_path(spark, "stream-extract")
-    out = stream_extract(spark, sf, schema, lambda df: extract_items(df, SPEC, keep=["page_id"]), f"{path}/table", f"{path}/checkpoint", "pages.parquet")
+    out = stream_extract(spark, table_files(sf, "pages.parquet"), schema, lambda df: extract_items(df, SPEC, keep=["page_id"]), f"{path}/table", f"{path}/checkpoint")
     return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "label", "abs_url")

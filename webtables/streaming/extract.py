@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def table_files(folder: str, name: str) -> str:
+    """A table as a folder for ``stream_pages``, whether it is one file or a folder of files.
+
+    A stream reads a lone file only by a pattern; this one has one match.
+    """
+    return f"{folder.rstrip('/')}/{{{name}}}"
+
+
 def stream_pages(spark: SparkSession, folder: str, schema, file_glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
-    """Captured pages as they land in a folder."""
+    """Captured pages as they land in a folder, or in the folders and files of a pattern; ``file_glob`` is about names of files."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", file_glob)
