@@ -10,13 +10,14 @@ from webtables.functions import templates as P
 from webtables.functions import text as X
 from webtables.functions import urls as U
 from webtables.operators import params as R
+from webtables.sources.pages import spread_rows
 
 Q = f"q AS ({PARAMS})"
 IX = f"ix AS ({INDEX})"
 
 
 def raw(spark, sf):
-    return derive(spark, sf, PARAMS, "request_id")
+    return spread_rows(derive(spark, sf, PARAMS), "request_id")
 
 
 def rows(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,6 +127,17 @@ def resolve_url(base: Column, raw: Column) -> Column:
     return let(parse_url(raw), join)
 
 
+def origin_of(base: str) -> str | None:
+    """Scheme and authority of a base that has both."""
+    m = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)", base)
+    return m and f"{m[1].lower()}://{m[2]}"
+
+
+def is_plain_path(raw: Column) -> Column:
+    """An absolute path that resolves to itself: no authority, query, fragment, dot segment or character to be escaped."""
+    return raw.rlike(f"^/(?!/)[{_PATH_OK}]*\\z") & ~raw.rlike(r"/\.\.?(/|\z)")
+
+
 def normalize_url(c: Column) -> Column:
     """The URL itself with its scheme lower-cased and its path and fragment escaped."""
     return let(parse_url(c), _unparse)

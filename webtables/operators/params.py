@@ -133,13 +133,32 @@ def query_column(request: dict, params: Column) -> Column:
     return F.filter(arr, lambda e: X.trim_ws(e["v"]) != "") if omit else arr
 
 
+def query_text(request: dict, params: Column) -> Column:
+    """The encoded query of ``query_column``. Names are known when the plan is made, so nothing is sorted per row."""
+    omit = bool(request.get("omit_empty_query"))
+    parts = []
+    for k, v in sorted((request.get("query") or {}).items()):
+        value = P.render_map(v, params, missing_as_empty=omit)
+        part = F.concat(U.form_escape(F.lit(k)), F.lit("="), U.form_escape(value))
+        parts.append(F.when(X.trim_ws(value) != "", part) if omit else part)
+    return F.concat_ws("&", *parts) if parts else F.lit("")
+
+
 def build_url(base_url: str, request: dict, params: Column) -> Column:
     """Full-URL template, or path template against the base; then the query."""
     if request.get("url"):
         url = U.normalize_url(P.render_map(request["url"], params))
     else:
-        url = U.resolve_url(F.lit(base_url), P.render_map(request.get("path", ""), params))
-    return X.let(url, lambda u: U.with_query(u, query_column(request, params)))
+        raw = P.render_map(request.get("path", ""), params)
+        url = U.resolve_url(F.lit(base_url), raw)
+    full = X.let(url, lambda u: U.with_query(u, query_column(request, params)))
+    origin = U.origin_of(base_url)
+    if request.get("url") or origin is None:
+        return full
+    # Most paths need no parsing, and plain columns are compiled where lambdas are interpreted.
+    text = query_text(request, params)
+    plain = F.concat(F.lit(origin), raw, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+    return F.when(U.is_plain_path(raw), plain).otherwise(full)
 
 
 def merge_headers(defaults: dict | None, task: dict | None, params: Column) -> Column:

@@ -30,6 +30,20 @@ NATIVE_CHARSETS = {
 LATIN_LABELS = ("ascii", "us-ascii", "iso-8859-1", "iso8859-1", "latin1", "l1", "windows-1252", "cp1252")
 
 
+#: Rows of a task, about, where a row is small and what follows is dear.
+ROWS = 1 << 17
+
+
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal small rows out for a CPU-heavy step, to as many partitions as their number asks for.
+
+    Millions of such rows are a few megabytes of a file, so splits, which go by bytes, would leave a task more rows the larger
+    the table is. Counting a projection of a stored table reads no values.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // ROWS)), *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a CPU-heavy step enough partitions when the input has fewer splits than cores.
 
