@@ -5,8 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from webtables.catalog import jsonx
 from webtables.catalog import params as catalog_params
+from webtables.functions.variant import json_path, json_text, parse_json
 from webtables.operators import params as R
+from webtables.plans.spec import ALL
 from webtables.sources import pages
 
 REQUEST = {"path": "/o/{code}", "query": {"z": "{page}", "b": "{name}"}, "omit_empty_query": True}
@@ -18,7 +21,7 @@ def orders(spark, tmp_path, n):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("rows", [catalog_params.raw])
+@pytest.mark.parametrize("rows", [catalog_params.raw, jsonx.bodies])
 def test_more_rows_get_more_tasks(spark, tmp_path, monkeypatch, rows):
     sf = orders(spark, tmp_path, 500)
     monkeypatch.setattr(pages, "ROWS", 10)
@@ -50,3 +53,19 @@ def test_plain_paths_take_no_parsing(spark, monkeypatch):
     monkeypatch.setattr(R.U, "with_query", lambda url, entries: F.raise_error(F.lit("parsed")).cast("string"))
     _, fast = planned(spark)
     assert fast.where("n = 0").collect()[0].url == "https://a.example/o/1?b=a+b%26c&z=2"
+
+
+def test_paths_to_one_value(spark):
+    body = '{"a":[{"b":null,"c":1.5,"d":7},{"b":"x"}],"o":{"k2":{"v":2},"k1":{"v":1}},"n":null}'
+    df = spark.createDataFrame([(body,), ("broken",), ("null",), ("[]",)], "body string").select(parse_json(F.col("body")).alias("v"))
+
+    def texts(path):
+        return [r[0] for r in df.select(F.transform(json_path(F.col("v"), path), json_text)).collect()]
+
+    assert texts(("a", ALL, "b")) == [[None, "x"], [], [], []]
+    assert texts(("a", 0, "c")) == [["1.5"], [], [], []]
+    assert texts(("o", ALL, "v")) == [["1", "2"], [], [], []]
+    assert texts((ALL, ALL, "d")) == [["7"], [], [], []]
+    assert texts(("n",)) == [[None], [], [], []]
+    assert texts(("a", -1)) == [[], [], [], []]
+    assert texts(())[2:] == [[None], ["[]"]]

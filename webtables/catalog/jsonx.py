@@ -11,7 +11,7 @@ from webtables.functions.variant import json_double, json_int, json_path, json_t
 from webtables.operators.html import explode_items
 from webtables.operators.json import extract_json
 from webtables.plans.spec import ALL, Extract, Field
-from webtables.sources.pages import read_json_pages
+from webtables.sources.pages import read_json_pages, spread_rows
 
 J = f"j AS ({JSON_ORDERS}), g AS (SELECT * FROM j WHERE NOT (st = 'P' AND prio = '5-LOW'))"
 # Hits of the search array: position 0 always, position 1 for open orders.
@@ -20,7 +20,7 @@ TIME = "'+' || strftime(od, '%Y-%m-%d') || 'T00:00:00Z'"
 
 
 def bodies(spark, sf):
-    return derive(spark, sf, JSON_ORDERS, "doc_id").select("doc_id", "body")
+    return spread_rows(derive(spark, sf, JSON_ORDERS), "doc_id").select("doc_id", "body")
 
 
 def parsed(spark, sf):

@@ -20,6 +20,7 @@ from webtables.plans.scratch import write_then_read
 from webtables.plans.spec import ALL, Extract, Field
 from webtables.plans.task import run_task
 from webtables.sources.index import index_from_items
+from webtables.sources.pages import spread_rows
 
 TITLE = decoded(decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
 N_LINKS = "CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT)"
@@ -241,7 +242,7 @@ JSON_TASK = {
 @query("task_json_search", f"""WITH {HITS}, a AS (SELECT doc_id, string_agg(trim(coalesce(title, '')) || ' #' || pageid, '|' ORDER BY pos) AS labels FROM h GROUP BY doc_id)
   SELECT j.doc_id AS request_id, CASE WHEN g.doc_id IS NULL THEN 'extract_error' END AS error, CAST(g.ck % 7 AS BIGINT) AS total, labels FROM j LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id)""")
 def task_json_search(spark, sf):
-    j = derive(spark, sf, JSON_ORDERS, "doc_id")
+    j = spread_rows(derive(spark, sf, JSON_ORDERS), "doc_id")
     r = j.select(
         F.col("doc_id").alias("request_id"), F.lit("demo").alias("site"), F.lit("t").alias("task"), F.lit(200).alias("status"), F.lit("https://a.example").alias("final_url"),
         F.create_map().cast("map<string,string>").alias("headers"), "body", F.lit("http").alias("channel"), F.lit(None).cast("string").alias("fetch_error"),

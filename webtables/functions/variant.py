@@ -77,8 +77,12 @@ def json_path(value: Column, path: tuple) -> Column:
         else:
             run.append(s)
     runs.append(tuple(run))
-    found = F.filter(F.array(value), lambda v: v.isNotNull())
-    for r in runs:
+    # Down to the first wildcard there is one value at most.
+    node = json_node(value, runs[0])
+    if len(runs) == 1:
+        return F.filter(F.array(node), lambda v: v.isNotNull())
+    found = json_children(node)
+    for r in runs[2:]:
         if r == ALL:
             found = F.flatten(F.transform(found, json_children))
         elif r:
@@ -89,6 +93,11 @@ def json_path(value: Column, path: tuple) -> Column:
     return found
 
 
+def json_node(value: Column, path: tuple) -> Column:
+    """The value at a path without wildcards and negative indexes; NULL where there is none."""
+    return F.try_variant_get(value, _literal_path(path), "variant") if path else value
+
+
 def json_children(value: Column) -> Column:
     """Array elements in order, or object values sorted by key; scalars have none."""
     members = F.try_variant_get(value, "$", "map<string,variant>")
@@ -151,6 +160,6 @@ def double_text(d: Column) -> Column:
 def json_text(value: Column) -> Column:
     """Text of any JSON value; numbers follow int64-then-float, nested values are JSON text."""
     return F.when(
-        is_number(value) & (json_kind(value) != "BIGINT"),
+        json_kind(value).rlike("^(DOUBLE|FLOAT|DECIMAL)"),
         double_text(F.try_variant_get(value, "$", "double")),
     ).otherwise(F.try_variant_get(value, "$", "string"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtables.functions import text as X
-from webtables.functions.variant import json_path, json_text, parse_json
+from webtables.functions.variant import json_node, json_path, json_text, parse_json
 from webtables.operators.layers import assemble, layer
-from webtables.plans.spec import Extract, Field
+from webtables.plans.spec import ALL, Extract, Field
 
 
 def _clean(rule: Field, value: Column) -> Column:
@@ -53,7 +53,10 @@ def json_field(rule: Field, root: Column) -> Column:
             return F.struct(F.lit(None).cast(kind).alias("v"), F.lit(None).cast("string").alias("err"))
     nodes = json_path(root, rule.path)
     if not rule.multiple:
-        first = F.get(nodes, F.lit(0))
+        single = not any(s == ALL or isinstance(s, int) and s < 0 for s in rule.path)
+        first = json_node(root, rule.path) if single else F.get(nodes, F.lit(0))
+        if typed:  # JSON null has no text
+            return X.let(first, lambda v: _clean(rule, v))
         return X.let(first, lambda v: X.let(F.when(~F.is_variant_null(v), v), lambda w: _clean(rule, w)))
     cleaned = F.transform(F.filter(nodes, lambda v: ~F.is_variant_null(v)), lambda v: _clean(rule, v))
 
