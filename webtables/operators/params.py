@@ -21,13 +21,13 @@ def param(name: str, params: Column | None = None) -> Column:
 
 
 def put(params: Column, name: str, value: Column) -> Column:
-    """Map with one key set (added or overwritten); a NULL value leaves the map alone."""
+    """Map with one key set (added or overwritten); a NULL value leaves the map alone.
 
-    def build(p: Column) -> Column:
-        rest = F.map_filter(p["m"], lambda k, _: k != name)
-        return F.when(p["v"].isNull(), p["m"]).otherwise(F.map_concat(rest, F.create_map(F.lit(name), p["v"])))
-
-    return X.let(F.struct(params.alias("m"), value.alias("v")), build)
+    ``params`` and ``value`` are repeated in the result: pass plain references where they are dear.
+    """
+    given = F.create_map(F.lit(name), value)
+    rest = F.map_filter(params, lambda k, _: k != name)
+    return F.when(value.isNull(), params).when(F.map_contains_key(params, F.lit(name)), F.map_concat(rest, given)).otherwise(F.map_concat(params, given))
 
 
 def param_defaults(params: Column, spec: dict) -> Column:
@@ -35,8 +35,8 @@ def param_defaults(params: Column, spec: dict) -> Column:
     given = {n: s["default"] for n, s in spec.items() if s.get("default")}
     if not given:
         return params
-    defaults = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
-    return F.map_concat(params, F.map_filter(defaults, lambda k, _: ~F.map_contains_key(params, k)))
+    none = F.create_map().cast("map<string,string>")
+    return F.map_concat(params, *[F.when(F.map_contains_key(params, F.lit(k)), none).otherwise(F.create_map(F.lit(k), F.lit(v))) for k, v in given.items()])
 
 
 def normalize_param(value: Column, regex: str, group: int = 0) -> tuple[Column, Column]:
@@ -95,15 +95,19 @@ def resolve_params(df: DataFrame, task: dict, indexes: dict, lookups: dict[str,
 
 def normalize_params(df: DataFrame, spec: dict) -> DataFrame:
     """Regex normalisation of every parameter that has one, then the required check."""
-    params, errs = F.col("params"), []
+    errs, changed = [], {}
     for name, s in sorted(spec.items()):
         if not (s.get("regex") or "").strip():
             continue
         old = F.try_element_at(F.col("params"), F.lit(name))
         new, bad = normalize_param(old, s["regex"], s.get("regex_group", 0))
-        params = put(params, name, new)
+        changed[name] = new
         errs.append(F.when(bad, F.concat(F.lit(f'param "{name}" value "'), X.trim_ws(old), F.lit('" does not match'))))
-    df = df.select(*[c for c in df.columns if c not in ("params", "error")], params.alias("params"), F.coalesce("error", *errs).alias("error"))
+    rest = [c for c in df.columns if c not in ("params", "error")]
+    df = df.select(*rest, "params", F.coalesce("error", *errs).alias("error"), *[v.alias(f"_new{n}") for n, v in enumerate(changed.values())])
+    for n, name in enumerate(changed):
+        df = df.withColumn("params", put(F.col("params"), name, F.col(f"_new{n}")))
+    df = df.select(*rest, "params", "error")
     missing = [
         F.when(X.is_blank(param(name)), F.lit(f'required param "{name}" is missing'))
         for name, s in sorted(spec.items())
