@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import defaultdict
@@ -413,6 +414,43 @@ def test_id_coder_blocks_are_independent():
             id_coder.decode(bytes(broken))
 
 
+@pytest.mark.parametrize("n, most", [(70_000, 1 << 32), (70_000, 1 << 17), (20_000, 300), (20_000, 2), (3 * 1024 + 1, 40)])
+def test_id_coder_keeps_ids_of_any_spread(n, most):
+    rng = np.random.default_rng(n + most)
+    ids = np.minimum(rng.integers(0, most, n), rng.integers(0, most, n)).astype(np.uint32)
+    ids[rng.integers(0, n, n // 3)] = ids[0]
+    assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
+
+
+def test_id_coder_lists_no_more_than_there_are_shares():
+    ids = np.zeros(2 * 15 * 70_000, np.uint32)
+    ids[1::2] = np.tile(np.arange(1, 70_001), 15)
+    assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
+
+
+def test_id_coder_costs_little_beside_the_tokens():
+    """Many predictions for each id took more than ten times as long as making the ids."""
+    texts = [r[0] for r in database(SF).execute("SELECT text FROM documents ORDER BY doc_id LIMIT 400").fetchall()]
+    encoder, began = Bpe(BPE), time.process_time()
+    ids = np.frombuffer(b"".join(encoder.ids(t) for t in texts), np.uint32)
+    each, ids = (time.process_time() - began) / len(ids), np.tile(ids, 1 + 1_000_000 // len(ids))
+    began = time.process_time()
+    assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
+    assert (time.process_time() - began) / len(ids) < 5 * each
+
+
+def test_ids_without_added_tokens(tmp_path):
+    import json
+
+    model = json.load(open(BPE, encoding="utf-8"))
+    model["added_tokens"], path = [], str(tmp_path / "plain.json")
+    json.dump(model, open(path, "w"))
+    encoder = Bpe(path)
+    assert not encoder.added and encoder.fast is not None
+    for text in ["", "a  b \n", "<|endoftext|>", "\0" * 130, "it's 12\u00b2 'll \t\t x  ", "\u3000\xa0 a\u0301"]:
+        assert encoder.ids(text) == encoder.whole(text)
+
+
 def test_ranks_say_what_merges_say():
     import json
 
