@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -88,6 +90,22 @@ def test_collocations_of_an_empty_table(spark):
     assert collocations.collocations(docs_of(spark, []).limit(0), 2).count() == 0
 
 
+def test_slices_go_when_they_are_done():
+    """Words and their numbers held each other, so a worker kept the slices of many blocks."""
+    gc.disable()
+    try:
+        some, seen = collocations.slices(((lang, b"a b. a c") for lang in ("en", "de", "en", "fr")), 9), []
+        for s in some:
+            assert not [x for x in seen if x() is not None]
+            names = np.sort(np.concatenate([names[places + n > s.context] for n, places, names in collocations.phrases(s)]))
+            assert (collocations.names_of(s) == names).all()
+            seen.append(weakref.ref(s))
+            del s
+        assert len(seen) == 4
+    finally:
+        gc.enable()
+
+
 def test_summaries_keep_what_is_frequent():
     rng = np.random.default_rng(0)
     for trial in range(30):

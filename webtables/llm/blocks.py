@@ -27,8 +27,13 @@ def encoded(keys: np.ndarray) -> bytes:
     return len(keys).to_bytes(7, "little") + bytes([width]) + packed_bytes(planes.tobytes())
 
 
+def number_of(data: bytes) -> int:
+    """How many keys ``data`` holds."""
+    return int.from_bytes(data[:7], "little")
+
+
 def decoded(data: bytes) -> np.ndarray:
-    n, width = int.from_bytes(data[:7], "little"), data[7]
+    n, width = number_of(data), data[7]
     planes = np.frombuffer(unpacked_bytes(data[8:], n * width), np.uint8).reshape(width, n)
     gaps = np.zeros((n, 8), np.uint8)
     gaps[:, :width] = planes.T

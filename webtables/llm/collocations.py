@@ -24,15 +24,16 @@ without being counted; a word of any length is one word; other columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, packed_bytes, ranges, rows_of, unpacked_bytes
+from webtables.llm.blocks import batch_of, blocked, decoded, encoded, met, number_of, packed_bytes, ranges, rows_of, unpacked_bytes
 from webtables.llm.common import stored, text_table
 from webtables.llm.shingles import mixed
 
@@ -42,7 +43,8 @@ WORDS = 5
 BLOCK_BYTES, SLICE_BYTES = 4 << 20, 4 << 20
 #: Mass of a hash partition on average at most: phrases of all blocks, each counted up to ``least`` times a block.
 MASS = 1 << 26
-OUT_ROWS = 8192
+#: Rows, and bytes of summaries, that a step gives out at a time.
+OUT_ROWS, SENT_BYTES = 8192, 1 << 20
 #: The bytes that end a piece, and those between words (fixed values).
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _TABLE = bytes(0x0A if b in ENDS else 0x20 if b in GAPS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,7 +63,7 @@ class Slice:
 
     def add(self, lang: str, tokens: list[bytes]) -> None:
         if lang not in self.numbers:
-            self.numbers[lang] = _Numbers(self, lang)
+            self.numbers[lang] = _Numbers(self.words, self.hashes, lang)
         numbers = self.numbers[lang]
         part = np.fromiter((numbers[t] for t in tokens), np.int64, len(tokens))
         self.parts += [part[part >= 0], np.zeros(1, np.int64)]
@@ -71,16 +73,16 @@ class Slice:
 
 
 class _Numbers(dict):
-    """The numbers of the words of a language in a slice."""
+    """The numbers of the words of a language in a slice. It knows the slice's lists, not the slice: a slice goes as soon as it is done."""
 
-    def __init__(self, of: Slice, lang: str):
+    def __init__(self, words: list[tuple[str, bytes]], hashes: list[int], lang: str):
         super().__init__({b"": -1, b"\n": 0})
-        self.of, self.lang, self.seed = of, lang, xxhash.xxh64_intdigest(lang.encode())
+        self.words, self.hashes, self.lang, self.seed = words, hashes, lang, xxhash.xxh64_intdigest(lang.encode())
 
     def __missing__(self, word: bytes) -> int:
-        self.of.words.append((self.lang, word))
-        self.of.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
-        self[word] = n = len(self.of.words) - 1
+        self.words.append((self.lang, word))
+        self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
+        self[word] = n = len(self.words) - 1
         return n
 
 
@@ -128,6 +130,18 @@ def phrases(s: Slice) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield n, places, mixed(sums + np.uint64(n))
 
 
+def names_of(s: Slice) -> np.ndarray:
+    """The names of all phrases of a slice that are counted, sorted, one for each place."""
+    out, size = np.empty(WORDS * sum(len(p) for p in s.parts), np.uint64), 0
+    for n, places, names in phrases(s):
+        names = names[places + n > s.context]
+        out[size : size + len(names)] = names
+        size += len(names)
+    out = out[:size]
+    out.sort()
+    return out
+
+
 def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which ``keys`` are in the sorted ``known``."""
     if not len(known):
@@ -192,11 +206,18 @@ def summaries(blocks: DataFrame, parts: int, slice_bytes: int) -> DataFrame:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1)):
                 for no, s in enumerate(slices(_texts(data.as_py()), slice_bytes)):
-                    names = np.sort(np.concatenate([names[places + n > s.context] for n, places, names in phrases(s)]))
-                    edge = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
-                    keys, counts = names[edge], np.diff(edge, append=len(names)).astype("<u4")
-                    at = ranges(keys, 64, parts)
-                    rows = [(p, block, no, encoded(keys[i:j]), packed_bytes(counts[i:j].tobytes())) for p, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+                    names = names_of(s)
+                    del s  # the words go before what is sent is made
+                    at, rows, size = ranges(names, 64, parts), [], 0
+                    for p, (i, j) in enumerate(zip(at[:-1], at[1:])):
+                        if j > i:
+                            edge = np.flatnonzero(np.concatenate([[True], names[i + 1 : j] != names[i : j - 1]]))
+                            counts = np.diff(edge, append=j - i).astype("<u4")
+                            rows.append((p, block, no, encoded(names[i:j][edge]), packed_bytes(counts.tobytes())))
+                            size += len(rows[-1][3]) + len(rows[-1][4])
+                            if size >= SENT_BYTES:
+                                yield batch_of(schema, rows)
+                                rows, size = [], 0
                     yield batch_of(schema, rows)
 
     return blocks.select("block", "data").mapInArrow(run, "part int, block long, slice int, keys binary, counts binary")
@@ -205,32 +226,37 @@ def summaries(blocks: DataFrame, parts: int, slice_bytes: int) -> DataFrame:
 def frequent(sent: DataFrame, least: int) -> DataFrame:
     """``block, slice, part, keys, counts``: the frequent names and their exact counts, each with the first slice that has it."""
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["block", "slice"])
+    schema = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def merge(group: pa.Table) -> pa.Table:
+        order = pa.compute.sort_indices(group, [("block", "ascending"), ("slice", "ascending")]).to_pylist()
+        keys_, counts_ = group["keys"], group["counts"]
 
-        def summaries_():
-            for k, c in zip(group["keys"], group["counts"]):
-                keys = decoded(k)
-                yield keys, np.frombuffer(unpacked_bytes(c, 4 * len(keys)), "<u4").astype(np.int64)
+        def counts_of(k: int) -> np.ndarray:
+            n = number_of(keys_[k].as_py())
+            return np.frombuffer(unpacked_bytes(counts_[k].as_py(), 4 * n), "<u4").astype(np.int64)
 
-        summary = Summary(sum(int(np.minimum(c, least).sum()) for _, c in summaries_()) // least + 1)
-        for k, c in summaries_():
-            summary.merge(k, np.minimum(c, least))
+        summary = Summary(sum(int(np.minimum(counts_of(k), least).sum()) for k in order) // least + 1)
+        for k in order:
+            summary.merge(decoded(keys_[k].as_py()), np.minimum(counts_of(k), least))
         left = summary.frequent(least)
         total, first = np.zeros(len(left), np.int64), np.full(len(left), -1, np.int64)
-        for no, (k, c) in enumerate(summaries_()):
-            here = among(k, left)
-            at = np.searchsorted(left, k[here])
-            total[at] += c[here]
+        for no, k in enumerate(order):
+            keys = decoded(keys_[k].as_py())
+            here = among(keys, left)
+            at = np.searchsorted(left, keys[here])
+            total[at] += counts_of(k)[here]
             first[at[first[at] < 0]] = no
+        found = np.flatnonzero(total >= least)
+        found = found[np.argsort(first[found], kind="stable")]
+        edge = np.flatnonzero(np.diff(first[found], prepend=-1))
         out = []
-        for no, (block, slice_, part) in enumerate(zip(group["block"], group["slice"], group["part"])):
-            mine = (first == no) & (total >= least)
-            if mine.any():
-                out.append((block, slice_, part, encoded(left[mine]), total[mine].astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["block", "slice", "part", "keys", "counts"])
+        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(found)]):
+            mine, k = found[i:j], order[first[found[i]]]
+            out.append((*(group[c][k].as_py() for c in ("block", "slice", "part")), encoded(left[mine]), packed_bytes(total[mine].astype("<i8").tobytes())))
+        return pa.Table.from_batches([batch_of(schema, out)])
 
-    return sent.groupBy("part").applyInPandas(merge, "block long, slice int, part int, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(merge, "block long, slice int, part int, keys binary, counts binary")
 
 
 def texts(blocks: DataFrame, replies: DataFrame, slice_bytes: int) -> DataFrame:
@@ -242,14 +268,15 @@ def texts(blocks: DataFrame, replies: DataFrame, slice_bytes: int) -> DataFrame:
             for data, reply in zip(b.column(0), b.column(1)):
                 asked: dict[int, list[tuple]] = {}
                 for r in reply.as_py() or ():
-                    asked.setdefault(r["slice"], []).append((r["part"], decoded(r["keys"]), np.frombuffer(r["counts"], "<i8")))
+                    keys = decoded(r["keys"])
+                    asked.setdefault(r["slice"], []).append((r["part"], keys, np.frombuffer(unpacked_bytes(r["counts"], 8 * len(keys)), "<i8")))
                 for no, s in enumerate(slices(_texts(data.as_py()), slice_bytes)):
                     parts = sorted(asked.pop(no, []), key=lambda x: x[0])
-                    rows = list(words_of_slice(s))
+                    rows = words_of_slice(s)
                     if parts:
-                        rows += phrases_of(s, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-                    for k in range(0, len(rows), OUT_ROWS):
-                        yield batch_of(schema, rows[k : k + OUT_ROWS])
+                        rows = chain(rows, phrases_of(s, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])))
+                    while some := list(islice(rows, OUT_ROWS)):
+                        yield batch_of(schema, some)
 
     each = replies.groupBy("block").agg(F.collect_list(F.struct("slice", "part", "keys", "counts")).alias("reply"))
     return met(blocks, each, replies).select("data", "reply").mapInArrow(run, "lang string, phrase string, words int, n long")
@@ -269,9 +296,9 @@ def phrases_of(s: Slice, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple
     for n, places, names in phrases(s):
         here = among(names, keys)
         some, first = np.unique(names[here], return_index=True)
-        for at, c in zip(places[here][first].tolist(), counts[np.searchsorted(keys, some)].tolist()):
+        for at, c in zip(places[here][first], counts[np.searchsorted(keys, some)]):
             words = [s.words[k] for k in w[at : at + n]]
-            yield words[0][0], b" ".join(t for _, t in words).decode("utf-8", "replace"), n, c
+            yield words[0][0], b" ".join(t for _, t in words).decode("utf-8", "replace"), n, int(c)
 
 
 def frequent_phrases(docs: DataFrame, least: int, text: str = "text", lang: str = "lang", block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES, mass: int = MASS) -> DataFrame:
