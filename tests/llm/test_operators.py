@@ -428,6 +428,32 @@ def test_id_coder_lists_no_more_than_there_are_shares():
     assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
 
 
+def test_id_coder_learns_in_order_2():
+    """In the frame an id is followed by either of two; in a block the two ids before it decide, otherwise in each block."""
+    rng, blocks = np.random.default_rng(5), 64
+    ids = rng.integers(0, 2, (blocks, id_coder.SHORTEST // 4, 4)).astype(np.uint32)
+    ids[:, :, 1], ids[:, :, 3] = 7, 9  # a random bit, 7, what the bit says, 9
+    ids[:, :, 2] = 2 + (ids[:, :, 0] ^ (np.arange(blocks) % 2)[:, None])
+    ids = ids.ravel()
+    frame = id_coder.encode(ids)
+    assert (id_coder.decode(frame) == ids).all()
+    assert 8 * len(frame) / len(ids) < 0.4 + 128 / id_coder.SHORTEST  # one bit of four ids is new; order 1 alone takes two
+
+
+def test_id_coder_learns_in_a_block():
+    """An id that is rare in the frame stands many times in one block, behind the same two."""
+    rng = np.random.default_rng(6)
+    quiet = rng.integers(0, 50, (31, id_coder.SHORTEST)).astype(np.uint32)
+    loud = np.tile(np.array([3, 8, 21, 8, 40], np.uint32), id_coder.SHORTEST // 5 + 1)[: id_coder.SHORTEST]
+    sizes = []
+    for last in (quiet[30], loud):
+        ids = np.concatenate([*quiet[:30], last])
+        frame = id_coder.encode(ids)
+        assert (id_coder.decode(frame) == ids).all()
+        sizes.append(int(np.frombuffer(frame, "<u4", 62, id_coder.HEAD.size)[61]))
+    assert sizes[1] < 0.2 * sizes[0]
+
+
 def test_id_coder_costs_little_beside_the_tokens():
     """Many predictions for each id took more than ten times as long as making the ids."""
     texts = [r[0] for r in database(SF).execute("SELECT text FROM documents ORDER BY doc_id LIMIT 400").fetchall()]
